@@ -8,13 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, langid, licenses, packing, simhash, toxicity
+from tidebook.llm import chat, forest, langid, licenses, media, packing, pieces, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among one texture per embedding and an edited copy of every tenth."""
+    return media.copies(media.textures(_table(spark, sf_dir, "embeddings")))
+
+
+def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth embedding."""
+    return forest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces in sequences of at most 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
@@ -39,6 +54,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.expr("try_cast(tree_id as bigint)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the piece model and decoded again."""
+    return pieces.summarize(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and components of all documents: four-word shingles, links within four bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4, segments=2)
@@ -51,14 +71,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_media": op2_media,
+    "op3_forest": op3_forest,
     "op4_packing": op4_packing,
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_chat": op7_chat,
+    "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
 
+OP1_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM sized WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, CAST(strlen(s.html) AS BIGINT) AS payload_bytes, sha256(s.html) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM sized s LEFT JOIN firsts f ON s.html = f.html
+"""
+
 # Formatted length of a turn: both marks, two newlines, the role, and the text with its escapes.
 OP7_SQL = r"""
 WITH turns AS (
@@ -74,4 +107,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL}
