@@ -38,6 +38,7 @@ class Forest:
         by = np.argsort(inverse, kind="stable")
         starts = np.searchsorted(inverse[by], np.arange(len(self.vectors) + 1))
         self.members = [ids[order][by[a : min(b, a + keep)]] for a, b in zip(starts, starts[1:], strict=False)]
+        self.squares = (self.vectors**2).sum(axis=1)
         self.planes, self.mean, self.trees = planes, mean, planes.shape[1] // BITS
         keys = self.hashes(self.vectors)
         self.rows = np.argsort(keys, axis=0, kind="stable").T.ravel()
@@ -56,21 +57,22 @@ class Forest:
         while True:
             low = (key >> cut_bits) << cut_bits
             a, b = np.searchsorted(self.keys, low), np.searchsorted(self.keys, low + (1 << cut_bits))
-            if (b - a).sum() >= least or cut_bits == BITS:
+            size = b - a
+            if size.sum() >= least or cut_bits == BITS:
                 hit = np.zeros(len(self.vectors), bool)
-                for x, y in zip(a, b, strict=True):
-                    hit[self.rows[x:y]] = True
-                if hit.sum() >= least or cut_bits == BITS:
-                    return np.flatnonzero(hit)
+                hit[self.rows[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+                found = np.flatnonzero(hit)
+                if len(found) >= least or cut_bits == BITS:
+                    return found
             cut_bits += 1
 
     def nearest(self, vector: np.ndarray, key: np.ndarray, least: int, count: int, own: int) -> list[tuple[float, int]]:
         """(distance, id) of the nearest candidates, the query's own id left out."""
         found = self.candidates(key, least)
-        distance = np.sqrt(((self.vectors[found] - vector) ** 2).sum(axis=1))
         if len(found) > count + 1:
-            edge = np.partition(distance, count)[count]
-            found, distance = found[distance <= edge], distance[distance <= edge]
+            rough = self.squares[found] - 2 * (self.vectors[found] @ vector)
+            found = found[rough <= np.partition(rough, count)[count] + 1e-9 * self.squares.max()]
+        distance = np.sqrt(((self.vectors[found] - vector) ** 2).sum(axis=1))
         rows = sorted((float(d), int(i)) for d, k in zip(distance, found, strict=True) for i in self.members[k] if i != own)
         return rows[:count]
 
