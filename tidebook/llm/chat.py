@@ -51,16 +51,14 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     state = cut(state)
     leaves = state.select("tree_id", "id").join(state.where("up is not null").select("tree_id", F.col("up").alias("id")), ["tree_id", "id"], "left_anti")
     size = state.count()
+    closed, open_ = state.where("up is null"), state.where("up is not null")
     steps = []
-    while 1 << len(steps) <= max(1, size) and not state.where("up is not null").isEmpty():
-        steps.append(state.where("up is not null").select("tree_id", F.col("id").alias("message_id"), "up"))
-        further = state.select("tree_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        state = cut(
-            state.join(further, ["tree_id", "up"], "left").select(
-                "tree_id", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-            )
-        )
-    ends = leaves.join(state.where("up is null"), ["tree_id", "id"])
+    while 1 << len(steps) <= max(1, size) and not open_.isEmpty():
+        steps.append(open_.select("tree_id", F.col("id").alias("message_id"), "up"))
+        further = closed.unionByName(open_).select("tree_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        moved = cut(open_.join(further, ["tree_id", "up"]).select("tree_id", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")))
+        closed, open_ = closed.unionByName(moved.where("up is null")), moved.where("up is not null")
+    ends = leaves.join(closed, ["tree_id", "id"])
     best = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "id")
     ends = ends.withColumn("rank", F.row_number().over(best))
     if top is not None:
