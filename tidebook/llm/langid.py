@@ -111,13 +111,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(dims, pa.list_(pa.int16())), pa.array(tf, pa.list_(pa.int16()))], names=["lang", "dims", "tf"])
 
 
-def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: float = 1.15) -> Model:
+def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: float = 1.15, least_reach: float = 0.88) -> Model:
     """Learn from rows (doc_id, text, lang).
 
     Document frequencies come from all learning rows. The centroids come from at most
     ``per_language`` texts of each language (those with the smallest hash of their id), which is also
     what the driver receives. A centroid accepts distances up to ``slack`` times the largest that its
-    language's texts show. Without learning rows the model has no centroid.
+    language's texts show, and up to ``least_reach`` in any case: texts of a few words are far from any
+    centroid. Without learning rows the model has no centroid.
     """
     learn = learn.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df = learn.select("text").mapInArrow(_document_counts, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()
@@ -141,7 +142,7 @@ def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: fl
         far = float((1 - (x @ found.T).max(axis=1)).max())
         centers.append(found)
         names += [lang] * len(found)
-        reach += [min(0.995, max(0.5, slack * far))] * len(found)
+        reach += [min(0.995, max(least_reach, slack * far))] * len(found)
     return Model(idf, np.concatenate(centers) if centers else np.zeros((0, DIMENSIONS), np.float32), names, np.array(reach))
 
 
