@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidebook import schemas
 from tidebook.functions import expressions as X
 from tidebook.operators import asof, calibration, features, layout, mismatch, penetration, quality, sizes
+from tidebook.plans import reports
 from tidebook.sources import lake, market
 from tidebook.storage import fresh_folder
 from tidebook.streaming import book, feeds
@@ -653,3 +654,61 @@ def d6_price_impact(spark, sf_dir):
     maker = F.col("is_buyer_maker")
     rows = rows.select("symbol", "agg_trade_id", "qty_lots", X.side_levels(maker, F.col("bids_qty_lots"), F.col("asks_qty_lots")).alias("q"), X.side_levels(maker, F.col("bids_price_delta"), F.col("asks_price_delta")).alias("d"), X.side_levels(maker, F.col("snap.best_bid_ticks"), F.col("snap.best_ask_ticks")).alias("best"))
     return _rounded(rows.select("symbol", "agg_trade_id", penetration.price_impact_bps("qty_lots", "q", "d", "best").alias("impact_bps")))
+
+
+# Live intervals, prices and samples
+
+
+@query("j9_only_live", BASE + """, e AS (SELECT symbol, ts_ns, CASE WHEN u % 3 = 0 THEN 'LIVE' ELSE 'BUFFERING' END AS state, lead(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns, u) AS to_ns FROM snapshots)
+SELECT t.symbol, t.agg_trade_id FROM trades t WHERE EXISTS (SELECT 1 FROM e WHERE e.symbol = t.symbol AND state = 'LIVE' AND t.ts_ns >= e.ts_ns AND (to_ns IS NULL OR t.ts_ns < to_ns))""")
+def j9_only_live(spark, sf_dir):
+    sync = market.snapshots(spark, sf_dir).select("symbol", "ts_ns", F.lit(0).alias("resync_epoch"), F.when(F.col("u") % 3 == 0, "LIVE").otherwise("BUFFERING").alias("state"))
+    return feeds.only_live(market.trades(spark, sf_dir), feeds.live_intervals(sync)).select("symbol", "agg_trade_id")
+
+
+@query("f6_large_deviations", SPREADS + "SELECT symbol, agg_trade_id, deviation FROM spread WHERE w = 1 AND abs(deviation) > 2")
+def f6_large_deviations(spark, sf_dir):
+    return mismatch.large(mismatch.match_spread(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir)), 2).select("symbol", "agg_trade_id", "deviation")
+
+
+@query("f10_sample")
+def f10_sample(spark, sf_dir):
+    return mismatch.sample(market.trades(spark, sf_dir), 500)
+
+
+@query("a8_outside_share", BASE + "SELECT t.symbol, round(avg(CASE WHEN price_ticks < best_bid_ticks OR price_ticks > best_ask_ticks THEN 1 ELSE 0 END), 6) AS outside_share FROM trades t ASOF JOIN snapshots s ON t.symbol = s.symbol AND t.ts_ns >= s.ts_ns GROUP BY t.symbol")
+def a8_outside_share(spark, sf_dir):
+    return _rounded(calibration.outside_share(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), ["symbol"], "outside_share"))
+
+
+@query("a16_daily_ids", BASE + """, d AS (SELECT symbol, date, agg_trade_id AS id, lag(agg_trade_id) OVER (PARTITION BY symbol, date ORDER BY agg_trade_id) AS prev FROM trades WHERE agg_trade_id > 0)
+SELECT symbol, date, count(*) AS ids, count(*) FILTER (id - prev > 1) AS gap_ranges, CASE WHEN count(*) < 2 THEN 100.0 ELSE 100.0 * count(*) / (max(id) - min(id) + 1) END AS completeness FROM d GROUP BY symbol, date""")
+def a16_daily_ids(spark, sf_dir):
+    report = quality.id_report(_dated(market.trades(spark, sf_dir)).where("agg_trade_id > 0"), ["symbol", "date"])
+    return report.select("symbol", "date", "ids", "gap_ranges", "completeness")
+
+
+@query("w1_time_steps", STEPS + "SELECT symbol, ts_ns, prev_ts_ns, delta_ms FROM timed")
+def w1_time_steps(spark, sf_dir):
+    return quality.time_gaps(market.snapshots(spark, sf_dir), ["symbol"])
+
+
+@query("a33_healing_totals", HEALED + "SELECT count(*) AS snapshots, count(DISTINCT symbol) AS groups, count(*) FILTER (offset_applied_ns <> 0) AS moved FROM healed")
+def a33_healing_totals(spark, sf_dir):
+    tables = reports.healing_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), _curve(spark, sf_dir), ("symbol",))
+    return tables["totals"].drop("mean_improvement")
+
+
+@query("c7_validation", BASE + "SELECT symbol, date, count(*) FILTER (best_ask_ticks < best_bid_ticks) AS crossed, count(*) FILTER (best_ask_ticks = best_bid_ticks) AS zero FROM snapshots GROUP BY ALL")
+def c7_validation(spark, sf_dir):
+    return reports.validation_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir))["spreads"].select("symbol", "date", "crossed", "zero")
+
+
+@query("c1_skipped", MATCHED + "SELECT count(*) AS trades, count(snap_u) AS matched, count(*) - count(snap_u) AS skipped FROM matched")
+def c1_skipped(spark, sf_dir):
+    return reports.penetration_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), MAX_LEVEL)["unmatched"]
+
+
+@query("c3_size_percentiles", BASE + "SELECT quantile_cont(qty_lots, 0.5) AS p50, quantile_cont(qty_lots, 0.9) AS p90, round(quantile_cont(qty_lots, 0.99), 6) AS p99, round(quantile_cont(qty_lots, 0.999), 6) AS p99_9, max(qty_lots) AS max FROM trades")
+def c3_size_percentiles(spark, sf_dir):
+    return _rounded(reports.size_report(market.trades(spark, sf_dir))["percentiles"])
