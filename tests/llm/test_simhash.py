@@ -69,6 +69,14 @@ def test_links_of_planted_prints_by_every_path(spark):
             assert got == want, (radius, segments, dense, cap)
 
 
+def test_merging_closer_first_changes_nothing(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from all the noise of this old town".split()
+    rows = [(i, " ".join(base[:k] + [f"w{i}"] + base[k + 1 :] if i % 3 else base) * (1 + i % 2)) for i, k in enumerate([*range(len(base))] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 8, 3, c).collect()} for c in (None, (4, 2)))
+    assert one == two and len(set(one.values())) < len(one)
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, fp string"
     rows = [(5, None, "x"), (2, "", "x"), (None, "a b c d e f", None), (7, "A B c d e f", None), (7, "A B c d e f", None), (9, "z " * 30000, "")]

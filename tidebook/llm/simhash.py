@@ -128,7 +128,9 @@ def _bucket_links(radius: int, dense: int, cap: int):
                 out.append(_forest(fp[s : s + n], rep[s : s + n], radius))
         a = np.concatenate([x[0] for x in out]) if out else rep[:0]
         b = np.concatenate([x[1] for x in out]) if out else rep[:0]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b]
+        if pairs.size:
+            pairs = np.unique(pairs, axis=1)
         zero = np.zeros(pairs.shape[1], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(zero)], names=["kind", "a", "b", "key"])
         for s in over:
@@ -157,8 +159,8 @@ def _bucket_links(radius: int, dense: int, cap: int):
 
 
 def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, dense: int = 48, cap: int = 50_000) -> DataFrame:
-    """Links (a, b) between rows (fp, rep) of distinct fingerprints, whose components are those of all
-    pairs within ``radius`` bits. Buckets of up to ``dense`` rows give every pair; larger ones a spanning
+    """Links (a, b) between the reps of rows (fp, rep) of distinct fingerprints, whose components are those
+    of all pairs within ``radius`` bits. Rows that share a rep count as linked already. Buckets of up to ``dense`` rows give every pair; larger ones a spanning
     forest, so that a group of near copies gives links in proportion to its rows. Buckets over ``cap``
     rows are dealt as pairs of blocks, each pair compared in full by one task."""
     spark = prints.sparkSession
@@ -181,28 +183,37 @@ def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, dense:
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def merge(labels: DataFrame, radius: int, segments: int) -> DataFrame:
+    """(fp, rep) with rep replaced by the smallest rep of its component within ``radius`` bits."""
+    stars = connected_components(hamming_links(labels.where("rep is not null"), radius, segments))
+    return labels.join(stars, labels["rep"] == stars["node"], "left").select("fp", F.coalesce("component", "rep").alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, closer: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row of ``docs``.
 
     Two rows are linked if their fingerprints differ in at most ``radius`` bits; component_id is the
     smallest id reachable over links, the row's own included. Null and empty texts have fingerprint 0
     and are linked like any other. Rows with a null id are kept: they join their component but cannot
     name it, and alone have a null component_id. Repeated rows stay repeated; an empty table gives
-    none; other columns of ``docs`` are ignored.
+    none; other columns of ``docs`` are ignored. ``closer`` (radius, segments) merges within a smaller
+    radius first: the result is the same, but a large group of near copies, mostly one component by
+    then, gives few links in the second pass.
     """
     prints = cut(fingerprints(docs, shingle, id_col, text_col))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    stars = connected_components(hamming_links(reps.where("rep is not null"), radius, segments))
-    named = reps.join(stars, reps["rep"] == stars["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    if closer:
+        reps = cut(merge(reps, *closer))
+    named = merge(reps, radius, segments).withColumnRenamed("rep", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, closer: tuple[int, int] | None = None) -> DataFrame:
     """``docs`` without near-duplicates: of each component only the row with the smallest doc_id stays.
 
     Rows that repeat a kept doc_id are one document and come out once; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, shingle, radius, segments)
+    found = near_duplicates(docs, shingle, radius, segments, closer)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
