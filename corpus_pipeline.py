@@ -21,7 +21,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: five-word shingles, links within eight bits."""
-    return simhash.keep_one(docs, shingle=5, radius=8, segments=3)
+    return simhash.keep_one(docs, shingle=5, radius=8, segments=3, closer=(4, 2))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
