@@ -60,20 +60,20 @@ def test_links_of_planted_prints_by_every_path(spark):
                 x ^= 1 << int(bit)
             prints.add(x)
     prints = sorted(prints)
-    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "fp long, rep long")
-    for radius, segments in ((4, 2), (4, 4), (8, 3), (3, 2)):
+    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), 0, i) for i, p in enumerate(prints)], "fp long, fp2 long, rep long")
+    for radius, segments, dense, cap in ((4, 2, 1000, 10**6), (4, 2, 2, 3), (4, 4, 2, 10**6), (8, 3, 1000, 10**6), (8, 3, 2, 3), (3, 2, 2, 10**6)):
         want = plain_components(list(range(len(prints))), prints, radius)
-        for dense, cap in ((1000, 10**6), (2, 10**6), (2, 3)):
-            stars = simhash.connected_components(simhash.hamming_links(frame, radius, segments, dense, cap)).collect()
-            got = {i: i for i in range(len(prints))} | {r.node: r.component for r in stars}
-            assert got == want, (radius, segments, dense, cap)
+        stars = simhash.connected_components(simhash.hamming_links(frame, radius, segments, None, dense, cap)).collect()
+        got = {i: i for i in range(len(prints))} | {r.node: r.component for r in stars}
+        assert got == want, (radius, segments, dense, cap)
 
 
 def test_merging_closer_first_changes_nothing(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away from all the noise of this old town".split()
     rows = [(i, " ".join(base[:k] + [f"w{i}"] + base[k + 1 :] if i % 3 else base) * (1 + i % 2)) for i, k in enumerate([*range(len(base))] * 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, two = ({r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 8, 3, c).collect()} for c in (None, (4, 2)))
+    wide = dict(shingle=5, radius=8, segments=3, within=20, double=True)
+    one, two = ({r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **wide, closer=c).collect()} for c in (None, (4, 2)))
     assert one == two and len(set(one.values())) < len(one)
 
 

@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDERS: dict[str, str] = {}
-
+from tidebook.storage import cut, fresh_folder, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+__all__ = ["bounded_batches", "cut", "fresh_folder", "is_held_out", "read_table", "shared_folder", "shuffle_partitions"]
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidebook-", dir="/tmp")
-    return _OWN_FOLDERS[app]
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def fresh_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most ``rows`` texts at a time, unless the session asks for fewer: whole
+    documents in the default batches of 10,000 rows take much of a small executor."""
+    if int(spark.conf.get(_BATCH)) > rows or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(rows))
 
 
-def cut(df: DataFrame, kind: str = "tables") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    folder = fresh_folder(spark, kind)
-    df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, to be read in bounded batches."""
+    bounded_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -257,7 +257,7 @@ def shortest_paths(t: Transducer, parts: list[str]) -> list[list[int]]:
 class Coder:
     """Encodes and decodes with one transducer; a bounded cache holds the ids of parts seen."""
 
-    def __init__(self, transducer: Transducer, most: int = 400_000):
+    def __init__(self, transducer: Transducer, most: int = 250_000):
         self.t, self.most, self.cache = transducer, most, {}
         self.split = re.compile(transducer.parts)
 

@@ -22,9 +22,11 @@ from tidebook.llm.common import cut, shuffle_partitions
 from tidebook.llm.components import connected_components
 
 SEED = 42
+SECOND_SEED = 43
+AT_ONCE = 200_000  # rows of buckets that a task compares together
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
     """SimHash of one text: bit set where more than half of its shingle hashes have it.
 
     Shingles are runs of ``shingle`` words, repeats included; fewer words make one shingle of all of
@@ -36,11 +38,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
+        hashes = [digest(joined, seed)]
     else:
         ends = list(accumulate(len(w) + 1 for w in words))
         starts = [0, *ends]
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+        hashes = [digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
     counts = np.zeros(64, dtype=np.int64)
     values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(values), 1 << 16):
@@ -48,16 +50,22 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, double: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, fp2): the fingerprint of every row as a signed long; fp2 holds 64 more bits, from another
+    seed, if ``double``, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.zeros((2, batch.num_rows), dtype=np.uint64)
+            for k, t in enumerate(batch.column(1)):
+                text = t.as_py()
+                found[0, k] = fingerprint(text, shingle)
+                if double:
+                    found[1, k] = fingerprint(text, shingle, SECOND_SEED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], names=["doc_id", "fp", "fp2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, fp2 long")
 
 
 def segment_plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
@@ -83,14 +91,19 @@ def _keys(plan: list[tuple[int, int, int]]) -> str:
     return f"concat({', '.join(parts)})"
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, of which each is a column of words."""
+    return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64)
+
+
 def _forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of one dense bucket: at most one fewer than it has rows."""
-    left, ends, heads = np.arange(len(fp)), [], []
+    left, ends, heads = np.arange(len(rep)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= radius
+            near = _distance(fp[:, left], fp[:, [at]]) <= radius
             found = left[near]
             left = left[~near]
             queue.extend(found)
@@ -102,21 +115,23 @@ def _forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, n
 
 
 def _bucket_links(radius: int, dense: int, cap: int):
-    """A task body over rows (key, fp, rep) sorted by key; buckets are bounded by ``cap`` rows here, and
+    """A task body over rows (key, fp, fp2, rep) sorted by key; buckets are bounded by ``cap`` rows here, and
     the rows of larger ones come out again (kind 1) to be dealt over pairs of blocks."""
 
+    names = ["kind", "a", "b", "key", "fp2"]
+
     def links_of(key: np.ndarray, fp: np.ndarray, rep: np.ndarray):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         group_size = np.repeat(sizes, sizes)
         small = (group_size > 1) & (group_size <= dense)
-        k, f, r = key[small], fp[small], rep[small]
+        k, f, r = key[small], fp[:, small], rep[small]
         out = []
         at, lag = np.arange(len(k)), 1
         while len(at):
             at = at[at + lag < len(k)]
             at = at[k[at] == k[at + lag]]
-            hit = at[np.bitwise_count(f[at] ^ f[at + lag]) <= radius]
+            hit = at[_distance(f[:, at], f[:, at + lag]) <= radius]
             if len(hit):
                 out.append((r[hit], r[hit + lag]))
             lag += 1
@@ -125,95 +140,102 @@ def _bucket_links(radius: int, dense: int, cap: int):
             if n > cap:
                 over.append(slice(s, s + n))
             else:
-                out.append(_forest(fp[s : s + n], rep[s : s + n], radius))
+                out.append(_forest(fp[:, s : s + n], rep[s : s + n], radius))
         a = np.concatenate([x[0] for x in out]) if out else rep[:0]
         b = np.concatenate([x[1] for x in out]) if out else rep[:0]
         pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b]
         if pairs.size:
             pairs = np.unique(pairs, axis=1)
         zero = np.zeros(pairs.shape[1], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(zero)], names=["kind", "a", "b", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, pairs[0], pairs[1], zero, zero)], names=names)
         for s in over:
             one = np.ones(s.stop - s.start, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(fp[s].view(np.int64)), pa.array(rep[s]), pa.array(key[s])], names=["kind", "a", "b", "key"])
+            words = fp[:, s].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, words[0], rep[s], key[s], words[1])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if held and now[0][0] != held[-1][0][-1] or now[0][-1] != now[0][0]:
-                key, fp, rep = (np.concatenate([h[i] for h in held] + [now[i]]) for i in range(3))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+            n += batch.num_rows
+            if n >= AT_ONCE and held[0][0][0] != held[-1][0][-1]:
+                key, one, two, rep = (np.concatenate([h[i] for h in held]) for i in range(4))
                 last = np.searchsorted(key, key[-1])
-                if last:
-                    yield from links_of(key[:last], fp[:last].view(np.uint64), rep[:last])
-                held = [(key[last:], fp[last:], rep[last:])]
-            else:
-                held.append(now)
+                yield from links_of(key[:last], np.stack([one[:last], two[:last]]).view(np.uint64), rep[:last])
+                held, n = [(key[last:], one[last:], two[last:], rep[last:])], n - last
         if held:
-            key, fp, rep = (np.concatenate([h[i] for h in held]) for i in range(3))
-            yield from links_of(key, fp.view(np.uint64), rep)
+            key, one, two, rep = (np.concatenate([h[i] for h in held]) for i in range(4))
+            yield from links_of(key, np.stack([one, two]).view(np.uint64), rep)
 
     return run
 
 
-def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, dense: int = 48, cap: int = 50_000) -> DataFrame:
-    """Links (a, b) between the reps of rows (fp, rep) of distinct fingerprints, whose components are those
-    of all pairs within ``radius`` bits. Rows that share a rep count as linked already. Buckets of up to ``dense`` rows give every pair; larger ones a spanning
+def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, within: int | None = None, dense: int = 48, cap: int = 50_000) -> DataFrame:
+    """Links (a, b) between the reps of rows (fp, fp2, rep) of distinct fingerprints. Two rows are linked if a
+    segment of fp differs by at most its share of ``radius``, and all 128 bits by at most ``within``
+    (``radius`` if not given); with ``within`` up to ``radius`` those are all pairs that close. Rows that share
+    a rep count as linked already. Buckets of up to ``dense`` rows give every pair; larger ones a spanning
     forest, so that a group of near copies gives links in proportion to its rows. Buckets over ``cap``
     rows are dealt as pairs of blocks, each pair compared in full by one task."""
-    spark = prints.sparkSession
-    parts = shuffle_partitions(spark)
-    kinds = "kind long, a long, b long, key long"
-    keyed = prints.select("fp", "rep", F.explode(F.expr(_keys(segment_plan(radius, segments)))).alias("key")).select("key", "fp", "rep")
-    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius, dense, cap), kinds))
+    parts = shuffle_partitions(prints.sparkSession)
+    within = radius if within is None else within
+    kinds = "kind long, a long, b long, key long, fp2 long"
+    keyed = prints.select("fp", "fp2", "rep", F.explode(F.expr(_keys(segment_plan(radius, segments)))).alias("key")).select("key", "fp", "fp2", "rep")
+    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(within, dense, cap), kinds))
     links = found.where("kind = 0").select("a", "b")
-    over = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"))
+    over = found.where("kind = 1").select("key", F.col("a").alias("fp"), "fp2", F.col("b").alias("rep"))
     if not over.isEmpty():
         blocks = over.groupBy("key").agg(F.ceil(F.count("*") / cap).cast("int").alias("n"))
         pairs = (
-            over.join(F.broadcast(blocks), "key")
-            .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+            over.join(blocks, "key")
+            .withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), F.col("n")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "rep")
+            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "fp2", "rep")
         )
         dealt = pairs.repartition(parts, "key").sortWithinPartitions("key")
-        links = links.unionByName(dealt.mapInArrow(_bucket_links(radius, dense, 1 << 62), kinds).select("a", "b"))
+        links = links.unionByName(dealt.mapInArrow(_bucket_links(within, dense, 1 << 62), kinds).select("a", "b"))
     return links
 
 
-def merge(labels: DataFrame, radius: int, segments: int) -> DataFrame:
-    """(fp, rep) with rep replaced by the smallest rep of its component within ``radius`` bits."""
-    stars = connected_components(hamming_links(labels.where("rep is not null"), radius, segments))
-    return labels.join(stars, labels["rep"] == stars["node"], "left").select("fp", F.coalesce("component", "rep").alias("rep"))
+def merge(labels: DataFrame, radius: int, segments: int, within: int | None = None) -> DataFrame:
+    """(fp, fp2, rep) with rep replaced by the smallest rep of its component under hamming_links."""
+    stars = connected_components(hamming_links(labels.where("rep is not null"), radius, segments, within))
+    return labels.join(stars, labels["rep"] == stars["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("rep"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, closer: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, within: int | None = None, double: bool = False, closer: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row of ``docs``.
 
-    Two rows are linked if their fingerprints differ in at most ``radius`` bits; component_id is the
-    smallest id reachable over links, the row's own included. Null and empty texts have fingerprint 0
-    and are linked like any other. Rows with a null id are kept: they join their component but cannot
-    name it, and alone have a null component_id. Repeated rows stay repeated; an empty table gives
-    none; other columns of ``docs`` are ignored. ``closer`` (radius, segments) merges within a smaller
-    radius first: the result is the same, but a large group of near copies, mostly one component by
-    then, gives few links in the second pass.
+    Two rows are linked if their fingerprints differ in at most ``radius`` bits; with ``double`` and
+    ``within``, as hamming_links says for fingerprints of 128 bits. component_id is the smallest id
+    reachable over links, the row's own included. Null and empty texts have fingerprint 0 and are linked
+    like any other. Rows with a null id are kept: they join their component but cannot name it, and alone
+    have a null component_id. Repeated rows stay repeated; an empty table gives none; other columns of
+    ``docs`` are ignored. ``closer`` (radius, segments) merges what a smaller radius finds first: the
+    result is the same, but a large group of near copies, mostly one component by then, gives few links in
+    the second pass.
     """
-    prints = cut(fingerprints(docs, shingle, id_col, text_col))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    prints = cut(fingerprints(docs, shingle, double, id_col, text_col))
+    within = radius if within is None else within
+    labels = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"))
     if closer:
-        reps = cut(merge(reps, *closer))
-    named = merge(reps, radius, segments).withColumnRenamed("rep", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        labels = cut(merge(labels, *closer, min(within, closer[0]) if not double else within))
+    named = merge(labels, radius, segments, within).withColumnRenamed("rep", "component_id")
+    return prints.join(named, ["fp", "fp2"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, closer: tuple[int, int] | None = None) -> DataFrame:
-    """``docs`` without near-duplicates: of each component only the row with the smallest doc_id stays.
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without near-duplicates (options as in near_duplicates): of each component only the row with
+    the smallest doc_id stays.
 
     Rows that repeat a kept doc_id are one document and come out once; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, shingle, radius, segments, closer)
+    found = near_duplicates(docs, **options)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -161,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int
     only these and what is counted on them reach the driver. A term is a candidate if it would be
     surprising, over all terms counted, for its texts to be toxic by chance. Labels that are null or
     neither 0 nor 1 are ignored; of contradicting labels the toxic one counts. Without labelled texts
-    of both kinds the lexicon is empty and every score 0.
+    of both kinds, or with too few to show any term, the lexicon is empty and every score near 0; a text
+    without a match never scores 0.5.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -178,10 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int
         rows = often.where(F.col("pos") - 2 * F.col("neg") >= math.ceil(bound)).orderBy(F.desc("pos"), "term").limit(50_000).collect()
         toxic = [fold(r["text"]) for r in texts.where("toxic = 1").select("text").collect()]
         patterns = _select({r["term"]: _weigh(r["pos"], r["neg"], p, n) for r in rows}, toxic, 2, max_terms)
+        if not patterns:
+            return empty
         raw = Lexicon(patterns, tuple(fold(e) for e in exceptions), 1.0, 0.0)
         scored = texts.mapInArrow(_strengths(raw), "x double, toxic int").collect()
         scale, shift = _calibrate(np.array([r["x"] for r in scored]), np.array([r["toxic"] for r in scored]))
-        return Lexicon(patterns, raw.exceptions, scale, shift)
+        return Lexicon(patterns, raw.exceptions, scale, min(shift, -1.0)) if scale > 0 else empty
     finally:
         texts.unpersist()
 
