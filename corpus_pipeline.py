@@ -6,26 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.llm import langid, packing, simhash, toxicity
-from tidebook.llm.common import cut
+from tidebook.llm.common import bounded_batches, cut, read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the nearest-centroid classifier knows."""
+    bounded_batches(spark)
     return langid.keep_known(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon does not score as toxic."""
-    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: five-word shingles, links within eight bits."""
-    return simhash.keep_one(docs, shingle=5, radius=8, segments=3, closer=(4, 2))
+    """One document of each SimHash component: five-word shingles, links within 20 of 128 bits."""
+    bounded_batches(spark)
+    return simhash.keep_one(docs, shingle=5, radius=8, segments=3, within=20, double=True, closer=(4, 2))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 4096."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -36,7 +39,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), "pipeline")
     return STAGES[-1][1](spark, docs, sf_dir)
