@@ -41,3 +41,12 @@ def test_odd_rows(spark):
     assert toxicity.score(spark.createDataFrame([], schema), no_labels).count() == 0
     kept = toxicity.scores(spark.createDataFrame(rows, schema), lexicon())
     assert kept.columns == ["doc_id", "text", "predicted", "_toxicity"]
+
+
+def test_filter_keeps_columns_whatever_their_names(spark):
+    rows = [(i, "nice words here" if i % 3 else "you idiot moron", i, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _toxicity long, _toxicity_ string")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 1, 0) as toxic")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(60) if i % 3]

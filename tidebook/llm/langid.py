@@ -189,12 +189,7 @@ def identify(docs: DataFrame, per_language: int = 250, centroids: int = 4) -> Da
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text the classifier rejects; columns and repeated rows stay."""
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))
-    marked = docs.select(*docs.columns, F.col("text").cast("string").alias("_text"))
-    return _filter(marked, model).select(docs.columns)
-
-
-def _filter(marked: DataFrame, model: Model) -> DataFrame:
-    where = marked.columns.index("_text")
+    where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,4 +202,4 @@ def _filter(marked: DataFrame, model: Model) -> DataFrame:
                     keep[at + np.array(have)] = 1 - cosine.max(axis=1) <= model.reach[cosine.argmax(axis=1)]
             yield batch.filter(pa.array(keep))
 
-    return marked.mapInArrow(run, marked.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -199,9 +199,12 @@ def _strengths(lexicon: Lexicon):
     return run
 
 
-def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with a column ``_toxicity`` (0 to 1) for every row; null and empty texts have no match."""
-    marked = docs.withColumn("_toxicity", F.lit(0.0))
+def scores(docs: DataFrame, lexicon: Lexicon, name: str = "_toxicity") -> DataFrame:
+    """``docs`` with a last column ``name`` (0 to 1) for every row; null and empty texts have no match. A column
+    that is called so already is an error."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    marked = docs.withColumn(name, F.lit(0.0))
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +212,7 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             x = np.array([strength(fold(t.as_py()), machine) for t in batch.column(where)], dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(lexicon.scale * x + lexicon.shift, -50, 50)))
-            yield batch.set_column(batch.num_columns - 1, "_toxicity", pa.array(p))
+            yield batch.set_column(batch.num_columns - 1, name, pa.array(p))
 
     return marked.mapInArrow(run, marked.schema)
 
@@ -225,4 +228,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored 0.5 or more; columns and repeated rows stay."""
-    return scores(docs, fit(docs, labels)).where("_toxicity < 0.5").drop("_toxicity")
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return scores(docs, fit(docs, labels), name).where(F.col(name) < 0.5).drop(name)
