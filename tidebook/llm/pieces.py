@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,12 +167,17 @@ def compile_model(path: str) -> Transducer:
     inside = {c for n in order for c in n}
     across = any(MARK in n.lstrip(MARK) for n in order)
     lone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in inside)
+    marks = {c for c in map(chr, range(33, 127)) if not c.isalnum() and c in inside}
+    while late := {b for n in order for a, b in zip(n, n[1:], strict=False) if b in marks and a != MARK and a not in marks}:
+        marks -= late
+    open_ = "".join(map(re.escape, sorted(marks)))  # no piece leads from another character to one of these
+    parts = rf"[{lone}]|{MARK}*[^{MARK}{lone}{open_}]+" + (rf"|{MARK}*[{open_}][^{MARK}{lone}]*" if open_ else "") + rf"|{MARK}+"
     texts = [bytes([int(n[3:-1], 16)]) if k == BYTE else n.replace(MARK, " ").encode() if k == NORMAL else b"" if k == CONTROL else " ⁇ ".encode() for n, k in zip(names, kinds, strict=True)]
     byte_ids = [next((i for i, (n, k) in enumerate(zip(names, kinds, strict=True)) if k == BYTE and n == f"<0x{b:02X}>"), kinds.index(UNKNOWN)) for b in range(256)]
     return Transducer(
         texts, byte_ids, symbols, formed, left, right, pair_keys, np.array([pairs[k] for k in pair_keys.tolist()], np.int64), trie_keys,
         np.array([arcs[k] for k in trie_keys.tolist()], np.int64), np.array(accepts, np.int64), weights, 1.0 if constrained else 10.0 - min(scores, default=0.0),
-        constrained, max(map(len, plain), default=1), prefix, f"(?s:.+)" if across else rf"[{lone}]|{MARK}*[^{MARK}{lone}]+|{MARK}+",
+        constrained, max(map(len, plain), default=1), prefix, "(?s:.+)" if across else parts,
     )
 
 
@@ -245,40 +251,45 @@ def shortest_paths(t: Transducer, parts: list[str]) -> list[list[int]]:
             if n > 1 and (symbol >= 0).any():
                 relax(rows[symbol >= 0], i, n, symbol[symbol >= 0])
     out = []
-    for k, end in enumerate(size.tolist()):
+    for end, symbols, starts in zip(size.tolist(), last.tolist(), back.tolist(), strict=True):
         path = []
         while end:
-            path.append(int(last[k, end]))
-            end = int(back[k, end])
-        out.append(path[::-1])
+            path.append(symbols[end])
+            end = starts[end]
+        path.reverse()
+        out.append(path)
     return out
 
 
 class Coder:
     """Encodes and decodes with one transducer; a bounded cache holds the ids of parts seen."""
 
-    def __init__(self, transducer: Transducer, most: int = 250_000):
+    def __init__(self, transducer: Transducer, most: int = 500_000):
         self.t, self.most, self.cache = transducer, most, {}
         self.split = re.compile(transducer.parts)
 
     def _learn(self, parts: list[str]) -> None:
         parts = sorted(parts, key=len)
+        count = self.t.pieces
         at = 0
         while at < len(parts):
             n = max(1, min(20_000, 400_000 // max(1, len(parts[at]))))
             some = [p for p in parts[at : at + n] if len(p) <= 2 * len(parts[at]) + 8]
             at += len(some)
             for part, path in zip(some, shortest_paths(self.t, some), strict=True):
+                if min(path) >= 0 and max(path) < count:
+                    self.cache[part] = array("I", path).tobytes()
+                    continue
                 ids: list[int] = []
                 place = 0
                 for symbol in path:
-                    if 0 <= symbol < self.t.pieces:
+                    if 0 <= symbol < count:
                         ids.append(symbol)
                         place += len(self.t.texts[symbol].decode())
                     else:
                         ids += [self.t.byte_ids[b] for b in part[place].encode("utf-8", "surrogatepass")]
                         place += 1
-                self.cache[part] = np.array(ids, "<u4").tobytes()
+                self.cache[part] = array("I", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32; null and empty texts have none."""
