@@ -173,7 +173,7 @@ def _bucket_links(radius: int, dense: int, cap: int):
     return run
 
 
-def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, within: int | None = None, dense: int = 48, cap: int = 50_000) -> DataFrame:
+def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, within: int | None = None, dense: int = 12, cap: int = 50_000) -> DataFrame:
     """Links (a, b) between the reps of rows (fp, fp2, rep) of distinct fingerprints. Two rows are linked if a
     segment of fp differs by at most its share of ``radius``, and all 128 bits by at most ``within``
     (``radius`` if not given); with ``within`` up to ``radius`` those are all pairs that close. Rows that share
@@ -224,7 +224,7 @@ def near_duplicates(
     within = radius if within is None else within
     labels = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"))
     if closer:
-        labels = cut(merge(labels, *closer, min(within, closer[0]) if not double else within))
+        labels = cut(merge(labels, *closer, min(within, closer[0] * (2 if double else 1))))
     named = merge(labels, radius, segments, within).withColumnRenamed("rep", "component_id")
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
