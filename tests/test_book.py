@@ -96,7 +96,7 @@ def test_decoding(spark):
     assert [(r.ts_ns, r.price_ticks, r.qty_lots, r.is_buyer_maker, r.agg_trade_id, r.first_trade_id) for r in rows] == [(5000000, 500000, 2, True, 7, 0), (6000000, 10, 2000, False, 0, 0)]
     text = '{"e":"depthUpdate","E":17,"T":17,"s":"S","U":1,"u":2,"pu":0,"b":[["50000.0","1.5"]],"a":[]}'
     r = feeds.depth_rows(feeds.decode(spark.createDataFrame([(text,)], "value string"), DEPTH_EVENT)).first()
-    assert (r.E, r.U, r.u, r.pu, r.bids[0].p, r.bids[0].q, r.asks) == (17, 1, 2, 0, 500000, 1500, [])
+    assert (r.E, r.first_u, r.u, r.pu, r.bids[0].p, r.bids[0].q, r.asks) == (17, 1, 2, 0, 500000, 1500, [])
 
 
 def test_monitor_and_recording_streams(spark, tmp_path):

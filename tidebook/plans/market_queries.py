@@ -599,8 +599,8 @@ def _depth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<struct<p:bigint,q:bigint>>")
     placed = asof.positions(d, ["u"], ["symbol"], X.whole(F.col("u"), 10_000))
     n = F.col("pos") + 1
-    diff = placed.select("symbol", (n * 2).alias("at"), F.lit("diff").alias("kind"), (n * 40).alias("E"), n.alias("U"), n.alias("u"), F.when(n % 997 == 0, n - 2).otherwise(n - 1).alias("pu"), F.when(F.col("side") == "bid", level).otherwise(none).alias("bids"), F.when(F.col("side") == "ask", level).otherwise(none).alias("asks"))
-    whole_book = placed.where((n % 997 == 1) | (n == 1)).select("symbol", (n * 2 - 1).alias("at"), F.lit("book").alias("kind"), (n * 40).alias("E"), n.alias("U"), n.alias("u"), n.alias("pu"), none.alias("bids"), none.alias("asks"))
+    diff = placed.select("symbol", (n * 2).alias("at"), F.lit("diff").alias("kind"), (n * 40).alias("E"), n.alias("first_u"), n.alias("u"), F.when(n % 997 == 0, n - 2).otherwise(n - 1).alias("pu"), F.when(F.col("side") == "bid", level).otherwise(none).alias("bids"), F.when(F.col("side") == "ask", level).otherwise(none).alias("asks"))
+    whole_book = placed.where((n % 997 == 1) | (n == 1)).select("symbol", (n * 2 - 1).alias("at"), F.lit("book").alias("kind"), (n * 40).alias("E"), n.alias("first_u"), n.alias("u"), n.alias("pu"), none.alias("bids"), none.alias("asks"))
     return diff.unionByName(whole_book)
 
 

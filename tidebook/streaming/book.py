@@ -20,7 +20,7 @@ from tidebook.operators.asof import previous
 from tidebook.schemas import Scale
 
 BUFFER = 1000
-EVENTS = "symbol string, at long, kind string, E long, U long, u long, pu long, bids array<struct<p:long,q:long>>, asks array<struct<p:long,q:long>>"
+EVENTS = "symbol string, at long, kind string, E long, first_u long, u long, pu long, bids array<struct<p:long,q:long>>, asks array<struct<p:long,q:long>>"
 OUTPUT = (
     "symbol string, row string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long, bids_price_delta array<int>, bids_qty_lots array<long>, "
     "asks_price_delta array<int>, asks_qty_lots array<long>, resync_epoch int, state string, reason string"
@@ -129,7 +129,7 @@ def _levels(levels) -> list[tuple[int, int]]:
 
 
 def _event(r) -> tuple:
-    return (r.kind, int(r.E), int(r.U), int(r.u), int(r.pu), _levels(r.bids), _levels(r.asks))
+    return (r.kind, int(r.E), int(r.first_u), int(r.u), int(r.pu), _levels(r.bids), _levels(r.asks))
 
 
 def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000) -> DataFrame:
@@ -160,7 +160,7 @@ def replay_stream(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_0
         def init(self, handle) -> None:
             self.levels = handle.getMapState("levels", "side string, p long", "q long")
             self.scalars = handle.getValueState("sync", "state string, prev_u long, book_id long, epoch int, ts_ns long, touched boolean")
-            self.waiting = handle.getListState("buffer", "kind string, E long, U long, u long, pu long, b string, a string")
+            self.waiting = handle.getListState("buffer", "kind string, E long, first_u long, u long, pu long, b string, a string")
 
         def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
             r = Replay(key[0], depth, tick_ns)

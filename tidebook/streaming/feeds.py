@@ -38,7 +38,7 @@ def depth_rows(events: DataFrame, scale: schemas.Scale = schemas.Scale()) -> Dat
     e = "event."
     none = F.lit(0).cast("long")
     return events.select(
-        F.col(e + "s").alias("symbol"), F.col(e + "E").alias("at"), F.lit("diff").alias("kind"), F.coalesce(e + "E", none).alias("E"), F.coalesce(e + "U", none).alias("U"), F.coalesce(e + "u", none).alias("u"), F.coalesce(e + "pu", none).alias("pu"),
+        F.col(e + "s").alias("symbol"), F.col(e + "E").alias("at"), F.lit("diff").alias("kind"), F.coalesce(e + "E", none).alias("E"), F.coalesce(e + "U", none).alias("first_u"), F.coalesce(e + "u", none).alias("u"), F.coalesce(e + "pu", none).alias("pu"),
         F.coalesce(scaled_levels(F.col(e + "b"), scale), F.array()).alias("bids"), F.coalesce(scaled_levels(F.col(e + "a"), scale), F.array()).alias("asks"),
     )
 
