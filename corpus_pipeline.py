@@ -21,9 +21,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: five-word shingles, links within 20 of 128 bits."""
+    """One document of each group of near copies: five-word shingles, links of similarity 0.8 or more."""
     bounded_batches(spark)
-    return simhash.keep_one(docs, shingle=5, radius=8, segments=3, within=20, double=True, closer=(4, 2))
+    return simhash.keep_similar_one(docs, shingle=5, least=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

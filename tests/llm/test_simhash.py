@@ -3,6 +3,7 @@ import re
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from tidebook.llm import simhash
 
 
@@ -85,3 +86,31 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     kept = simhash.keep_one(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, 2, 7, 9]
+
+
+def test_groups_by_exact_similarity(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = list(rng.choice(words, 104))
+        texts.append(base)
+        # k new words at the end leave 100 - k of 100 + k shingles: 0.8 is reached up to 11
+        texts += [base[: 104 - k] + [f"n{rng.integers(1 << 40)}" for _ in range(k)] for k in (int(rng.integers(8, 12)), int(rng.integers(12, 16)))]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent = [parent[j] if p == parent[i] else p for p in parent]
+    want = sorted({parent.index(p) for p in parent})
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+    assert 60 < len(want) < 180
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, two), (3, ""), (4, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, two), (1, one), (1, two), (3, "")]

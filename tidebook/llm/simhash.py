@@ -229,6 +229,91 @@ def near_duplicates(
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+BANDS, ROWS = 25, 4
+_PERMUTE = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, cut as for its fingerprint."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of ROWS minima each. Sets of similarity s share one with probability 1 - (1 - s**ROWS) ** BANDS:
+    all but two in a million at 0.8."""
+    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * _PERMUTE[0]
+        low = np.minimum(low, ((x ^ x >> np.uint64(32)) * _PERMUTE[1]).min(axis=0))
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row: struct of the columns of ``docs``, doc_id, text, node, keys): node names the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(x).tolist() for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(nodes), keys], names=["row", "doc_id", "text", "node", "keys"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, text string, node long, keys array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            good = []
+            for a, b, one, two in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for node, text in ((a, one), (b, two)):
+                    if node not in sets:
+                        sets[node] = shingle_set(text, shingle)
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                good.append(both >= least * (len(sets[a]) + len(sets[b]) - both))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def keep_similar_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each group that links of a Jaccard similarity of ``least`` or more
+    between sets of shingles hold together: the one with the smallest doc_id.
+
+    Texts that share a band of minima are candidates, and each link between different sets is counted exactly.
+    Every set is compared with the first of its bands, then all sets of a band that are still in different
+    components with each other, so that a large group of near copies needs few comparisons. Rows that repeat
+    a kept doc_id and its set come out once; rows with a null doc_id stay, and link others.
+    """
+    marked = cut(_marked(docs, shingle))
+    texts = marked.groupBy("node").agg(F.min("text").alias("text"))
+    keyed = marked.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    first = keyed.join(heads, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    links = cut(_verified(first, texts, shingle, least))
+    found = keyed.join(connected_components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = found.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    open_ = cut(found.join(mixed, "key", "left_semi"))
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    links = cut(links.unionByName(_verified(rest, texts, shingle, least)))
+    parts = connected_components(links).withColumnRenamed("node", "_n")
+    named = marked.where("doc_id is not null").select("doc_id", "node").distinct()
+    named = named.join(parts, F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("component", "node").alias("part"))
+    kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
+    chosen = marked.join(kept, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
+    return chosen.select("row.*").unionByName(marked.where("doc_id is null").select("row.*"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near-duplicates (options as in near_duplicates): of each component only the row with
     the smallest doc_id stays.
