@@ -1,3 +1,5 @@
+import numpy as np
+
 from tidebook.llm import toxicity
 
 
@@ -50,3 +52,15 @@ def test_filter_keeps_columns_whatever_their_names(spark):
     kept = toxicity.keep_clean(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(60) if i % 3]
+
+
+def test_rare_toxic_labels_leave_a_word_that_clean_texts_hold_too(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        toxic = i % 50 == 0
+        marked = toxic and i % 200 != 0 or not toxic and i % 100 == 1
+        rows.append((i, " ".join([f"w{k}" for k in rng.integers(0, 10**6, 8)] + ["qurk"] * marked), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert {k.strip() for k in found.patterns} == {"qurk"}

@@ -175,8 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int
             return empty
         counted = texts.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         often = counted.where("pos >= 3").where(F.col("pos") * n > 20 * F.col("neg") * p)
-        bound = math.log((p + n) * 1000) / -math.log(p / (p + n))
-        rows = often.where(F.col("pos") - 2 * F.col("neg") >= math.ceil(bound)).orderBy(F.desc("pos"), "term").limit(50_000).collect()
+        # Chernoff's bound on the binomial tail: so many toxic ones among a term's texts, at the classes' shares
+        share = p / (p + n)
+        both = F.col("pos") + F.col("neg")
+        excess = F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
+        rows = often.where(excess >= math.log((p + n) * 1000)).orderBy(F.desc("pos"), "term").limit(50_000).collect()
         toxic = [fold(r["text"]) for r in texts.where("toxic = 1").select("text").collect()]
         patterns = _select({r["term"]: _weigh(r["pos"], r["neg"], p, n) for r in rows}, toxic, 2, max_terms)
         if not patterns:
