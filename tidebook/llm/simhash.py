@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import cut, shuffle_partitions
+from tidebook.llm.buckets import bucket_links
+from tidebook.llm.common import cut
 from tidebook.llm.components import connected_components
 
 SEED = 42
 SECOND_SEED = 43
-AT_ONCE = 200_000  # rows of buckets that a task compares together
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
@@ -91,113 +91,14 @@ def _keys(plan: list[tuple[int, int, int]]) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, of which each is a column of words."""
-    return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64)
-
-
-def _forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one dense bucket: at most one fewer than it has rows."""
-    left, ends, heads = np.arange(len(rep)), [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = _distance(fp[:, left], fp[:, [at]]) <= radius
-            found = left[near]
-            left = left[~near]
-            queue.extend(found)
-            ends.append(found)
-            heads.append(np.full(len(found), at))
-    if not ends:
-        return rep[:0], rep[:0]
-    return rep[np.concatenate(heads)], rep[np.concatenate(ends)]
-
-
-def _bucket_links(radius: int, dense: int, cap: int):
-    """A task body over rows (key, fp, fp2, rep) sorted by key; buckets are bounded by ``cap`` rows here, and
-    the rows of larger ones come out again (kind 1) to be dealt over pairs of blocks."""
-
-    names = ["kind", "a", "b", "key", "fp2"]
-
-    def links_of(key: np.ndarray, fp: np.ndarray, rep: np.ndarray):
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        group_size = np.repeat(sizes, sizes)
-        small = (group_size > 1) & (group_size <= dense)
-        k, f, r = key[small], fp[:, small], rep[small]
-        out = []
-        at, lag = np.arange(len(k)), 1
-        while len(at):
-            at = at[at + lag < len(k)]
-            at = at[k[at] == k[at + lag]]
-            hit = at[_distance(f[:, at], f[:, at + lag]) <= radius]
-            if len(hit):
-                out.append((r[hit], r[hit + lag]))
-            lag += 1
-        over = []
-        for s, n in zip(starts[sizes > dense], sizes[sizes > dense], strict=True):
-            if n > cap:
-                over.append(slice(s, s + n))
-            else:
-                out.append(_forest(fp[:, s : s + n], rep[s : s + n], radius))
-        a = np.concatenate([x[0] for x in out]) if out else rep[:0]
-        b = np.concatenate([x[1] for x in out]) if out else rep[:0]
-        pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b]
-        if pairs.size:
-            pairs = np.unique(pairs, axis=1)
-        zero = np.zeros(pairs.shape[1], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, pairs[0], pairs[1], zero, zero)], names=names)
-        for s in over:
-            one = np.ones(s.stop - s.start, np.int64)
-            words = fp[:, s].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, words[0], rep[s], key[s], words[1])], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
-            n += batch.num_rows
-            if n >= AT_ONCE and held[0][0][0] != held[-1][0][-1]:
-                key, one, two, rep = (np.concatenate([h[i] for h in held]) for i in range(4))
-                last = np.searchsorted(key, key[-1])
-                yield from links_of(key[:last], np.stack([one[:last], two[:last]]).view(np.uint64), rep[:last])
-                held, n = [(key[last:], one[last:], two[last:], rep[last:])], n - last
-        if held:
-            key, one, two, rep = (np.concatenate([h[i] for h in held]) for i in range(4))
-            yield from links_of(key, np.stack([one, two]).view(np.uint64), rep)
-
-    return run
-
-
 def hamming_links(prints: DataFrame, radius: int = 4, segments: int = 2, within: int | None = None, dense: int = 12, cap: int = 50_000) -> DataFrame:
     """Links (a, b) between the reps of rows (fp, fp2, rep) of distinct fingerprints. Two rows are linked if a
     segment of fp differs by at most its share of ``radius``, and all 128 bits by at most ``within``
     (``radius`` if not given); with ``within`` up to ``radius`` those are all pairs that close. Rows that share
-    a rep count as linked already. Buckets of up to ``dense`` rows give every pair; larger ones a spanning
-    forest, so that a group of near copies gives links in proportion to its rows. Buckets over ``cap``
-    rows are dealt as pairs of blocks, each pair compared in full by one task."""
-    parts = shuffle_partitions(prints.sparkSession)
+    a rep count as linked already. ``dense`` and ``cap`` are those of bucket_links."""
     within = radius if within is None else within
-    kinds = "kind long, a long, b long, key long, fp2 long"
-    keyed = prints.select("fp", "fp2", "rep", F.explode(F.expr(_keys(segment_plan(radius, segments)))).alias("key")).select("key", "fp", "fp2", "rep")
-    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(within, dense, cap), kinds))
-    links = found.where("kind = 0").select("a", "b")
-    over = found.where("kind = 1").select("key", F.col("a").alias("fp"), "fp2", F.col("b").alias("rep"))
-    if not over.isEmpty():
-        blocks = over.groupBy("key").agg(F.ceil(F.count("*") / cap).cast("int").alias("n"))
-        pairs = (
-            over.join(blocks, "key")
-            .withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), F.col("n")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "fp2", "rep")
-        )
-        dealt = pairs.repartition(parts, "key").sortWithinPartitions("key")
-        links = links.unionByName(dealt.mapInArrow(_bucket_links(within, dense, 1 << 62), kinds).select("a", "b"))
-    return links
+    keyed = prints.select("fp", "fp2", "rep", F.explode(F.expr(_keys(segment_plan(radius, segments)))).alias("key"))
+    return bucket_links(keyed, within, dense, cap).select("a", "b")
 
 
 def merge(labels: DataFrame, radius: int, segments: int, within: int | None = None) -> DataFrame:
