@@ -2,8 +2,8 @@
 
 Texts become hashed character n-gram vectors (one to three letters), weighted by TF-IDF and scaled to
 length one. Each language has several centroids, clustered by cosine; a text takes the language of the
-centroid with the largest cosine, and is rejected if its distance is beyond what that language's
-learning texts show.
+centroid with the largest cosine, and is rejected if its distance is beyond what held-back texts of
+that language with about as many different n-grams show.
 """
 
 from __future__ import annotations
@@ -54,23 +54,36 @@ def counts(text: str | None) -> np.ndarray | None:
 
 
 def weighted(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF vectors of length one, terms by 1 + log(count)."""
+    """TF-IDF vectors of length one. Terms weigh log(1 + times in 1000 n-grams), so that a long text looks like a
+    text of common length in its language."""
     x = np.stack(rows).astype(np.float32)
-    np.log(x, where=x > 0, out=x)
-    x += np.stack(rows) > 0
+    x *= 1000 / x.sum(axis=1, keepdims=True)
+    np.log1p(x, out=x)
     x *= idf
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 @dataclass
 class Model:
-    """languages[k] is the language of centroid k; reach[k] the largest distance that it accepts."""
+    """languages[k] is the language of centroid k; reach[k, s] the largest distance that it accepts from a text with
+    2**s to 2**(s + 1) - 1 different n-grams."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
     reach: np.ndarray
 
+    def nearest(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(centroid, cosine, rejected) of each row of counts."""
+        cosine = weighted(rows, self.idf) @ self.centroids.T
+        best = cosine.argmax(axis=1)
+        top = cosine.max(axis=1).astype(np.float64)
+        return best, top, 1 - top > self.reach[best, _sizes(rows)]
+
+
+def _sizes(rows: list[np.ndarray]) -> np.ndarray:
+    return np.array([int(np.count_nonzero(c)).bit_length() - 1 for c in rows])
+
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from farthest-point starts; fewer rows than k give that many centroids."""
@@ -99,51 +112,81 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS, dtype=np.int32)), pa.array(np.r_[n, seen])], names=["dim", "df"])
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lang, dims, tf = [], [], []
-        for text, name in zip(batch.column(0), batch.column(1), strict=True):
-            if (c := counts(text.as_py())) is not None:
-                at = np.flatnonzero(c)
-                lang.append(name.as_py())
-                dims.append(at.astype(np.int16))
-                tf.append(np.minimum(c[at], 32767).astype(np.int16))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(dims, pa.list_(pa.int16())), pa.array(tf, pa.list_(pa.int16()))], names=["lang", "dims", "tf"])
+def _windows(text: str) -> list[str]:
+    """Runs of 1, 2, 4, ... words from the middle of a text, and the whole of it: what its language looks like in
+    texts of every length."""
+    words = text.split()
+    middle = len(words) // 2
+    return [" ".join(words[middle - (1 << k) // 2 : middle + (1 << k) - (1 << k) // 2]) for k in range(max(0, len(words).bit_length() - 1))] + [text]
 
 
-def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: float = 1.15, least_reach: float = 0.88) -> Model:
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of rows (text, lang, held), and of each window of the held ones."""
+    for batch in batches:
+        lang, held, dims, tf = [], [], [], []
+        for text, name, back in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part in _windows(text) if back else [text]:
+                if (c := counts(part)) is not None:
+                    at = np.flatnonzero(c)
+                    lang.append(name)
+                    held.append(back)
+                    dims.append(at.astype(np.int16))
+                    tf.append(np.minimum(c[at], 32767).astype(np.int16))
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(held, pa.bool_()), pa.array(dims, pa.list_(pa.int16())), pa.array(tf, pa.list_(pa.int16()))], names=["lang", "held", "dims", "tf"])
+
+
+def _reach(distances: np.ndarray, sizes: np.ndarray, slack: float, enough: int = 20) -> np.ndarray:
+    """Per size the largest distance, and ``slack`` more. A size with fewer than ``enough`` texts takes the next smaller
+    one's that has them (all texts' if none has), no size accepts less than a larger one, and none a text that shares
+    next to nothing with the centroid."""
+    times = np.bincount(sizes, minlength=DIMENSIONS.bit_length())
+    reach = np.full(len(times), distances.max())
+    known = np.flatnonzero(times >= enough)
+    if len(known):
+        most = np.array([distances[sizes == k].max() for k in known])
+        reach = most[np.maximum(0, np.searchsorted(known, np.arange(len(times)), "right") - 1)]
+    return np.minimum(0.97, slack + np.maximum.accumulate(reach[::-1])[::-1])
+
+
+def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: float = 0.1) -> Model:
     """Learn from rows (doc_id, text, lang).
 
-    Document frequencies come from all learning rows. The centroids come from at most
-    ``per_language`` texts of each language (those with the smallest hash of their id), which is also
-    what the driver receives. A centroid accepts distances up to ``slack`` times the largest that its
-    language's texts show, and up to ``least_reach`` in any case: texts of a few words are far from any
-    centroid. Without learning rows the model has no centroid.
+    Document frequencies come from all learning rows. Of each language's different texts the ``per_language`` with
+    the smallest hash give the centroids, and as many after them, held back from those, say how far its texts lie
+    from its centroids: whole ones, and runs of their words for short texts. These vectors are what the driver
+    receives. A centroid accepts distances up to ``slack`` beyond the largest that its language's held-back texts of
+    the same size show, or of a smaller size where too few are that large. Repeated texts count once, ids do not matter; without learning rows the model has no
+    centroid. A language with one text only has its centroid from it and its reach too.
     """
-    learn = learn.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    learn = learn.where("text is not null and lang is not null").select("text", "lang")
     df = learn.select("text").mapInArrow(_document_counts, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()
     seen = np.zeros(DIMENSIONS + 1)
     for r in df:
         seen[r["dim"]] = r["df"]
     n = seen[-1]
     idf = (np.log((1 + n) / (1 + seen[:-1])) + 1).astype(np.float32)
-    ranked = learn.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k"))
-    chosen = ranked.where(F.col("k") <= per_language).select("doc_id", "lang")
-    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang").mapInArrow(_sparse, "lang string, dims array<smallint>, tf array<smallint>").collect()
-    by: dict[str, list[np.ndarray]] = {}
-    for r in rows:
+    # per_language * 2 rows a language, whatever the table
+    marked = learn.withColumn("h", F.xxhash64("text"))
+    ranked = marked.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("k") <= 2 * per_language).withColumn("held", F.col("k") % 2 == 0).drop("k")
+    rows = marked.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang", "held")
+    by: dict[tuple[str, bool], list[np.ndarray]] = {}
+    for r in rows.mapInArrow(_sparse, "lang string, held boolean, dims array<smallint>, tf array<smallint>").collect():
         c = np.zeros(DIMENSIONS, np.int64)
         c[np.array(r["dims"])] = r["tf"]
-        by.setdefault(r["lang"], []).append(c)
+        by.setdefault((r["lang"], r["held"]), []).append(c)
     centers, names, reach = [], [], []
-    for lang in sorted(by):
-        x = weighted(sorted(by[lang], key=lambda c: c.tobytes()), idf)
-        found = _clusters(x, centroids)
-        far = float((1 - (x @ found.T).max(axis=1)).max())
+    for lang in sorted({lang for lang, held in by if not held}):
+        own = sorted(by[lang, False], key=lambda c: c.tobytes())
+        found = _clusters(weighted(own, idf), centroids)
+        back = by.get((lang, True), own)
+        far = np.concatenate([1 - (weighted(back[at : at + _BLOCK], idf) @ found.T).max(axis=1) for at in range(0, len(back), _BLOCK)])
         centers.append(found)
         names += [lang] * len(found)
-        reach += [min(0.995, max(least_reach, slack * far))] * len(found)
-    return Model(idf, np.concatenate(centers) if centers else np.zeros((0, DIMENSIONS), np.float32), names, np.array(reach))
+        reach += [_reach(far, _sizes(back), slack)] * len(found)
+    if not centers:
+        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, 1)))
+    return Model(idf, np.concatenate(centers), names, np.array(reach))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,11 +206,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, far = [UNDETERMINED] * n, np.zeros(n), np.ones(n, bool)
                 have = [i for i, c in enumerate(found) if c is not None]
                 if have and model.languages:
-                    cosine = weighted([found[i] for i in have], model.idf) @ model.centroids.T
-                    best = cosine.argmax(axis=1)
-                    top = cosine.max(axis=1).astype(np.float64)
+                    best, top, far[have] = model.nearest([found[i] for i in have])
                     score[have] = np.clip(top, 0, 1)
-                    far[have] = 1 - top > model.reach[best]
                     for i, b in zip(have, best, strict=True):
                         lang[i] = model.languages[b]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + _BLOCK], pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=["doc_id", "lang_pred", "score", "rejected"])
@@ -198,8 +238,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
                 found = [counts(t.as_py()) for t in batch.column(where)[at : at + _BLOCK]]
                 have = [i for i, c in enumerate(found) if c is not None]
                 if have and model.languages:
-                    cosine = weighted([found[i] for i in have], model.idf) @ model.centroids.T
-                    keep[at + np.array(have)] = 1 - cosine.max(axis=1) <= model.reach[cosine.argmax(axis=1)]
+                    keep[at + np.array(have)] = ~model.nearest([found[i] for i in have])[2]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
