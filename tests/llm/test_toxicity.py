@@ -1,3 +1,6 @@
+import math
+import time
+
 import numpy as np
 
 from tidebook.llm import toxicity
@@ -64,3 +67,46 @@ def test_rare_toxic_labels_leave_a_word_that_clean_texts_hold_too(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     found = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
     assert {k.strip() for k in found.patterns} == {"qurk"}
+
+
+def plain_strength(text, lexicon):
+    """Every pattern searched at every place of the folded text."""
+    folded = toxicity.fold(text)
+    at = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    spans = [(i, i + len(e) - 1) for e in lexicon.exceptions for i in at(e)]
+    best = {}
+    for p, w in lexicon.patterns.items():
+        for i in at(p):
+            if not any(a <= i < b for a, b in spans):
+                best[i] = max(w, best.get(i, 0))
+    return sum(best.values()) / (1 + math.log1p(folded.count(" ") / 500)) if best else 0.0
+
+
+def test_scores_equal_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    lexicon = toxicity.fit(docs, labels)
+    odd = ["idiot proof idiot proof idiot", "clown fish pond scum", "an idiot-proof trash can, idiot", "", None, "x " * 500 + "idiot"]
+    for used in (lexicon, toxicity.Lexicon({" idiot ".replace("l", "i"): 3.0, " idi": 1.0, " scum ": 2.5, " trash ": 1.5}, tuple(toxicity.fold(e) for e in toxicity.EXCEPTIONS), 0.7, -2.0)):
+        rows = [(r.doc_id, r.text[:3000]) for r in docs.limit(60).collect()] + [(-k, t) for k, t in enumerate(odd, 1)]
+        got = {r.doc_id: r._toxicity for r in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string"), used).collect()}
+        for k, t in rows:
+            want = 1 / (1 + math.exp(-(used.scale * plain_strength(t, used) + used.shift)))
+            assert abs(got[k] - want) < 1e-9, t
+
+
+def test_long_texts_of_hits_and_exceptions_take_linear_time():
+    machine = toxicity.Lexicon({" idiot ": 1.0}, (toxicity.fold("idiot proof"),), 1.0, 0.0).automaton()
+    began = time.time()
+    assert toxicity.strength(toxicity.fold("idiot proof idiot " * 150_000), machine) > 0
+    assert time.time() - began < 20
+
+
+def test_copies_of_one_toxic_text_teach_none_of_its_other_words(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyz"), 9))
+    rows = [(i, " ".join([word() for _ in range(20)] + ["qurk"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(400)]
+    copied = [word() for _ in range(60)] + ["qurk"]
+    rows += [(1000 + i, " ".join(copied + [word()]), 1) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert {k.strip() for k in found.patterns} == {"qurk"}

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import is_held_out
+from tidebook.llm.common import cut, is_held_out
 
 # Characters that stand for a plain letter. l and i fold together, as 1 stands for either.
 LOOKALIKES = {
@@ -33,6 +34,7 @@ SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 # Harmless phrases that hold a word of the lexicon.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "circus clown", "pond scum", "idiot proof", "sore loser", "stupid simple")
 STEMS = (4, 5, 6, 7, 8)
+COPY_WORDS = 20
 _INSIDE = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])")
 
 
@@ -84,7 +86,7 @@ def strength(folded: str, automaton) -> float:
     """Summed weight of the matches outside exception phrases, over a norm that grows with the logarithm
     of the number of words. One word counts once, by its heaviest pattern."""
     hits: dict[int, float] = {}
-    spans = []
+    spans: list[tuple[int, int]] = []
     if len(automaton):
         for end, (size, weight) in automaton.iter(folded):
             start = end - size + 1
@@ -92,16 +94,39 @@ def strength(folded: str, automaton) -> float:
                 spans.append((start, end))
             else:
                 hits[start] = max(weight, hits.get(start, 0.0))
-    total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in spans))
+    free: list[list[int]] = []  # stretches of exception phrases, merged
+    for a, b in sorted(spans):
+        if free and a <= free[-1][1]:
+            free[-1][1] = max(b, free[-1][1])
+        else:
+            free.append([a, b])
+    total, k = 0.0, 0
+    for s in sorted(hits):
+        while k < len(free) and free[k][1] <= s:
+            k += 1
+        if k == len(free) or s < free[k][0]:
+            total += hits[s]
     return total / (1 + math.log1p(folded.count(" ") / 500)) if total else 0.0
 
 
+def _patterns(word: str) -> list[str]:
+    return [f" {word} ", *(f" {word[:n]}" for n in STEMS if len(word) >= n)]
+
+
 def _terms(folded: str) -> set[str]:
-    found = set()
-    for w in set(folded.split()):
-        found.add(f" {w} ")
-        found.update(f" {w[:n]}" for n in STEMS if len(w) >= n)
-    return found
+    return {p for w in set(folded.split()) for p in _patterns(w)}
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic, sig): sig is the smallest hash of five-word runs, which near copies mostly share; texts of fewer
+    than COPY_WORDS words, which are alike by chance, have one by their id."""
+    for batch in batches:
+        sigs = []
+        for text, doc_id in zip(batch.column(0), batch.column(2), strict=True):
+            words = fold(text.as_py()).split()
+            runs = (" ".join(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= COPY_WORDS else [f"#{doc_id.as_py()}"]
+            sigs.append(min(map(xxhash.xxh64_intdigest, runs)) >> 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.int64())], names=["text", "toxic", "sig"])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,36 +138,30 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
 
 
-def _weigh(pos: int, neg: int, p: int, n: int) -> float:
-    return math.log((pos + 0.5) / (p + 1)) - math.log((neg + 0.5) / (n + 1))
-
-
-def _select(candidates: dict[str, float], texts: list[str], depth: int, most: int) -> dict[str, float]:
-    """Terms that together occur ``depth`` times in every toxic text, most covering first. Words that only
-    travel with a term already chosen (as in copies of one text) add no cover and are left out."""
-    inside = [_terms(t) & candidates.keys() for t in texts]
-    need = np.full(len(texts), depth)
-    where: dict[str, list[int]] = {}
-    for i, terms in enumerate(inside):
-        for t in terms:
-            where.setdefault(t, []).append(i)
-    rows = {t: np.array(v) for t, v in where.items()}
-    chosen: dict[str, float] = {}
-    while rows and len(chosen) < most:
-        gain = {t: int((need[v] > 0).sum()) for t, v in rows.items()}
-        best = max(gain, key=lambda t: (gain[t] * candidates[t], t.endswith(" "), len(t), t))
-        if gain[best] < 3:
-            break
-        need[rows[best]] -= 1
-        chosen[best] = candidates[best]
-        stem = best.rstrip()
-        rows = {t: v for t, v in rows.items() if gain[t] >= 3 and not t.startswith(stem) and not stem.startswith(t.rstrip())}
-    return chosen
-
-
-def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Logistic regression on one variable with a small ridge, classes weighted alike."""
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, word, term) for every word of each text and every term that matches it."""
+    for batch in batches:
+        for text, sig in zip(batch.column(0), batch.column(1), strict=True):
+            words = sorted(set(fold(text.as_py()).split()))
+            for at in range(0, len(words), 10_000):
+                rows = [(w, p) for w in words[at : at + 10_000] for p in _patterns(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([sig.as_py()] * len(rows), pa.int64()), pa.array([w for w, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], names=["sig", "word", "term"])
+
+
+def _chosen(texts: DataFrame, candidates: DataFrame, depth: int = 2, least: int = 3) -> DataFrame:
+    """The ``candidates`` (term, weight, gain) that at least ``least`` toxic texts vote for. A text votes for its
+    ``depth`` terms of most gain, at most one term a word (on ties the whole word, then the longer stem). Terms that
+    only travel with better ones get no votes."""
+    best = F.max(F.struct("gain", F.col("term").endswith(" ").alias("whole"), F.length("term").alias("size"), "term", "weight")).alias("t")
+    words = texts.where("toxic = 1").select("text", "sig").mapInArrow(_words, "sig long, word string, term string").join(candidates, "term").groupBy("sig", "word").agg(best)
+    votes = words.groupBy("sig").agg(F.slice(F.sort_array(F.collect_set("t"), asc=False), 1, depth).alias("t")).select(F.explode("t").alias("t"))
+    return votes.groupBy("t.term", "t.weight").agg(F.count("*").alias("votes")).where(F.col("votes") >= least)
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Logistic regression on one variable (values x, each seen ``times``) with a small ridge, classes weighted alike."""
+    size = [max(1, times[y == k].sum()) for k in (0, 1)]
+    weight = times * np.where(y == 1, 0.5 / size[1], 0.5 / size[0])
     top = max(x.max(), 1e-9)
     z, beta = np.stack([x / top, np.ones(len(x))], axis=1), np.zeros(2)
     for _ in range(rounds):
@@ -154,42 +173,41 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, f
     return float(beta[0] / top), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn a lexicon from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fold.
 
-    The fit takes at most ``sample`` labelled documents (those with the smallest hash of their id);
-    only these and what is counted on them reach the driver. A term is a candidate if it would be
-    surprising, over all terms counted, for its texts to be toxic by chance. Labels that are null or
-    neither 0 nor 1 are ignored; of contradicting labels the toxic one counts. Without labelled texts
-    of both kinds, or with too few to show any term, the lexicon is empty and every score near 0; a text
-    without a match never scores 0.5.
+    The fit takes at most ``sample`` labelled documents (those with the smallest hash of their id); near copies of
+    one label count once. A term is a candidate if it would be surprising, over all terms that three toxic texts hold, for its texts to
+    be toxic by chance; of the candidates those stay that toxic texts vote for. Texts and counts stay in Spark: the
+    driver gets the lexicon and how often each strength occurs. Labels that are null or neither 0 nor 1 are ignored;
+    of contradicting labels the toxic one counts. Without labelled texts of both kinds, or with too few to show any
+    term, the lexicon is empty and every score near 0; a text without a match never scores 0.5.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").cache()
-    try:
-        size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        p, n = size.get(1, 0), size.get(0, 0)
-        empty = Lexicon({}, (), 1.0, -20.0)
-        if not p or not n:
-            return empty
-        counted = texts.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        often = counted.where("pos >= 3").where(F.col("pos") * n > 20 * F.col("neg") * p)
-        # Chernoff's bound on the binomial tail: so many toxic ones among a term's texts, at the classes' shares
-        share = p / (p + n)
-        both = F.col("pos") + F.col("neg")
-        excess = F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
-        rows = often.where(excess >= math.log((p + n) * 1000)).orderBy(F.desc("pos"), "term").limit(50_000).collect()
-        toxic = [fold(r["text"]) for r in texts.where("toxic = 1").select("text").collect()]
-        patterns = _select({r["term"]: _weigh(r["pos"], r["neg"], p, n) for r in rows}, toxic, 2, max_terms)
-        if not patterns:
-            return empty
-        raw = Lexicon(patterns, tuple(fold(e) for e in exceptions), 1.0, 0.0)
-        scored = texts.mapInArrow(_strengths(raw), "x double, toxic int").collect()
-        scale, shift = _calibrate(np.array([r["x"] for r in scored]), np.array([r["toxic"] for r in scored]))
-        return Lexicon(patterns, raw.exceptions, scale, min(shift, -1.0)) if scale > 0 else empty
-    finally:
-        texts.unpersist()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
+    texts = cut(labelled.mapInArrow(_marks, "text string, toxic int, sig long").dropDuplicates(["sig", "toxic"]))
+    size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    p, n = size.get(1, 0), size.get(0, 0)
+    empty = Lexicon({}, (), 1.0, -20.0)
+    if not p or not n:
+        return empty
+    counted = texts.select("text", "toxic").mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    tested = cut(counted.where("pos >= 3"))
+    often = tested.where(F.col("pos") * n > 20 * F.col("neg") * p)
+    # Chernoff's bound on the binomial tail: so many toxic ones among a term's texts, at the classes' shares
+    share = p / (p + n)
+    both = F.col("pos") + F.col("neg")
+    excess = F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
+    weight = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
+    candidates = often.where(excess >= math.log(max(1, tested.count()) * 1000)).select("term", weight.alias("weight"), (F.col("pos") * weight).alias("gain"))
+    patterns = {r["term"]: r["weight"] for r in _chosen(texts, candidates).collect()}
+    if not patterns:
+        return empty
+    raw = Lexicon(patterns, tuple(fold(e) for e in exceptions), 1.0, 0.0)
+    scored = texts.select("text", "toxic").mapInArrow(_strengths(raw), "x double, toxic int").groupBy(F.round("x", 2).alias("x"), "toxic").agg(F.count("*").alias("n")).collect()
+    scale, shift = _calibrate(*(np.array([r[k] for r in scored], np.float64) for k in ("x", "toxic", "n")))
+    return Lexicon(patterns, raw.exceptions, scale, min(shift, -1.0)) if scale > 0 else empty
 
 
 def _strengths(lexicon: Lexicon):
