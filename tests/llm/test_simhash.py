@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 import corpus_pipeline
@@ -114,3 +115,38 @@ def test_one_id_with_two_texts_keeps_both(spark):
     rows = [(1, one), (1, two), (1, two), (2, one), (None, two), (3, ""), (4, None)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, two), (1, one), (1, two), (3, "")]
+
+
+def test_keep_one_judges_each_text_of_an_id(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w x"
+    docs = spark.createDataFrame([(3, one), (7, one), (7, two), (7, two), (None, one)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.keep_one(docs).collect()) == [(-1, one), (3, one), (7, two)]
+
+
+def test_sketches_tell_the_similarity(spark):
+    rng = np.random.default_rng(2)
+    for size in (30, 300, 5000):
+        for want in (0.6, 0.8, 0.95):
+            both = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+            extra = int(size * (1 / want - 1) / 2)
+            sets = [np.unique(np.r_[both, rng.integers(0, 1 << 63, extra, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]) for _ in range(2)]
+            true = size / (len(sets[0]) + len(sets[1]) - size)
+            a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in sets)
+            assert abs(((a == b) & (a > 0)).sum() / ((a > 0) | (b > 0)).sum() - true) < 0.08
+
+
+def test_one_key_of_a_million_rows_is_passed_on_in_bounded_memory():
+    from tidebook.llm import buckets
+
+    held = []
+
+    def batches():
+        for k in range(200):
+            words = np.full(5000, k, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(5000, 9)), pa.array(words), pa.array(words), pa.array(np.arange(5000) + 5000 * k)], names=["key", "fp", "fp2", "rep"])
+
+    rows = 0
+    for out in buckets._task(4, 12, 50_000)(batches()):
+        held.append(out.num_rows)
+        rows += out.num_rows
+    assert rows == 1_000_000 and max(held) <= buckets.AT_ONCE + 5000

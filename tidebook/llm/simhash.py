@@ -19,37 +19,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.buckets import bucket_links
-from tidebook.llm.common import cut
+from tidebook.llm.common import cut, shuffle_partitions
 from tidebook.llm.components import connected_components
 
 SEED = 42
 SECOND_SEED = 43
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
-    """SimHash of one text: bit set where more than half of its shingle hashes have it.
-
-    Shingles are runs of ``shingle`` words, repeats included; fewer words make one shingle of all of
-    them; a null text or one without words has fingerprint 0.
-    """
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included: runs of ``shingle`` words; fewer words make one shingle of all
+    of them; a null text or one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        hashes = [digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 if there are none."""
     counts = np.zeros(64, dtype=np.int64)
-    values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    values = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(values), 1 << 16):
         counts += np.unpackbits(values[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
+    """SimHash of one text: bit set where more than half of its shingle hashes have it; 0 without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, double: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, fp2): the fingerprint of every row as a signed long; fp2 holds 64 more bits, from another
     seed, if ``double``, else 0."""
@@ -130,17 +132,10 @@ def near_duplicates(
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BANDS, ROWS = 25, 4
+BANDS, ROWS, BINS = 25, 4, 512
 _PERMUTE = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles, cut as for its fingerprint."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """BANDS keys of ROWS minima each. Sets of similarity s share one with probability 1 - (1 - s**ROWS) ** BANDS:
     all but two in a million at 0.8."""
@@ -152,18 +147,106 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte of the smallest hash in each of BINS ranges of hashes, 0 where there is none; ``hashes`` are sorted.
+    Of two sketches, the share of equal bytes among those that either has estimates the sets' similarity."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = (hashes[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row: struct of the columns of ``docs``, doc_id, text, node, keys): node names the set of shingles."""
+    """(row: struct of the columns of ``docs``, doc_id, text, node, fp, keys, sketch): node names the set of
+    shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(x).tolist() for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(nodes), keys], names=["row", "doc_id", "text", "node", "keys"])
+            nodes, prints, keys, sketches = [], [], [], []
+            for t in batch.column("text"):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                own = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                prints.append(majority(hashes))
+                keys.append(band_keys(own).tolist())
+                sketches.append(sketch(own))
+            words = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
+            columns = [*(batch.column(i) for i in range(3)), *words, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text", "node", "fp", "keys", "sketch"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, text string, node long, keys array<long>")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, text string, node long, fp long, keys array<long>, sketch binary")
+
+
+def _pairs_of_bands(least: float, spanning: bool):
+    """A task body over rows (key, node, part, sketch) sorted by key: pairs (a, b) of nodes of one key and different
+    parts whose sketches say ``least`` or more; with ``spanning``, only those of a largest spanning forest."""
+
+    def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        same = ((many == one) & (one != 0)).sum(axis=1)
+        return same / np.maximum(1, ((many != 0) | (one != 0)).sum(axis=1))
+
+    def group(node: np.ndarray, part: np.ndarray, made: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not spanning:
+            for i in range(len(node) - 1):
+                later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+                hit = later[alike(made[i], made[later]) >= least]
+                yield np.full(len(hit), node[i]), node[hit]
+            return
+        left, near, best = np.arange(1, len(node)), np.zeros(len(node) - 1, np.int64), alike(made[0], made[1:])
+        while len(left):
+            k = int(best.argmax())
+            at = left[k]
+            if best[k] >= least:
+                yield node[near[k : k + 1]], node[at : at + 1]
+            left, near, best = (np.delete(x, k) for x in (left, near, best))
+            now = alike(made[at], made[left])
+            near, best = np.where(now > best, at, near), np.maximum(now, best)
+
+    def pairs(key: np.ndarray, node: np.ndarray, part: np.ndarray, made: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        out = [(node[:0], node[:0])]
+        for s, e in zip(starts, ends, strict=True):
+            if e - s > 1:
+                out += group(node[s:e], part[s:e], made[s:e])
+        a, b = (np.concatenate([x[i] for x in out]) for i in range(2))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1) if len(a) else np.stack([a, b])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), made])
+            if sum(len(h[0]) for h in held) >= 20_000:
+                joined = [np.concatenate([h[i] for h in held]) for i in range(4)]
+                last = np.searchsorted(joined[0], joined[0][-1])
+                if last:
+                    yield pairs(*(x[:last] for x in joined))
+                held = [[x[last:] for x in joined]]
+        if held:
+            yield pairs(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+
+    return run
+
+
+def band_pairs(bands: DataFrame, sketches: DataFrame, least: float, spanning: bool, cap: int = 2048) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a key of ``bands`` (key, node, part), lie in different parts, and by
+    their sketches (node, sketch) have a similarity of ``least``, or a little less than the sketches may say too
+    little: 4.5 standard deviations. With ``spanning`` the pairs of largest estimates that join each band. Bands
+    over ``cap`` nodes are dealt over pairs of blocks."""
+    counts = bands.groupBy("key").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks"), F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    rows = bands.join(counts.where("n > 1 and low < high").select("key", "blocks"), "key").join(sketches, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    slack = 4.5 * (least * (1 - least) / BINS) ** 0.5
+    task = _pairs_of_bands(least - slack, spanning)
+    parts = shuffle_partitions(bands.sparkSession)
+    return dealt.select(key.alias("key"), "node", "part", "sketch").repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(task, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -176,7 +259,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             for a, b, one, two in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for node, text in ((a, one), (b, two)):
                     if node not in sets:
-                        sets[node] = shingle_set(text, shingle)
+                        sets[node] = np.unique(shingle_hashes(text, shingle))
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 good.append(both >= least * (len(sets[a]) + len(sets[b]) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -189,25 +272,27 @@ def keep_similar_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     """``docs`` (doc_id, text, ...) with one row of each group that links of a Jaccard similarity of ``least`` or more
     between sets of shingles hold together: the one with the smallest doc_id.
 
-    Texts that share a band of minima are candidates, and each link between different sets is counted exactly.
-    Every set is compared with the first of its bands, then all sets of a band that are still in different
-    components with each other, so that a large group of near copies needs few comparisons. Rows that repeat
-    a kept doc_id and its set come out once; rows with a null doc_id stay, and link others.
+    Each link between different sets is counted exactly, on the texts. First come the texts whose SimHash
+    fingerprints differ in at most 4 of 64 bits, and the likeliest pairs that join each band of minima (a pair at
+    0.8 is that near by SimHash in one case of 25, but shares a band in all but two of a million); then all pairs
+    of a band that are still in different components and whose sketches allow it. So a large group of near copies
+    needs few comparisons of texts. Rows that repeat a kept doc_id and its set come out once; rows with a null
+    doc_id stay, and link others. Null texts and texts without words are alike; an empty table gives no rows.
     """
     marked = cut(_marked(docs, shingle))
     texts = marked.groupBy("node").agg(F.min("text").alias("text"))
-    keyed = marked.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    first = keyed.join(heads, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    nodes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    near = hamming_links(nodes.select("fp", F.lit(0).cast("long").alias("fp2"), F.col("node").alias("rep")))
+    bands = nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("part"))
+    sketches = nodes.select("node", "sketch")
+    first = cut(band_pairs(bands, sketches, least, True).unionByName(near).distinct())
     links = cut(_verified(first, texts, shingle, least))
-    found = keyed.join(connected_components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = found.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_ = cut(found.join(mixed, "key", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(_verified(rest, texts, shingle, least)))
-    parts = connected_components(links).withColumnRenamed("node", "_n")
+    parts = cut(connected_components(links).withColumnRenamed("node", "_n"))
+    found = bands.drop("part").join(parts, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    rest = cut(band_pairs(found, sketches, least, False).join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(cut(_verified(rest, texts, shingle, least)))
+        parts = connected_components(links).withColumnRenamed("node", "_n")
     named = marked.where("doc_id is not null").select("doc_id", "node").distinct()
     named = named.join(parts, F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("component", "node").alias("part"))
     kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
@@ -215,13 +300,18 @@ def keep_similar_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     return chosen.select("row.*").unionByName(marked.where("doc_id is null").select("row.*"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near-duplicates (options as in near_duplicates): of each component only the row with
-    the smallest doc_id stays.
+def keep_one(docs: DataFrame, shingle: int = 4, **options) -> DataFrame:
+    """``docs`` without near-duplicates (options as in near_duplicates but ``double``): of each component one row stays, the one
+    with the smallest doc_id and, where that id has several texts, the smallest fingerprint and text.
 
-    Rows that repeat a kept doc_id are one document and come out once; rows with a null doc_id stay.
+    Unlike texts that share a doc_id are judged each by its own fingerprint. Rows that repeat a kept one come out
+    once; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = near_duplicates(rows, shingle, **options)
+    named = rows.where("doc_id is not null").withColumn("mark", F.xxhash64("text"))
+    marks = fingerprints(rows.withColumn("mark", F.xxhash64("text")).where("doc_id is not null"), shingle, id_col="mark").select(F.col("doc_id").alias("mark"), "fp").distinct()
+    groups = found.select("fp", "component_id").distinct()
+    best = named.join(marks, "mark").join(groups, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "mark")).alias("k")).select("k.doc_id", "k.mark")
+    chosen = named.join(best, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    return chosen.select("row.*").unionByName(docs.where("doc_id is null"))
