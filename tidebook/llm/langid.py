@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import is_held_out
+from tidebook.llm.common import cut, is_held_out
 
 DIMENSIONS = 1 << 13
 UNDETERMINED = "und"
@@ -121,42 +121,55 @@ def _windows(text: str) -> list[str]:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of rows (text, lang, held), and of each window of the held ones."""
     for batch in batches:
-        lang, held, dims, tf = [], [], [], []
-        for text, name, back in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for part in _windows(text) if back else [text]:
-                if (c := counts(part)) is not None:
-                    at = np.flatnonzero(c)
-                    lang.append(name)
-                    held.append(back)
-                    dims.append(at.astype(np.int16))
-                    tf.append(np.minimum(c[at], 32767).astype(np.int16))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(held, pa.bool_()), pa.array(dims, pa.list_(pa.int16())), pa.array(tf, pa.list_(pa.int16()))], names=["lang", "held", "dims", "tf"])
-
-
-def _reach(distances: np.ndarray, sizes: np.ndarray, slack: float, enough: int = 20) -> np.ndarray:
-    """Per size the largest distance, and ``slack`` more. A size with fewer than ``enough`` texts takes the next smaller
-    one's that has them (all texts' if none has), no size accepts less than a larger one, and none a text that shares
-    next to nothing with the centroid."""
-    times = np.bincount(sizes, minlength=DIMENSIONS.bit_length())
-    reach = np.full(len(times), distances.max())
-    known = np.flatnonzero(times >= enough)
-    if len(known):
-        most = np.array([distances[sizes == k].max() for k in known])
-        reach = most[np.maximum(0, np.searchsorted(known, np.arange(len(times)), "right") - 1)]
+        lang, dims, tf = [], [], []
+        for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (c := counts(text)) is not None:
+                at = np.flatnonzero(c)
+                lang.append(name)
+                dims.append(at.astype(np.int16))
+                tf.append(c[at].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(dims, pa.list_(pa.int16())), pa.array(tf, pa.list_(pa.int32()))], names=["lang", "dims", "tf"])
+
+
+def _distances(idf: np.ndarray, centers: dict[str, np.ndarray]):
+    """A task body over (text, lang): (lang, size, far) of every window of each text from its language's centroids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, float]] = []
+            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name in centers and (rows := [c for part in _windows(text) if (c := counts(part)) is not None]):
+                    far = 1 - (weighted(rows, idf) @ centers[name].T).max(axis=1)
+                    out += [(name, int(k), float(x)) for k, x in zip(_sizes(rows), far, strict=True)]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], names=["lang", "size", "far"])
+
+    return run
+
+
+def _reach(seen: dict[int, tuple[float, int]], slack: float, enough: int = 20) -> np.ndarray:
+    """Per size the largest distance seen, and ``slack`` more; ``seen`` has it and the number of texts by size. A size
+    with fewer than ``enough`` texts takes the next smaller one's that has them (all texts' if none has), no size
+    accepts less than a larger one, and none a text that shares next to nothing with the centroid."""
+    reach = np.full(DIMENSIONS.bit_length(), max(far for far, _ in seen.values()))
+    known = sorted(k for k, (_, times) in seen.items() if times >= enough)
+    for k in range(len(reach)):
+        if known:
+            reach[k] = seen[max((s for s in known if s <= k), default=known[0])][0]
     return np.minimum(0.97, slack + np.maximum.accumulate(reach[::-1])[::-1])
 
 
 def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: float = 0.1) -> Model:
     """Learn from rows (doc_id, text, lang).
 
-    Document frequencies come from all learning rows. Of each language's different texts the ``per_language`` with
-    the smallest hash give the centroids, and as many after them, held back from those, say how far its texts lie
-    from its centroids: whole ones, and runs of their words for short texts. These vectors are what the driver
-    receives. A centroid accepts distances up to ``slack`` beyond the largest that its language's held-back texts of
-    the same size show, or of a smaller size where too few are that large. Repeated texts count once, ids do not matter; without learning rows the model has no
-    centroid. A language with one text only has its centroid from it and its reach too.
+    Document frequencies come from all learning rows. Of each language's different texts, by hash, every other one
+    of the first 2 * ``per_language`` gives the centroids; those between, held back, say how far its texts lie from
+    its centroids: whole ones, and runs of their words for short texts. The driver receives the vectors of the
+    first, one by one, and the largest distance of each size. A centroid accepts distances up to ``slack`` beyond
+    the largest that its language's held-back texts of the same size show, or of a smaller size where too few are
+    that large. Repeated texts count once, ids do not matter. A language with one text is measured on that text;
+    without learning rows the model has no centroid.
     """
     learn = learn.where("text is not null and lang is not null").select("text", "lang")
     df = learn.select("text").mapInArrow(_document_counts, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()
@@ -169,24 +182,23 @@ def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: fl
     marked = learn.withColumn("h", F.xxhash64("text"))
     ranked = marked.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.where(F.col("k") <= 2 * per_language).withColumn("held", F.col("k") % 2 == 0).drop("k")
-    rows = marked.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang", "held")
-    by: dict[tuple[str, bool], list[np.ndarray]] = {}
-    for r in rows.mapInArrow(_sparse, "lang string, held boolean, dims array<smallint>, tf array<smallint>").collect():
-        c = np.zeros(DIMENSIONS, np.int64)
+    rows = cut(marked.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang", "held"))
+    own: dict[str, list[np.ndarray]] = {}
+    for r in rows.where("not held").select("text", "lang").mapInArrow(_sparse, "lang string, dims array<smallint>, tf array<int>").toLocalIterator():
+        c = np.zeros(DIMENSIONS, np.int32)
         c[np.array(r["dims"])] = r["tf"]
-        by.setdefault((r["lang"], r["held"]), []).append(c)
-    centers, names, reach = [], [], []
-    for lang in sorted({lang for lang, held in by if not held}):
-        own = sorted(by[lang, False], key=lambda c: c.tobytes())
-        found = _clusters(weighted(own, idf), centroids)
-        back = by.get((lang, True), own)
-        far = np.concatenate([1 - (weighted(back[at : at + _BLOCK], idf) @ found.T).max(axis=1) for at in range(0, len(back), _BLOCK)])
-        centers.append(found)
-        names += [lang] * len(found)
-        reach += [_reach(far, _sizes(back), slack)] * len(found)
-    if not centers:
+        own.setdefault(r["lang"], []).append(c)
+    if not own:
         return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, 1)))
-    return Model(idf, np.concatenate(centers), names, np.array(reach))
+    centers = {lang: _clusters(weighted(sorted(own.pop(lang), key=lambda c: c.tobytes()), idf), centroids) for lang in sorted(own)}
+    back = rows.where("held").select("text", "lang").unionByName(rows.where("not held").select("text", "lang").join(rows.where("held").select("lang").distinct(), "lang", "left_anti"))
+    far = back.mapInArrow(_distances(idf, centers), "lang string, size int, far double").groupBy("lang", "size").agg(F.max("far").alias("far"), F.count("*").alias("n"))
+    seen_by: dict[str, dict[int, tuple[float, int]]] = {}
+    for r in far.collect():
+        seen_by.setdefault(r["lang"], {})[r["size"]] = (r["far"], r["n"])
+    names = [lang for lang, found in centers.items() for _ in found]
+    reaches = {lang: _reach(seen_by.get(lang, {0: (0.97, 1)}), slack) for lang in centers}
+    return Model(idf, np.concatenate(list(centers.values())), names, np.stack([reaches[lang] for lang in names]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
