@@ -180,7 +180,9 @@ def fit(learn: DataFrame, per_language: int = 250, centroids: int = 4, slack: fl
     idf = (np.log((1 + n) / (1 + seen[:-1])) + 1).astype(np.float32)
     # per_language * 2 rows a language, whatever the table
     marked = learn.withColumn("h", F.xxhash64("text"))
-    ranked = marked.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    # the smallest hashes of 64 parts of each language, then of each language
+    some = marked.select("lang", "h", (F.col("h") % 64).alias("part")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("k") <= 2 * per_language)
+    ranked = some.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.where(F.col("k") <= 2 * per_language).withColumn("held", F.col("k") % 2 == 0).drop("k")
     rows = cut(marked.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang", "held"))
     own: dict[str, list[np.ndarray]] = {}

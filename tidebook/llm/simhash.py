@@ -157,8 +157,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row: struct of the columns of ``docs``, doc_id, text, node, fp, keys, sketch): node names the set of
-    shingles."""
+    """(row: struct of the columns of ``docs``, doc_id, node, fp, keys, sketch): node names the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,82 +170,110 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
                 keys.append(band_keys(own).tolist())
                 sketches.append(sketch(own))
             words = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
-            columns = [*(batch.column(i) for i in range(3)), *words, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text", "node", "fp", "keys", "sketch"])
+            columns = [batch.column(0), batch.column(1), *words, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "node", "fp", "keys", "sketch"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, text string, node long, fp long, keys array<long>, sketch binary")
-
-
-def _pairs_of_bands(least: float, spanning: bool):
-    """A task body over rows (key, node, part, sketch) sorted by key: pairs (a, b) of nodes of one key and different
-    parts whose sketches say ``least`` or more; with ``spanning``, only those of a largest spanning forest."""
-
-    def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        same = ((many == one) & (one != 0)).sum(axis=1)
-        return same / np.maximum(1, ((many != 0) | (one != 0)).sum(axis=1))
-
-    def group(node: np.ndarray, part: np.ndarray, made: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not spanning:
-            for i in range(len(node) - 1):
-                later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-                hit = later[alike(made[i], made[later]) >= least]
-                yield np.full(len(hit), node[i]), node[hit]
-            return
-        left, near, best = np.arange(1, len(node)), np.zeros(len(node) - 1, np.int64), alike(made[0], made[1:])
-        while len(left):
-            k = int(best.argmax())
-            at = left[k]
-            if best[k] >= least:
-                yield node[near[k : k + 1]], node[at : at + 1]
-            left, near, best = (np.delete(x, k) for x in (left, near, best))
-            now = alike(made[at], made[left])
-            near, best = np.where(now > best, at, near), np.maximum(now, best)
-
-    def pairs(key: np.ndarray, node: np.ndarray, part: np.ndarray, made: np.ndarray) -> pa.RecordBatch:
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node long, fp long, keys array<long>, sketch binary")
+
+
+def _alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Similarities that the sketch ``one`` and each of ``many`` tell."""
+    same = ((many == one) & (one != 0)).sum(axis=1)
+    return same / np.maximum(1, ((many != 0) | (one != 0)).sum(axis=1))
+
+
+def _likely(node: np.ndarray, made: np.ndarray, low: float) -> Iterator[tuple[int, int]]:
+    """The pairs of a spanning forest of largest estimates, all at least ``low``."""
+    left, near, best = np.arange(1, len(node)), np.zeros(len(node) - 1, np.int64), _alike(made[0], made[1:])
+    while len(left):
+        k = int(best.argmax())
+        at = left[k]
+        if best[k] >= low:
+            yield int(node[near[k]]), int(node[at])
+        left, near, best = (np.delete(x, k) for x in (left, near, best))
+        now = _alike(made[at], made[left])
+        near, best = np.where(now > best, at, near), np.maximum(now, best)
+
+
+def _linked(node: np.ndarray, part: np.ndarray, made: np.ndarray, sets: list[bytes], low: float, least: float) -> Iterator[tuple[int, int]]:
+    """Links that join the parts: every pair of different parts whose estimate is at least ``low`` is counted exactly."""
+    part = part.copy()
+    for i in range(len(node) - 1):
+        later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        guess = _alike(made[i], made[later])
+        for j in later[guess >= low]:
+            if part[j] != part[i]:
+                one, two = (np.frombuffer(sets[k], np.uint64) for k in (i, j))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= least * (len(one) + len(two) - both):
+                    yield int(node[i]), int(node[j])
+                    part[part == part[j]] = part[i]
+
+
+def _pairs_of_bands(least: float, low: float, at_once: int = 1 << 26):
+    """A task body over rows (key, node, part, sketch, own) sorted by key: pairs (a, b) of nodes of one key. With
+    null ``own``, those of _likely; else those of _linked, ``own`` being the sorted hashes of the set."""
+
+    def pairs(rows: list[list]) -> pa.RecordBatch:
+        key, node, part = (np.concatenate([h[i] for h in rows]) for i in range(3))
+        made = np.concatenate([h[3] for h in rows])
+        sets = [x for h in rows for x in h[4]]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        out = [(node[:0], node[:0])]
-        for s, e in zip(starts, ends, strict=True):
+        out: set[tuple[int, int]] = set()
+        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
             if e - s > 1:
-                out += group(node[s:e], part[s:e], made[s:e])
-        a, b = (np.concatenate([x[i] for x in out]) for i in range(2))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1) if len(a) else np.stack([a, b])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b"])
+                found = _likely(node[s:e], made[s:e], low) if sets[s] is None else _linked(node[s:e], part[s:e], made[s:e], sets[s:e], low, least)
+                out.update((min(x), max(x)) for x in found)
+        columns = list(zip(*sorted(out), strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             made = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
-            held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), made])
-            if sum(len(h[0]) for h in held) >= 20_000:
-                joined = [np.concatenate([h[i] for h in held]) for i in range(4)]
-                last = np.searchsorted(joined[0], joined[0][-1])
-                if last:
-                    yield pairs(*(x[:last] for x in joined))
-                held = [[x[last:] for x in joined]]
+            rows = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), made, batch.column(4).to_pylist()]
+            size += batch.nbytes
+            if size >= at_once:  # the rows of complete keys go
+                last = np.searchsorted(rows[0], rows[0][-1])
+                if last or (held and held[-1][0][-1] != rows[0][-1]):
+                    yield pairs([*held, [x[:last] for x in rows]])
+                    held, size, rows = [], 0, [x[last:] for x in rows]
+            held.append(rows)
         if held:
-            yield pairs(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+            yield pairs(held)
 
     return run
 
 
-def band_pairs(bands: DataFrame, sketches: DataFrame, least: float, spanning: bool, cap: int = 2048) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a key of ``bands`` (key, node, part), lie in different parts, and by
-    their sketches (node, sketch) have a similarity of ``least``, or a little less than the sketches may say too
-    little: 4.5 standard deviations. With ``spanning`` the pairs of largest estimates that join each band. Bands
-    over ``cap`` nodes are dealt over pairs of blocks."""
+def band_pairs(bands: DataFrame, nodes: DataFrame, least: float, exact: bool, cap: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a key of ``bands`` (key, node, part); ``nodes`` has (node, sketch, own).
+    Bands of one part are left out. Without ``exact``, the likeliest pairs that join each band, for all whose
+    similarity may be ``least``; with it, links of ``least`` or more that join each band's parts wherever such links
+    do. Sketches are taken to say too little by up to 4.5 standard deviations. Bands over ``cap`` nodes are dealt over
+    pairs of blocks."""
     counts = bands.groupBy("key").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks"), F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    rows = bands.join(counts.where("n > 1 and low < high").select("key", "blocks"), "key").join(sketches, "node")
+    rows = bands.join(counts.where("n > 1 and low < high").select("key", "blocks"), "key").join(nodes, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    slack = 4.5 * (least * (1 - least) / BINS) ** 0.5
-    task = _pairs_of_bands(least - slack, spanning)
+    dealt = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    task = _pairs_of_bands(least, least - 4.5 * (least * (1 - least) / BINS) ** 0.5)
     parts = shuffle_partitions(bands.sparkSession)
-    return dealt.select(key.alias("key"), "node", "part", "sketch").repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(task, "a long, b long").distinct()
+    hashes = F.col("own") if exact else F.lit(None).cast("binary")
+    return dealt.select(key.alias("key"), "node", "part", "sketch", hashes.alias("own")).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(task, "a long, b long").distinct()
+
+
+def _hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, own: the sorted hashes of its shingles, eight bytes each) of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "own"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, own binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -272,27 +299,27 @@ def keep_similar_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     """``docs`` (doc_id, text, ...) with one row of each group that links of a Jaccard similarity of ``least`` or more
     between sets of shingles hold together: the one with the smallest doc_id.
 
-    Each link between different sets is counted exactly, on the texts. First come the texts whose SimHash
-    fingerprints differ in at most 4 of 64 bits, and the likeliest pairs that join each band of minima (a pair at
-    0.8 is that near by SimHash in one case of 25, but shares a band in all but two of a million); then all pairs
-    of a band that are still in different components and whose sketches allow it. So a large group of near copies
-    needs few comparisons of texts. Rows that repeat a kept doc_id and its set come out once; rows with a null
-    doc_id stay, and link others. Null texts and texts without words are alike; an empty table gives no rows.
+    Each link between different sets is counted exactly. First come the texts whose SimHash fingerprints differ in
+    at most 4 of 64 bits, and the likeliest pairs that join each band of minima (a pair at 0.8 is that near by
+    SimHash in one case of 25, but shares a band in all but two of a million); then all pairs of a band that are
+    still in different components and whose sketches allow it, in the task that has the band, which gives only the
+    links that join components. Rows that repeat a kept doc_id and its set come out once; rows with a null doc_id
+    stay, and link others. Null texts and texts without words are alike; an empty table gives no rows.
     """
     marked = cut(_marked(docs, shingle))
-    texts = marked.groupBy("node").agg(F.min("text").alias("text"))
+    texts = marked.groupBy("node").agg(F.min(F.col("row.text").cast("string")).alias("text"))
     nodes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     near = hamming_links(nodes.select("fp", F.lit(0).cast("long").alias("fp2"), F.col("node").alias("rep")))
     bands = nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("part"))
-    sketches = nodes.select("node", "sketch")
-    first = cut(band_pairs(bands, sketches, least, True).unionByName(near).distinct())
-    links = cut(_verified(first, texts, shingle, least))
+    likely = band_pairs(bands, nodes.select("node", "sketch", F.lit(None).cast("binary").alias("own")), least, False, 2048)
+    links = cut(_verified(likely.unionByName(near).distinct(), texts, shingle, least))
     parts = cut(connected_components(links).withColumnRenamed("node", "_n"))
     found = bands.drop("part").join(parts, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    rest = cut(band_pairs(found, sketches, least, False).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(cut(_verified(rest, texts, shingle, least)))
-        parts = connected_components(links).withColumnRenamed("node", "_n")
+    open_ = found.join(found.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key"), "key", "left_semi")
+    open_ = cut(open_)
+    sets = _hash_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), shingle)
+    rest = cut(band_pairs(open_, nodes.select("node", "sketch").join(sets, "node"), least, True, 512))
+    parts = connected_components(links.unionByName(rest)).withColumnRenamed("node", "_n")
     named = marked.where("doc_id is not null").select("doc_id", "node").distinct()
     named = named.join(parts, F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("component", "node").alias("part"))
     kept = named.groupBy("part").agg(F.min(F.struct("doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
