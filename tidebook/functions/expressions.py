@@ -78,10 +78,10 @@ def side_levels(is_buyer_maker: Column, bids: Column, asks: Column) -> Column:
     return F.when(is_buyer_maker, bids).otherwise(asks)
 
 
-def penetration_level(qty: Column, levels: Column, max_level: int = 1000) -> Column:
+def penetration_level(qty: Column, levels: Column, max_level: int | None = 1000) -> Column:
     """First level, from 1, at which the summed quantity reaches ``qty``; empty levels count as levels.
 
-    Not reached within ``max_level`` levels: max_level + 1. A quantity of 0 or less is level 1. The first
+    Not reached within ``max_level`` levels: max_level + 1; with None, one more than there are levels. A quantity of 0 or less is level 1. The first
     level, by far the commonest, is tested without walking the array.
     """
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("hit"))
@@ -90,7 +90,9 @@ def penetration_level(qty: Column, levels: Column, max_level: int = 1000) -> Col
         total, n = acc["sum"] + x, acc["n"] + 1
         return F.struct(total.alias("sum"), n.alias("n"), F.when(acc["hit"] > 0, acc["hit"]).when(total >= qty, n).otherwise(0).alias("hit"))
 
-    walked = F.aggregate(F.slice(levels, 1, max_level), start, step, lambda acc: F.when(acc["hit"] > 0, acc["hit"]).otherwise(max_level + 1))
+    inside, beyond = (levels, F.size(levels) + 1) if max_level is None else (F.slice(levels, 1, max_level), F.lit(max_level + 1))
+    walked = F.aggregate(inside, start, step, lambda acc: F.when(acc["hit"] > 0, acc["hit"]))
+    walked = F.when(levels.isNotNull(), F.coalesce(walked, beyond))
     return F.when((qty <= 0) | (F.get(levels, F.lit(0)) >= qty), 1).otherwise(walked)
 
 
@@ -147,11 +149,6 @@ def absolute_prices(best: Column, deltas: Column) -> Column:
     return F.transform(deltas, lambda d: best + d)
 
 
-def apply_offset(ts_ns: Column, offset_ns: Column) -> Column:
-    """The offset is cut toward zero to whole nanoseconds."""
-    return ts_ns + offset_ns.cast("long")
-
-
 def part_number(file_name: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(file_name, r"^part-(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int")
 

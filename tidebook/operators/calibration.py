@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import expressions as X
 from tidebook.functions.expressions import whole
 from tidebook.operators.asof import asof_backward
+from tidebook.storage import cut
 
 NS_MS = 1_000_000
 
@@ -62,9 +63,12 @@ def best_offset(rates: DataFrame, keys: list[str]) -> DataFrame:
 
 def calibrate(trades: DataFrame, snapshots: DataFrame, by: list[str], window_ns: int = 600 * 10**9, margin_ns: int = 10**9, range_ms: int = 500, step_ms: int = 10, least: int = 10, bin_ns: int = 10**9) -> DataFrame:
     """The calibration table per ``by``: one row per window with at least ``least`` trades and snapshots."""
-    own, near, spans = windows(trades, snapshots, window_ns, margin_ns, by)
+    own, near, spans = windows(trades.select(*by, "ts_ns", "price_ticks"), snapshots.select(*by, "ts_ns", "u", "best_bid_ticks", "best_ask_ticks"), window_ns, margin_ns, by)
+    # each is read several times below
+    own, near, spans = cut(own), cut(near), cut(spans)
     keys = [*by, "win"]
     counts = own.groupBy(*keys).agg(F.count("*").alias("trade_count")).join(near.groupBy(*keys).agg(F.count("*").alias("snapshot_count")), keys).where((F.col("trade_count") >= least) & (F.col("snapshot_count") >= least))
+    counts = cut(counts)
     enough = counts.select(*keys)
     found = best_offset(outside_rates(own.join(enough, keys), near.join(enough, keys), keys, range_ms, step_ms, bin_ns), keys)
     start = F.col("t0") + F.col("win") * window_ns
@@ -83,22 +87,31 @@ def curve_statistics(curve: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def heal(snapshots: DataFrame, curve: DataFrame, by: list[str]) -> DataFrame:
+def heal(snapshots: DataFrame, curve: DataFrame, by: list[str], slot_ns: int = 600 * 10**9) -> DataFrame:
     """``snapshots`` with ts_ns moved by the offset interpolated between window centres, clamped at either end,
     and ts_ns_original and offset_applied_ns. Rows of groups without a curve are moved by 0.
 
-    A curve has at most a few hundred rows per symbol and day; each snapshot picks its segment from the
-    group's sorted array; where the curves are small Spark sends them to the snapshots.
+    Stretches between centres are dealt over slots of time, so that a snapshot meets one or two of them by key,
+    whatever the length of the curve; where the curves are small Spark sends them to the snapshots.
     """
     centre = F.col("window_start_ns") + whole(F.col("window_end_ns") - F.col("window_start_ns"), 2)
-    points = curve.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(centre.alias("c"), (F.col("optimal_offset_ms") * NS_MS).alias("o")))).alias("curve"))
-    rows = snapshots.join(points, by, "left")
-    before = F.filter("curve", lambda p: p["c"] <= F.col("ts_ns"))
-    a, b = F.element_at(before, -1), F.get(F.col("curve"), F.size(before))
-    between = a["o"] + (b["o"] - a["o"]) * (F.col("ts_ns") - a["c"]) / (b["c"] - a["c"])
-    offset = F.when(F.col("curve").isNull() | (F.size("curve") == 0), 0.0).when(F.size(before) == 0, F.get(F.col("curve"), F.lit(0))["o"]).when(F.size(before) == F.size("curve"), F.element_at(F.col("curve"), -1)["o"]).otherwise(between)
-    moved = rows.withColumn("offset_applied_ns", offset.cast("long")).withColumn("ts_ns_original", F.col("ts_ns")).withColumn("ts_ns", F.col("ts_ns") + F.col("offset_applied_ns"))
-    return moved.select(*snapshots.columns, "ts_ns_original", "offset_applied_ns")
+    points = curve.select(*by, centre.alias("c"), (F.col("optimal_offset_ms") * NS_MS).alias("o"))
+    order = Window.partitionBy(*by).orderBy("c", "o")
+    steps = points.withColumns({"d": F.lead("c").over(order), "p": F.lead("o").over(order)}).where("d > c")
+    slots = F.sequence(whole(F.col("c"), slot_ns), whole(F.col("d") - 1, slot_ns))
+    steps = steps.select(*(F.col(k).alias(f"_{k}") for k in by), "c", "o", "d", "p", F.explode(slots).alias("_slot"))
+    ends = points.groupBy(*by).agg(F.min(F.struct("c", "o")).alias("_first"), F.max(F.struct("c", "o")).alias("_last"))
+    rows = snapshots.join(ends, by, "left")
+    at = F.col("ts_ns")
+    near = (whole(at, slot_ns) == F.col("_slot")) & (at >= F.col("c")) & (at < F.col("d"))
+    for k in by:
+        near &= snapshots[k] == F.col(f"_{k}")
+    rows = rows.join(steps, near, "left")
+    between = F.col("o") + (F.col("p") - F.col("o")) * (at - F.col("c")) / (F.col("d") - F.col("c"))
+    offset = F.when(at < F.col("_first.c"), F.col("_first.o")).when(at >= F.col("_last.c"), F.col("_last.o")).otherwise(F.coalesce(between, F.lit(0.0)))
+    kept = [snapshots[c] for c in snapshots.columns if c != "ts_ns"]
+    applied = offset.cast("long")
+    return rows.select(*kept, (at + applied).alias("ts_ns"), at.alias("ts_ns_original"), applied.alias("offset_applied_ns")).select(*snapshots.columns, "ts_ns_original", "offset_applied_ns")
 
 
 def outside_share(trades: DataFrame, snapshots: DataFrame, by: list[str], name: str) -> DataFrame:

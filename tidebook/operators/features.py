@@ -57,9 +57,3 @@ def epoch_boundaries(snapshots: DataFrame) -> DataFrame:
     """Snapshots whose resync epoch differs from the one before, per symbol."""
     rows = previous(snapshots.select("symbol", "ts_ns", "u", "resync_epoch"), ["resync_epoch"], ["ts_ns", "u"], ["symbol"], whole(F.col("ts_ns"), NS_HOUR))
     return rows.where(F.col("resync_epoch") != F.col("prev.resync_epoch")).select("symbol", "ts_ns", "u", "resync_epoch")
-
-
-def running_share(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """``rows`` (a small table) with cum and cum_pct of ``value`` in ``order``."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cum", F.sum(value).over(w)).withColumn("cum_pct", X.safe_pct(F.col("cum"), F.sum(value).over(Window.partitionBy())))

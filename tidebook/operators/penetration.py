@@ -7,23 +7,39 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import expressions as X
 from tidebook.operators.asof import asof_backward
+from tidebook.storage import cut
 
 THRESHOLDS = (20, 50, 100, 200, 500, 1000)
 
 
-def penetrations(trades: DataFrame, snapshots: DataFrame, max_level: int = 1000) -> DataFrame:
+NEAR = 16  # levels a side that are shuffled for every snapshot
+
+
+def penetrations(trades: DataFrame, snapshots: DataFrame, max_level: int | None = 1000) -> DataFrame:
     """(symbol, ts_ns, agg_trade_id, qty_lots, side, snap_ts_ns, snap_u, penetration_level, is_overflow) of
-    each trade with a snapshot at or before it.
+    each trade with a snapshot at or before it. A quantity that the levels do not hold overflows: its level is
+    max_level + 1, or, with None, one more than its book's stored levels.
 
-    The match runs on keys alone; the level arrays join back afterwards, one row per matched snapshot.
+    The match runs on keys alone. The first NEAR levels join back by key and settle nearly all trades; whole level
+    arrays are fetched for the snapshots of the others only.
     """
+    keys = ["symbol", "snap_ts_ns", "snap_u"]
+    kept = ["symbol", "ts_ns", "agg_trade_id", "qty_lots", "is_buyer_maker", "snap_ts_ns", "snap_u"]
     matched = asof_backward(trades.select("symbol", "ts_ns", "agg_trade_id", "qty_lots", "is_buyer_maker"), snapshots, [])
-    matched = matched.where("snap is not null").select("symbol", "ts_ns", "agg_trade_id", "qty_lots", "is_buyer_maker", F.col("snap.ts_ns").alias("snap_ts_ns"), F.col("snap.u").alias("snap_u"))
-    books = snapshots.select("symbol", F.col("ts_ns").alias("snap_ts_ns"), F.col("u").alias("snap_u"), "bids_qty_lots", "asks_qty_lots").dropDuplicates(["symbol", "snap_ts_ns", "snap_u"])
+    matched = matched.where("snap is not null").withColumns({"snap_ts_ns": F.col("snap.ts_ns"), "snap_u": F.col("snap.u")}).select(*kept)
+    books = snapshots.select("symbol", F.col("ts_ns").alias("snap_ts_ns"), F.col("u").alias("snap_u"), "bids_qty_lots", "asks_qty_lots")
     levels = X.side_levels(F.col("is_buyer_maker"), F.col("bids_qty_lots"), F.col("asks_qty_lots"))
-    level = X.penetration_level(F.col("qty_lots"), levels, max_level)
-    found = matched.join(books, ["symbol", "snap_ts_ns", "snap_u"]).withColumn("penetration_level", level)
-    return found.select("symbol", "ts_ns", "agg_trade_id", "qty_lots", X.consumed_side(F.col("is_buyer_maker")).alias("side"), "snap_ts_ns", "snap_u", "penetration_level", X.is_overflow(F.col("penetration_level"), max_level).alias("is_overflow"))
+
+    near = NEAR if max_level is None else min(NEAR, max_level)
+    heads = books.withColumns({c: F.slice(c, 1, near) for c in ("bids_qty_lots", "asks_qty_lots")}).dropDuplicates(keys)
+    found = cut(matched.join(heads, keys).withColumn("penetration_level", X.penetration_level(F.col("qty_lots"), levels, near)).select(*kept, "penetration_level"))
+    settled = F.coalesce(F.col("penetration_level") <= near, F.lit(False))
+    deeper = found.where(~settled).drop("penetration_level")
+    whole = books.join(deeper.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys)
+    top = F.size(levels) if max_level is None else F.lit(max_level)
+    deep = deeper.join(whole, keys).select(*kept, X.penetration_level(F.col("qty_lots"), levels, max_level).alias("penetration_level"), top.alias("_top"))
+    both = found.where(settled).withColumn("_top", F.lit(near)).unionByName(deep)
+    return both.select("symbol", "ts_ns", "agg_trade_id", "qty_lots", X.consumed_side(F.col("is_buyer_maker")).alias("side"), "snap_ts_ns", "snap_u", "penetration_level", (F.col("penetration_level") > F.col("_top")).alias("is_overflow"))
 
 
 def threshold_summary(found: DataFrame, by: list[str] | None = None, max_level: int = 1000, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
@@ -53,11 +69,15 @@ def level_table(found: DataFrame) -> DataFrame:
     Individual levels if there are at most 30 different ones, else the fixed groups up to the one that
     holds the deepest trade.
     """
-    total = found.agg(F.max("penetration_level").alias("top"), F.count_distinct("penetration_level").alias("kinds"), F.count("*").alias("n"), F.sum("qty_lots").alias("q"))
     bid = F.col("side") == "bid"
-    per_level = found.groupBy("penetration_level").agg(
-        F.count("*").alias("trades"), F.sum("qty_lots").alias("lots"), F.count_if(bid).alias("bid_trades"), F.count_if(~bid).alias("ask_trades"), F.coalesce(F.sum(F.when(bid, F.col("qty_lots"))), F.lit(0)).alias("bid_lots"), F.coalesce(F.sum(F.when(~bid, F.col("qty_lots"))), F.lit(0)).alias("ask_lots")
-    )
+    # one row per level of the book at most, written once and read by all that follows
+    per_level = cut(
+        found.groupBy("penetration_level").agg(
+            F.count("*").alias("trades"), F.sum("qty_lots").alias("lots"), F.count_if(bid).alias("bid_trades"), F.count_if(~bid).alias("ask_trades"),
+            F.coalesce(F.sum(F.when(bid, F.col("qty_lots"))), F.lit(0)).alias("bid_lots"), F.coalesce(F.sum(F.when(~bid, F.col("qty_lots"))), F.lit(0)).alias("ask_lots"),
+        )
+    )
+    total = per_level.agg(F.max("penetration_level").alias("top"), F.count("penetration_level").alias("kinds"), F.sum("trades").alias("n"), F.sum("lots").alias("q"))
     # total is one row; per_level has one row per level of the book at most
     named = per_level.crossJoin(F.broadcast(total.select("top", "kinds"))).withColumn("level_group", X.level_group(F.col("penetration_level"), F.col("top"), F.col("kinds")))
     sums = [F.sum(c).alias(c) for c in ("trades", "lots", "bid_trades", "ask_trades", "bid_lots", "ask_lots")]

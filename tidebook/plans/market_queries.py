@@ -157,7 +157,6 @@ def s15_file_counts(spark, sf_dir):
 def s11_trade_events(spark, sf_dir):
     """Trades as JSON lines and back; every third lacks its ids, and a line in between is broken."""
     t = market.trades(spark, sf_dir)
-    spark.conf.set("spark.sql.caseSensitive", "true")
     line = F.to_json(F.struct(X.whole(F.col("ts_ns"), 1_000_000).alias("T"), F.col("symbol").alias("s"), F.format_string("%.1f", F.col("price_ticks") / 10.0).alias("p"), F.format_string("%.3f", F.col("qty_lots") / 1000.0).alias("q"), F.col("is_buyer_maker").alias("m"), F.when(F.col("agg_trade_id") % 3 != 0, F.col("agg_trade_id")).alias("a")))
     lines = t.select(F.explode(F.array(line, F.lit("{broken"))).alias("value"))
     return feeds.trade_rows(feeds.decode(lines, schemas.TRADE_EVENT)).select("ts_ns", "symbol", "price_ticks", "qty_lots", "is_buyer_maker", "agg_trade_id")
@@ -268,6 +267,12 @@ def a4_level_table(spark, sf_dir):
     return _rounded(penetration.level_table(_deep(spark, sf_dir)))
 
 
+@query("c2_level_report", ORACLE_SQL["a4_level_table"])
+def c2_level_report(spark, sf_dir):
+    """The level table of the job, where overflow is one beyond the stored levels (50 here)."""
+    return _rounded(reports.level_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir))["level_table"])
+
+
 # Trade sizes
 
 SIZES = BASE + f", t AS (SELECT *, {BUCKET_CASE} AS bucket FROM trades), dim(bucket, label, k) AS (VALUES ('dust','0.000-0.001',0),('micro','0.001-0.010',1),('small','0.010-0.100',2),('medium','0.100-1.000',3),('large','1.000-10.000',4),('whale','10.000-100.000',5),('mega','100.000+',6))"

@@ -29,7 +29,7 @@ def penetration_report(trades: DataFrame, snapshots: DataFrame, max_level: int =
 
 def level_report(trades: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
     """The level table and level percentiles, overflow one beyond the stored levels."""
-    found = penetration.penetrations(trades, snapshots)
+    found = penetration.penetrations(trades, snapshots, None)
     return {"level_table": penetration.level_table(found), "percentiles": penetration.percentiles(found, "penetration_level")}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,36 +12,74 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidebook import schemas
 from tidebook.functions import expressions as X
+from tidebook.operators.asof import asof_backward
 from tidebook.streaming.book import scaled_levels
 
 
+@contextmanager
+def exact_names(spark: SparkSession) -> Iterator[None]:
+    """Column names keep their case (u and U differ) while a plan is built here; the session is left as it was."""
+    name = "spark.sql.caseSensitive"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def decode(lines: DataFrame, schema: str) -> DataFrame:
-    """``event`` parsed from JSON ``value``; lines that are no JSON objects are left out. Works on batches and
-    streams; names keep their case (u and U differ)."""
-    lines.sparkSession.conf.set("spark.sql.caseSensitive", "true")
-    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("event"), "value")
-    return parsed.where(F.col("event").isNotNull() & F.try_parse_json("value").isNotNull()).select("event")
+    """``event`` parsed from JSON ``value``; lines that are no JSON objects are left out (undecodable keeps them).
+    Works on batches and streams."""
+    with exact_names(lines.sparkSession):
+        return _parsed(lines, schema).where("good").select("event")
+
+
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+    event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(event.alias("event"), "value").withColumn("good", F.col("event").isNotNull() & F.try_parse_json("value").isNotNull())
+
+
+def undecodable(lines: DataFrame, schema: str) -> DataFrame:
+    """The lines (value) that decode leaves out; null lines count too."""
+    with exact_names(lines.sparkSession):
+        return _parsed(lines, schema).where("not good").select("value")
 
 
 def trade_rows(events: DataFrame, scale: schemas.Scale = schemas.Scale(), symbol: str | None = None) -> DataFrame:
     """Trade rows of parsed TRADE_EVENT structs: trade time in ns, ticks and lots; absent ids are 0 and an absent
     flag is false. Works on batches and streams."""
     e = "event."
-    return events.select(
+    columns = (
         X.ms_to_ns(F.coalesce(F.col(e + "T"), F.lit(0))).alias("ts_ns"), F.lit(symbol).alias("symbol") if symbol else F.col(e + "s").alias("symbol"), X.price_to_ticks(F.coalesce(F.col(e + "p").cast("double"), F.lit(0.0)), scale).alias("price_ticks"),
         X.qty_to_lots(F.coalesce(F.col(e + "q").cast("double"), F.lit(0.0)), scale).alias("qty_lots"), F.coalesce(F.col(e + "m"), F.lit(False)).alias("is_buyer_maker"),
         F.coalesce(F.col(e + "a"), F.lit(0)).alias("agg_trade_id"), F.coalesce(F.col(e + "f"), F.lit(0)).alias("first_trade_id"), F.coalesce(F.col(e + "l"), F.lit(0)).alias("last_trade_id"),
     )
+    with exact_names(events.sparkSession):
+        return events.select(*columns)
 
 
 def depth_rows(events: DataFrame, scale: schemas.Scale = schemas.Scale()) -> DataFrame:
     """Replay events of parsed DEPTH_EVENT structs, arriving at their event time."""
     e = "event."
     none = F.lit(0).cast("long")
-    return events.select(
+    columns = (
         F.col(e + "s").alias("symbol"), F.col(e + "E").alias("at"), F.lit("diff").alias("kind"), F.coalesce(e + "E", none).alias("E"), F.coalesce(e + "U", none).alias("first_u"), F.coalesce(e + "u", none).alias("u"), F.coalesce(e + "pu", none).alias("pu"),
         F.coalesce(scaled_levels(F.col(e + "b"), scale), F.array()).alias("bids"), F.coalesce(scaled_levels(F.col(e + "a"), scale), F.array()).alias("asks"),
     )
+    with exact_names(events.sparkSession):
+        return events.select(*columns)
+
+
+def book_rows(events: DataFrame, symbol: str, at: str = "at", scale: schemas.Scale = schemas.Scale()) -> DataFrame:
+    """Replay events of parsed BOOK_EVENT structs, whole books of ``symbol``. The messages carry no time: column ``at``
+    says in milliseconds when each came. Absent ids are 0 and absent sides are empty. Works on batches and streams."""
+    side = lambda c: F.coalesce(scaled_levels(F.col(f"event.{c}"), scale), F.array())
+    u, none = F.coalesce("event.lastUpdateId", F.lit(0).cast("long")), F.lit(0).cast("long")
+    with exact_names(events.sparkSession):
+        return events.select(
+            F.lit(symbol).alias("symbol"), F.col(at).cast("long").alias("at"), F.lit("book").alias("kind"), F.col(at).cast("long").alias("E"), u.alias("first_u"), u.alias("u"), none.alias("pu"), side("bids").alias("bids"), side("asks").alias("asks")
+        )
 
 
 def with_partitions(rows: DataFrame) -> DataFrame:
@@ -119,11 +158,8 @@ def live_intervals(sync: DataFrame) -> DataFrame:
 
 
 def only_live(trades: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Trades inside a LIVE interval of their symbol."""
-    t, i = trades.alias("t"), intervals.alias("i")
-    return t.join(i, (F.col("t.symbol") == F.col("i.symbol")) & (F.col("t.ts_ns") >= F.col("i.from_ns")) & (F.col("i.to_ns").isNull() | (F.col("t.ts_ns") < F.col("i.to_ns"))), "left_semi")
-
-
-def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A lake folder as a stream of new files."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Trades inside a LIVE interval of their symbol: those whose last interval to begin has not ended. Intervals of a
+    symbol do not overlap."""
+    starts = intervals.select("symbol", F.col("from_ns").alias("ts_ns"), F.coalesce("to_ns", F.lit((1 << 63) - 1)).alias("u"))
+    found = asof_backward(trades, starts, [])
+    return found.where("ts_ns < snap.u").drop("snap")
