@@ -616,6 +616,14 @@ def t1_replay(spark, sf_dir):
     return found.select("symbol", "row", "ts_ns", "u", "best_bid_ticks", "best_ask_ticks", "resync_epoch", "state", "reason", F.aggregate("bids_qty_lots", F.lit(0).cast("long"), lambda a, x: a + x).alias("bid_lots"))
 
 
+@query("t4_every_tick", BASE + """, g AS (SELECT symbol, unnest(range(min(ts_ns) // 3600000000000, max(ts_ns) // 3600000000000 + 1)) AS tick FROM snapshots GROUP BY symbol)
+SELECT g.symbol, g.tick, s.ts_ns AS book_ns, s.u, s.best_bid_ticks FROM g ASOF JOIN snapshots s ON g.symbol = s.symbol AND (g.tick + 1) * 3600000000000 - 1 >= s.ts_ns""")
+def t4_every_tick(spark, sf_dir):
+    """One book an hour of every symbol, the one before repeated in quiet hours."""
+    found = feeds.every_tick(market.snapshots(spark, sf_dir), ["best_bid_ticks"], NS_HOUR)
+    return found.select("symbol", "tick", F.col("snap.ts_ns").alias("book_ns"), "snap.u", "snap.best_bid_ticks")
+
+
 @query("t4_sample_ticks", BASE + "SELECT ts_ns // 3600000000000 AS tick, symbol, max(ts_ns) AS ts_ns, arg_max(u, (ts_ns, u)) AS u, arg_max(best_bid_ticks, (ts_ns, u)) AS best_bid_ticks FROM snapshots GROUP BY 1, 2")
 def t4_sample_ticks(spark, sf_dir):
     return feeds.sample_ticks(market.snapshots(spark, sf_dir).select("symbol", "ts_ns", "u", "best_bid_ticks"), NS_HOUR).select("tick", "symbol", "ts_ns", "u", "best_bid_ticks")

@@ -39,7 +39,8 @@ def write_healed(rows: DataFrame, source: str, target: str) -> None:
     """Healed snapshots below another root, in the folders of their original hour; never over the source, nor
     inside or around any file that ``rows`` are read from."""
     out = _normal(f"{target}/snapshots")
-    read = [_normal(source), *(_normal(f) for f in rows.inputFiles())]
+    # the folders of the tables that the files belong to, above their partitions
+    read = {_normal(source), *(_normal(re.sub(r"/([^/=]+=[^/]*/.*|[^/]*)$", "", f)) for f in rows.inputFiles())}
     if _normal(target) == _normal(source) or any(out.startswith(r) or r.startswith(out) for r in read):
         raise ValueError("healed snapshots go to another root than their source")
     rows.repartition("symbol", "date", "hour").write.mode("overwrite").partitionBy("symbol", "date", "hour").option("compression", "zstd").parquet(f"{target}/snapshots")

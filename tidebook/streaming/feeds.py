@@ -37,7 +37,8 @@ def decode(lines: DataFrame, schema: str) -> DataFrame:
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select(event.alias("event"), "value").withColumn("good", F.col("event").isNotNull() & F.try_parse_json("value").isNotNull())
+    an_object = F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    return lines.select(event.alias("event"), "value").withColumn("good", F.coalesce(F.col("event").isNotNull() & an_object, F.lit(False)))
 
 
 def undecodable(lines: DataFrame, schema: str) -> DataFrame:
@@ -105,6 +106,18 @@ def sample_ticks(books: DataFrame, tick_ns: int = 100_000_000) -> DataFrame:
     return books.withColumn("tick", tick).groupBy("symbol", "tick").agg(F.max_by(F.struct(*books.columns), F.struct("ts_ns", "u")).alias("r")).select("tick", "r.*")
 
 
+def every_tick(books: DataFrame, columns: list[str], tick_ns: int = 100_000_000) -> DataFrame:
+    """(symbol, tick, ts_ns, snap): for every tick from a symbol's first book to its last, the last book (a struct of
+    ts_ns, u and ``columns``) at or before the tick's end, which is ts_ns; a quiet tick repeats the book before it.
+    only_live leaves out the ticks while a book was not LIVE. Works on batches."""
+    hour = max(1, X.NS_HOUR // tick_ns) * tick_ns
+    spans = books.groupBy("symbol").agg(F.min("ts_ns").alias("t0"), F.max("ts_ns").alias("t1"))
+    hours = spans.withColumn("h", F.explode(F.sequence(X.whole(F.col("t0"), hour), X.whole(F.col("t1"), hour))))
+    first, last = F.greatest(F.col("h") * hour, F.col("t0")), F.least((F.col("h") + 1) * hour - 1, F.col("t1"))
+    ticks = hours.select("symbol", F.explode(F.sequence(X.whole(first, tick_ns), X.whole(last, tick_ns))).alias("tick"))
+    return asof_backward(ticks.withColumn("ts_ns", (F.col("tick") + 1) * tick_ns - 1), books, columns)
+
+
 def live_match(trades: DataFrame, snapshots: DataFrame, age: str = "1 minute", late: str = "10 seconds") -> DataFrame:
     """Streams joined as of: every (trade, snapshot) with the snapshot at most ``age`` old; trades without one come
     with nulls once the watermark has passed. latest_match keeps the last per trade."""
