@@ -61,7 +61,7 @@ def test_only_live_equals_plain_search(spark):
 def test_healed_rows_never_go_over_their_source(spark, tmp_path):
     rows = spark.createDataFrame([("S", "2024-01-01", "05", 7)], "symbol string, date string, hour string, ts_ns long")
     rows.write.partitionBy("symbol", "date", "hour").parquet(str(tmp_path / "lake/snapshots"))
-    read = spark.read.option("recursiveFileLookup", "false").parquet(str(tmp_path / "lake/snapshots"))
+    read = spark.read.schema("ts_ns long, symbol string, date string, hour string").parquet(str(tmp_path / "lake/snapshots"))
     for source, target in ((f"{tmp_path}/lake/snapshots", f"{tmp_path}/lake"), ("/elsewhere", f"{tmp_path}/lake"), (f"{tmp_path}/lake", f"file://{tmp_path}/lake/"), ("/elsewhere", f"{tmp_path}/lake/snapshots/symbol=S")):
         with pytest.raises(ValueError):
             sinks.write_healed(read, source, target)
