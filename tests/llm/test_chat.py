@@ -48,3 +48,11 @@ def test_trees(spark):
     assert {r.leaf_id for r in chat.paths(table, 2).collect()} == {5, 6}
     parts = sorted(chat.format_paths(table, 1).collect(), key=lambda r: r.part)
     assert chat.parse("".join(p.formatted for p in parts)) == [("user", "m1"), ("user", "m2"), ("user", "m5")]
+
+
+def test_repeated_messages_count_once_and_null_ids_belong_to_no_tree(spark):
+    rows = [("t", 1, None, 1.0, "user", "a"), ("t", 2, 1, 1.0, "assistant", "b")] * 3 + [("t", 2, 1, 2.0, "assistant", "c"), ("t", 3, 2, None, "user", None), (None, 1, None, 1.0, "user", "x"), ("t", None, 1, 9.0, "user", "y")]
+    table = spark.createDataFrame(rows, "tree_id string, message_id long, parent_id long, score double, role string, text string")
+    assert sorted((r.tree_id, r.leaf_id, r.part, r.message_id) for r in chat.paths(table, None).collect()) == [("t", 3, 0, 1), ("t", 3, 1, 2), ("t", 3, 2, 3)]
+    parts = sorted(chat.format_paths(table).collect(), key=lambda r: r.part)
+    assert chat.parse("".join(p.formatted for p in parts)) == [("user", "a"), ("assistant", "b"), ("user", "")]

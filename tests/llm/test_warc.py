@@ -1,6 +1,8 @@
 import hashlib
 import io
 
+import pytest
+
 from tidebook.llm import warc
 
 
@@ -43,3 +45,13 @@ def test_archive_bytes():
     assert list(warc.frames(io.BytesIO(data))) == records
     assert len(data) < sum(map(len, records)) / 4
     assert list(warc.frames(io.BytesIO(warc.archive(records[:1])))) == records[:1]
+
+
+def test_object_store_names_of_spark_are_known():
+    pytest.importorskip("pyarrow.fs")
+    try:
+        disk, path = warc._place("s3a://bucket/shared/warc")
+    except Exception as e:  # a build without the store says so, and not that the name is unknown
+        assert "Unrecognized filesystem" not in str(e)
+    else:
+        assert path == "bucket/shared/warc"

@@ -37,15 +37,25 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"n": "\n", "p": "|"}.get(m[1], m[1]), role)
 
 
-def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
+def distinct_messages(messages: DataFrame, *columns: str) -> DataFrame:
+    """One row of each message: (tree_id, message_id, parent_id, score, columns). Of rows that repeat a message's ids
+    the smallest by these columns counts, nulls first; rows with a null tree_id or message_id belong to no tree
+    and are left out."""
+    names = ["parent_id", "score", *columns]
+    found = messages.where("tree_id is not null and message_id is not null").groupBy("tree_id", "message_id").agg(F.min(F.struct(*names)).alias("m"))
+    return found.select("tree_id", "message_id", *(F.col(f"m.{c}").alias(c) for c in names))
+
+
+def paths(messages: DataFrame, top: int | None = 1, unique: bool = False) -> DataFrame:
     """(tree_id, leaf_id, rank, part, message_id): the messages of the ``top`` branches of each tree (None: all).
 
     ``messages`` has tree_id (string), message_id and parent_id (long), score (double; null counts as
-    0), ids unique within a tree. A null parent, or one that is not in the tree, makes a root. Branches
+    0); distinct_messages says what repeated and null ids count as, and ``unique`` that there are none. A null parent, or one that is not in the tree, makes a root. Branches
     rank by the sum of their scores, then the longer, then the smaller leaf. Messages that follow
     each other in a circle have no root and no path. An empty table gives no rows.
     """
-    nodes = messages.select("tree_id", F.col("message_id").alias("id"), F.col("parent_id").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    rows = messages if unique else distinct_messages(messages)
+    nodes = rows.select("tree_id", F.col("message_id").alias("id"), F.col("parent_id").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
     known = nodes.select("tree_id", F.col("id").alias("up")).withColumn("known", F.lit(True))
     state = nodes.join(known, ["tree_id", "up"], "left").select("tree_id", "id", F.when(F.col("known"), F.col("up")).alias("up"), "total", F.lit(1).cast("long").alias("depth"))
     state = cut(state)
@@ -70,7 +80,7 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     return found
 
 
-def format_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
+def format_paths(messages: DataFrame, top: int | None = 1, unique: bool = False) -> DataFrame:
     """(tree_id, leaf_id, rank, part, formatted, loss_start, loss_end) of the chosen paths of ``messages``,
     which also has role and text (null: empty).
 
@@ -79,9 +89,10 @@ def format_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     points from the part's start, and null for other roles.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = messages.select("tree_id", "message_id", role.alias("role"), _escape_role(role).alias("r"), escape(text).alias("t"))
+    rows = messages if unique else distinct_messages(messages, "role", "text")
+    turn = rows.select("tree_id", "message_id", role.alias("role"), _escape_role(role).alias("r"), escape(text).alias("t"))
     from_here = F.length("r") + len(START) + 1
-    return paths(messages, top).join(turn, ["tree_id", "message_id"]).select(
+    return paths(messages, top, unique).join(turn, ["tree_id", "message_id"]).select(
         "tree_id",
         "leaf_id",
         "rank",
