@@ -301,7 +301,7 @@ def keep_similar_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
 
     Each link between different sets is counted exactly. First come the texts whose SimHash fingerprints differ in
     at most 4 of 64 bits, and the likeliest pairs that join each band of minima (a pair at 0.8 is that near by
-    SimHash in one case of 25, but shares a band in all but two of a million); then all pairs of a band that are
+    SimHash in one case of 38, but shares a band in all but two of a million); then all pairs of a band that are
     still in different components and whose sketches allow it, in the task that has the band, which gives only the
     links that join components. Rows that repeat a kept doc_id and its set come out once; rows with a null doc_id
     stay, and link others. Null texts and texts without words are alike; an empty table gives no rows.
