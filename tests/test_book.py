@@ -1,3 +1,5 @@
+import random
+
 
 from tidebook.schemas import DEPTH_EVENT, TRADE_EVENT, Scale
 from tidebook.streaming import book, feeds
@@ -99,6 +101,35 @@ def test_decoding(spark):
     assert (r.E, r.first_u, r.u, r.pu, r.bids[0].p, r.bids[0].q, r.asks) == (17, 1, 2, 0, 500000, 1500, [])
 
 
+
+def test_replay_by_epoch_equals_one_pass(spark):
+    rng, rows = random.Random(5), []
+    for symbol in ("A", "B", "C"):
+        u = at = 0
+        for k in range(4000 if symbol == "A" else 600):
+            at += 1
+            if rng.random() < 0.01:  # a whole book, older than the last differences or ahead of them
+                rows.append((symbol, at, "book", k * 40, 0, max(0, u + rng.choice([-20, -1, 1, 2, 3])), 0, [(100 - i, 5) for i in range(4)], [(101 + i, 5) for i in range(4)]))
+                continue
+            first, pu = u + 1, u if rng.random() > (0.01 if symbol == "A" else 0.05) else u - 1
+            u += rng.randrange(1, 4)
+            rows.append((symbol, at, "diff", k * 40, first, u, pu, [(rng.randrange(90, 101), rng.randrange(3))], [(rng.randrange(101, 111), rng.randrange(3))]))
+    rows += [("D", k, "diff", 40 * k, k, k, k - 1, [(9, 1)], None) for k in range(1, 1500)] + [("D", 1500, "book", 60000, 0, 3, 0, [(9, 1)], [(10, 1)])]
+    rows += [(None, 1, "diff", 1, 1, 1, 0, None, None)]
+    want = []
+    for symbol in "ABCD":
+        one = book.Replay(symbol, 5)
+        for r in rows:
+            if r[0] == symbol:
+                want += one.step((*r[2:7], r[7] or [], r[8] or []))
+        want += one.flush()
+    events = spark.createDataFrame(rows, book.EVENTS)
+    got = book.replay(events.repartition(7), 5, span=100).collect()
+    plain = lambda x: sorted((repr(tuple(r)) for r in x))
+    assert plain(got) == plain(want) and len({r.resync_epoch for r in got if r.symbol == "A"}) > 3
+    assert book.replay(events.where("symbol = 'none'"), 5).count() == 0
+
+
 def test_monitor_and_recording_streams(spark, tmp_path):
     rows = spark.createDataFrame([("S", 1000 * k * 1_000_000, k, k - 1 - (k == 7)) for k in range(1, 10)] + [("S", 60_000_000_000, 10, 9)], "symbol string, ts_ns long, u long, pu long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidebook.functions.expressions import price_to_ticks, qty_to_lots, whole
-from tidebook.operators.asof import previous
+from tidebook.operators.asof import asof_backward, positions, previous
 from tidebook.schemas import Scale
+from tidebook.storage import cut
 
 BUFFER = 1000
 EVENTS = "symbol string, at long, kind string, E long, first_u long, u long, pu long, bids array<struct<p:long,q:long>>, asks array<struct<p:long,q:long>>"
@@ -132,24 +133,83 @@ def _event(r) -> tuple:
     return (r.kind, int(r.E), int(r.first_u), int(r.u), int(r.pu), _levels(r.bids), _levels(r.asks))
 
 
-def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000) -> DataFrame:
+def resyncs(placed: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """(symbol, pos, epoch, prev_u, ts_ns): each event (by ``pos``, its place in the symbol) with which a resync ends an
+    epoch, the epoch that begins after it, and the id and time of the last difference applied before.
+
+    Only rows that can matter are stepped through: whole books and the BUFFER events before each, differences that
+    do not continue the one before, and those that contain the id of the last whole book. Places are searched in
+    buckets of ``span``.
+    """
+    lean = placed.select("symbol", "pos", (F.col("kind") == "book").alias("whole"), "E", "first_u", "u", "pu")
+    diffs = previous(lean.where(~F.col("whole")), ["u", "E"], ["pos"], ["symbol"], whole(F.col("pos"), span))
+    books = lean.where("whole").select("symbol", F.col("pos").alias("ts_ns"), "u")
+    broken = F.coalesce(F.col("pu") != F.col("prev.u"), F.lit(False))
+    seen = asof_backward(diffs.withColumn("broken", broken).withColumn("ts_ns", F.col("pos")), books, [], span)
+    holds = F.coalesce((F.col("first_u") <= F.col("snap.u")) & (F.col("snap.u") <= F.col("u")), F.lit(False))
+    before = books.select("symbol", F.explode(F.sequence(F.col("ts_ns") - BUFFER, F.col("ts_ns") - 1)).alias("pos")).distinct()
+    near = seen.join(before.withColumn("near", F.lit(True)), ["symbol", "pos"], "left").where(F.col("broken") | holds | F.col("near"))
+    rows = near.select("symbol", "pos", "whole", "first_u", "u", "broken", F.col("prev.u").alias("prev_u"), F.col("prev.E").alias("prev_E"))
+    rows = rows.unionByName(lean.where("whole").select("symbol", "pos", "whole", "first_u", "u"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, state, book_id, epoch, waiting = None, "BUFFERING", 0, 0, []
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.itertuples():
+                if r.symbol != symbol:
+                    symbol, state, book_id, epoch, waiting = r.symbol, "BUFFERING", 0, 0, []
+                if not r.whole and state == "BUFFERING":
+                    waiting = [*waiting, r][-BUFFER:]
+                    continue
+                if r.whole and state == "LIVE":
+                    continue
+                now = [r]
+                if r.whole:
+                    state, book_id, now, waiting = "SYNCING", r.u, waiting, []
+                for d in now:
+                    if state == "SYNCING" and d.first_u <= book_id <= d.u:
+                        state = "LIVE"
+                    elif state == "LIVE" and d.broken:
+                        state, epoch = "BUFFERING", epoch + 1
+                        out.append((symbol, r.pos, epoch, d.prev_u, d.prev_E * 1_000_000))
+                        break
+            yield pd.DataFrame(out, columns=["symbol", "pos", "epoch", "prev_u", "ts_ns"])
+
+    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "pos")
+    return ordered.mapInPandas(run, "symbol string, pos long, epoch int, prev_u long, ts_ns long")
+
+
+def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, span: int = 1_000_000) -> DataFrame:
     """Books (row = book) and state changes (row = sync) of all symbols, from a table of EVENTS in order of
-    ``at`` then ``u``. A symbol is read as a stream by one task, its events never held together."""
+    ``at`` then ``u``; rows without a symbol are left out.
+
+    A resync forgets the book, so what lies between two of them is replayed by itself: a task reads the events of
+    an epoch as a stream and never holds them together. ``span`` is the width, in units of ``at``, of the
+    buckets in which events are numbered."""
+    columns = ["symbol", "kind", "E", "first_u", "u", "pu", "bids", "asks"]
+    placed = cut(positions(events.where("symbol is not null"), ["at", "u"], ["symbol"], whole(F.col("at"), span)).select("pos", *columns))
+    cuts = cut(resyncs(placed, span))
+    starts = cuts.select("symbol", (F.col("pos") + 1).alias("ts_ns"), F.col("epoch").cast("long").alias("u"), "prev_u", F.col("ts_ns").alias("last_ns"))
+    dealt = asof_backward(placed.withColumn("ts_ns", F.col("pos")), starts, ["prev_u", "last_ns"], span)
+    since = lambda c: F.coalesce(F.col(f"snap.{c}"), F.lit(0))
+    dealt = dealt.select("pos", *columns, since("u").alias("epoch"), since("prev_u").alias("last_u"), since("last_ns").alias("last_ns"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: Replay | None = None
+        now, part = None, None
         for batch in batches:
             out: list[tuple] = []
             for r in batch.itertuples():
-                if now is None or now.symbol != r.symbol:
+                if now is None or part != (r.symbol, r.epoch):
                     out += [] if now is None else now.flush()
-                    now = Replay(r.symbol, depth, tick_ns)
+                    now, part = Replay(r.symbol, depth, tick_ns), (r.symbol, r.epoch)
+                    now.epoch, now.prev_u, now.ts_ns = int(r.epoch), int(r.last_u), int(r.last_ns)
                 out += now.step(_event(r))
             yield pd.DataFrame(out, columns=_COLUMNS)
         if now is not None:
             yield pd.DataFrame(list(now.flush()), columns=_COLUMNS)
 
-    ordered = events.repartition("symbol").sortWithinPartitions("symbol", "at", "u")
+    ordered = dealt.repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "pos")
     return ordered.mapInPandas(run, OUTPUT)
 
 
