@@ -421,9 +421,12 @@ s AS (SELECT d.date, coalesce(ids, 0) AS ids, coalesce(duplicates, -1) AS duplic
 """
 
 
+def _asked_dates(spark: SparkSession) -> DataFrame:
+    return spark.range(40).select(F.date_format(F.date_add(F.lit("2023-12-30").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("date"))
+
+
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.range(40).select(F.date_format(F.date_add(F.lit("2023-12-30").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("date"))
-    return quality.source_summary(_dated(market.trades(spark, sf_dir)), _dated(market.snapshots(spark, sf_dir)), asked, 500, 550)
+    return quality.source_summary(_dated(market.trades(spark, sf_dir)), _dated(market.snapshots(spark, sf_dir)), _asked_dates(spark), 500, 550)
 
 
 @query("a28_source_summary", SUMMARY + "SELECT * FROM s")
@@ -725,3 +728,49 @@ def c1_skipped(spark, sf_dir):
 @query("c3_size_percentiles", BASE + "SELECT quantile_cont(qty_lots, 0.5) AS p50, quantile_cont(qty_lots, 0.9) AS p90, round(quantile_cont(qty_lots, 0.99), 6) AS p99, round(quantile_cont(qty_lots, 0.999), 6) AS p99_9, max(qty_lots) AS max FROM trades")
 def c3_size_percentiles(spark, sf_dir):
     return _rounded(reports.size_report(market.trades(spark, sf_dir))["percentiles"])
+
+
+# Whole jobs
+
+FINE = CURVE.replace("864000000000000", str(2 * X.NS_DAY)).replace("range(10)", "range(400)")
+
+
+@query("c4_calibration_statistics", FINE + """, c AS (SELECT *, row_number() OVER w - 1 AS idx, abs(optimal_offset_ms - lag(optimal_offset_ms) OVER w) AS change FROM curve WINDOW w AS (PARTITION BY symbol ORDER BY window_start_ns))
+SELECT symbol, count(*) AS windows, round(avg(optimal_offset_ms), 4) AS mean_offset, CASE WHEN count(*) > 10 THEN round(avg(change), 4) END AS mean_change, CASE WHEN count(*) > 10 THEN max(change) END AS max_change,
+  CASE WHEN count(*) > 10 THEN round(regr_slope(optimal_offset_ms, idx), 4) END AS trend_per_window FROM c GROUP BY symbol""")
+def c4_calibration_statistics(spark, sf_dir):
+    """Changes and trend of curves with two-day windows, of which there are more than ten."""
+    options = {"window_ns": 2 * X.NS_DAY, "margin_ns": 12 * NS_HOUR, "range_ms": 6 * 3_600_000, "step_ms": 1_800_000, "least": 10, "bin_ns": 6 * NS_HOUR}
+    tables = reports.calibration_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), ("symbol",), **options)
+    return _rounded(tables["statistics"].select("symbol", "windows", "mean_offset", "mean_change", "max_change", "trend_per_window"), 4)
+
+
+@query("c5_mean_improvement", ORACLE_SQL["j11_verify_healing"].replace("SELECT symbol, round(a, 6) AS rate_before, round(b, 6) AS rate_after, round(a - b, 6) AS improvement", "SELECT round(avg(a - b), 6) AS mean_improvement"))
+def c5_mean_improvement(spark, sf_dir):
+    tables = reports.healing_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), _curve(spark, sf_dir), ("symbol",))
+    return _rounded(tables["totals"].select("mean_improvement"))
+
+
+@query("c6_mismatch_report", SPREADS + f"SELECT {STATS} FROM spread WHERE w = 1")
+def c6_mismatch_report(spark, sf_dir):
+    return _rounded(reports.mismatch_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir))["report"])
+
+
+@query("c7_first_id_gaps", BASE + """, d AS (SELECT symbol, date, agg_trade_id AS id, lag(agg_trade_id) OVER (PARTITION BY symbol, date ORDER BY agg_trade_id) AS prev FROM trades WHERE agg_trade_id > 0)
+SELECT symbol, date, prev + 1 AS start FROM d WHERE id - prev > 1 ORDER BY start, symbol, date LIMIT 10""")
+def c7_first_id_gaps(spark, sf_dir):
+    tables = reports.validation_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir))
+    return tables["first_id_gaps"].select("symbol", "date", "start")
+
+
+@query("c10_trade_hours", PROFILE.replace("step > 600000", "step > 1000") + "SELECT * FROM prof")
+def c10_trade_hours(spark, sf_dir):
+    trades, snapshots = (layout.with_files(lake.read_table(spark, _lake(spark, sf_dir), kind)) for kind in ("trades", "snapshots"))
+    found = reports.hour_report(snapshots, trades)["trade_hours"]
+    return _rounded(found.drop("missing_parts", "extra_parts").withColumn("hour", F.col("hour").cast("int")))
+
+
+@query("c8_source_overall", ORACLE_SQL["a28_overall"])
+def c8_source_overall(spark, sf_dir):
+    tables = reports.source_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), _asked_dates(spark), ["S0", "S1", "S2", "S3", "S4"], 500, 550)
+    return _rounded(tables["overall"], 4)
