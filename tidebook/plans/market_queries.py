@@ -463,10 +463,33 @@ def o5_reasons(spark, sf_dir):
     return quality.reason_counts(quality.resyncs(market.recorder_log(spark, sf_dir)))
 
 
-@query("c9_daily_report")
+DAILY = BASE + ", " + RESYNCS.strip().removeprefix("WITH ") + f""",
+g0 AS (SELECT symbol, date, ts_ns, (ts_ns - lag(ts_ns) OVER (PARTITION BY symbol, date ORDER BY ts_ns, u)) / 1e6 AS delta_ms, best_ask_ticks - best_bid_ticks AS s FROM snapshots),
+g AS (SELECT symbol, date, count(*) AS snapshots, count(*) FILTER (delta_ms > {GAP_MS}) AS gaps, coalesce(max(delta_ms) FILTER (delta_ms > {GAP_MS}), 0) AS max_gap_ms,
+  CASE WHEN count(*) < 2 THEN 0 ELSE least(100, coalesce(100.0 * count(*) / (nullif((max(ts_ns) - min(ts_ns)) / 1e6, 0) / 3600000.0), 100)) END AS snapshot_completeness,
+  count(*) FILTER (s < 0) AS crossed, count(*) FILTER (s = 0) AS zero, min(s) FILTER (s > 0) AS min_spread, max(s) FILTER (s > 0) AS max_spread, avg(s) FILTER (s > 0) AS avg_spread FROM g0 GROUP BY symbol, date),
+i0 AS (SELECT symbol, date, CASE WHEN agg_trade_id > 0 THEN agg_trade_id END AS id, lag(agg_trade_id) OVER (PARTITION BY symbol, date ORDER BY agg_trade_id) AS prev FROM trades),
+i AS (SELECT symbol, date, count(id) AS trade_ids, CASE WHEN count(id) > 0 THEN count(*) FILTER (prev > 0 AND id - prev > 1) ELSE -1 END AS gap_ranges,
+  CASE WHEN count(id) = 0 THEN -1 WHEN count(id) < 2 THEN 100.0 ELSE 100.0 * count(id) / (max(id) - min(id) + 1) END AS trade_completeness FROM i0 GROUP BY symbol, date),
+sp AS (SELECT symbol, date, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM (SELECT symbol, date, ts_ns FROM trades UNION ALL SELECT symbol, date, ts_ns FROM snapshots) GROUP BY ALL),
+m AS (SELECT date, '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' AS resync_reasons FROM (SELECT date, reason, count(*) AS n FROM r GROUP BY ALL) GROUP BY date),
+z AS (SELECT date, count(*) AS resyncs, coalesce(avg(live_s - at_s), 0) AS mean_resync_s FROM r GROUP BY date),
+day AS (SELECT sp.symbol, sp.date, coalesce(snapshots, 0) AS snapshots, coalesce(gaps, 0) AS gaps, coalesce(max_gap_ms, 0) AS max_gap_ms, coalesce(snapshot_completeness, 0) AS snapshot_completeness, coalesce(trade_ids, 0) AS trade_ids,
+  coalesce(gap_ranges, -1) AS gap_ranges, coalesce(trade_completeness, -1) AS trade_completeness, coalesce(crossed, 0) AS crossed, coalesce(zero, 0) AS zero, coalesce(min_spread, 0) AS min_spread, coalesce(max_spread, 0) AS max_spread,
+  coalesce(avg_spread, 0) AS avg_spread, start_ns, end_ns, (end_ns - start_ns) / 3.6e12 AS duration_h, coalesce(resyncs, 0) AS resyncs, resync_reasons, coalesce(mean_resync_s, 0) AS mean_resync_s
+  FROM sp LEFT JOIN g USING (symbol, date) LEFT JOIN i USING (symbol, date) LEFT JOIN z ON z.date = sp.date LEFT JOIN m ON m.date = sp.date),
+judged AS (SELECT *, concat_ws(',', CASE WHEN crossed > 0 THEN 'crossed books' END, CASE WHEN snapshot_completeness < 95 THEN 'snapshot completeness' END, CASE WHEN trade_completeness > 0 AND trade_completeness < 99 THEN 'trade completeness' END,
+  CASE WHEN resyncs > 50 THEN 'resyncs' END, CASE WHEN max_gap_ms > 60000 THEN 'long gap' END) AS issues FROM day)
+SELECT * REPLACE (round(max_gap_ms, 4) AS max_gap_ms, round(snapshot_completeness, 4) AS snapshot_completeness, round(trade_completeness, 4) AS trade_completeness, round(avg_spread, 4) AS avg_spread, round(duration_h, 4) AS duration_h,
+  round(mean_resync_s, 4) AS mean_resync_s), CASE WHEN issues = '' THEN 'HEALTHY' WHEN length(issues) - length(replace(issues, ',', '')) < 2 THEN 'WARNING' ELSE 'CRITICAL' END AS verdict FROM judged"""
+
+
+@query("c9_daily_report", DAILY)
 def c9_daily_report(spark, sf_dir):
-    report = quality.daily_report(_dated(market.trades(spark, sf_dir)), _dated(market.snapshots(spark, sf_dir)), market.recorder_log(spark, sf_dir), 3_600_000.0, GAP_MS - 3_600_000.0)
-    return report.withColumn("resync_reasons", F.to_json("resync_reasons"))
+    """The daily report, reasons as JSON and issues as one text."""
+    trades, snapshots, lines = market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), market.recorder_log(spark, sf_dir)
+    report = reports.daily_report(trades, snapshots, lines, interval_ms=3_600_000.0, tolerance_ms=GAP_MS - 3_600_000.0)["daily"]
+    return _rounded(report.withColumns({"resync_reasons": F.to_json("resync_reasons"), "issues": F.concat_ws(",", "issues")}), 4)
 
 
 # Calibration and healing
