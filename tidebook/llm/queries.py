@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, forest, langid, licenses, media, packing, pieces, simhash, toxicity, warc
+from tidebook.llm import chat, forest, langid, licenses, media, packing, pieces, simhash, toxicity, urlfilter, warc
 from tidebook.llm.common import read_table
 
 
@@ -67,6 +67,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL: the longest rule that fits, else the vocabulary."""
+    found = urlfilter.judge(read_table(spark, sf_dir, "pages"), [urlfilter.Rule(*r) for r in URL_RULES])
+    return found.select("page_id", "host", "path", "rule", "verdict", "weight", "terms")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_media": op2_media,
@@ -78,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_urls": op13_urls,
 }
 
 OP1_SQL = """
@@ -104,4 +114,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL}
+
+
+def _terms(words: tuple[str, ...]) -> str:
+    return r"list_intersect(string_split_regex(low, '[^\p{L}\p{N}]+'), [" + ", ".join(f"'{w}'" for w in words) + "])"
+
+
+# A term of letters and digits stands between boundaries where it is a whole run of them.
+OP13_SQL = rf"""
+WITH split AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (
+  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_terms(urlfilter.STRICT)} AS strict, {_terms(urlfilter.SOFT)} AS soft FROM split),
+rules(rule, host, path, verdict) AS (VALUES {", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES)}),
+ruled AS (
+  SELECT *, (SELECT arg_max((rule, verdict), length(rule)) FROM rules r
+             WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS best FROM parted p)
+SELECT page_id, host, path, best[1] AS rule,
+  coalesce(best[2], CASE WHEN len(strict) > 0 OR len(soft) > 1 THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(2 * len(strict) + len(soft) AS INT) AS weight, array_to_string(list_sort(list_concat(strict, soft)), ',') AS terms
+FROM ruled
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL, "op13_urls": OP13_SQL}
