@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, forest, langid, licenses, media, packing, pieces, simhash, toxicity, urlfilter, warc
+from tidebook.llm import chat, forest, langid, licenses, media, negatives, packing, pieces, simhash, toxicity, urlfilter, warc
 from tidebook.llm.common import read_table
 
 
@@ -67,6 +67,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; the labels of every seventh are moved on by one."""
+    table = read_table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(negatives.whole_vectors(table, moved))
+
+
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_negatives": op12_negatives,
     "op13_urls": op13_urls,
 }
 
@@ -115,6 +124,22 @@ FROM turns GROUP BY conv_id
 """
 
 
+# A vector's components become whole numbers in doubles, so their products and sums are exact.
+OP12_SQL = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, row_number() OVER () AS row FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row AS a, a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, b.row, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.row <> b.row AND len(a.v) = len(b.v)),
+positive AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.row ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.a = p.a AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 
 def _terms(words: tuple[str, ...]) -> str:
     return r"list_intersect(string_split_regex(low, '[^\p{L}\p{N}]+'), [" + ", ".join(f"'{w}'" for w in words) + "])"
@@ -138,4 +163,4 @@ SELECT page_id, host, path, best[1] AS rule,
 FROM ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL, "op13_urls": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL, "op12_negatives": OP12_SQL, "op13_urls": OP13_SQL}
