@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, forest, langid, licenses, media, negatives, packing, pieces, simhash, toxicity, urlfilter, warc
+from tidebook.llm import chat, forest, langid, licenses, media, negatives, packing, phrases, pieces, simhash, toxicity, urlfilter, warc
 from tidebook.llm.common import read_table
 
 
@@ -67,6 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language."""
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth embedding; the labels of every seventh are moved on by one."""
     table = read_table(spark, sf_dir, "embeddings")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_phrases": op11_phrases,
     "op12_negatives": op12_negatives,
     "op13_urls": op13_urls,
 }
@@ -124,6 +130,29 @@ FROM turns GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, range(1, 5) s(size)),
+counted AS (SELECT lang, size, w[i:i + size - 1] AS ws, count(*) AS f FROM placed GROUP BY ALL HAVING f >= 30),
+cuts AS (
+  SELECT c.lang, c.ws, c.f AS a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counted) c
+  JOIN counted x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN counted y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+covers AS (
+  SELECT lang, ws[i:i + part - 1] AS ws, max(f) AS cover
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS part FROM counted)) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.ws, ' ') AS phrase FROM best b LEFT JOIN covers c ON c.lang = b.lang AND c.ws = b.ws
+  WHERE cover IS NULL OR 100::HUGEINT * cover < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 # A vector's components become whole numbers in doubles, so their products and sums are exact.
 OP12_SQL = """
 WITH fine AS (
@@ -163,4 +192,4 @@ SELECT page_id, host, path, best[1] AS rule,
 FROM ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL, "op12_negatives": OP12_SQL, "op13_urls": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_chat": OP7_SQL, "op11_phrases": OP11_SQL, "op12_negatives": OP12_SQL, "op13_urls": OP13_SQL}
