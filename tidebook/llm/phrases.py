@@ -56,11 +56,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arra
     marked = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]+", " \n ")
     split = pc.split_pattern_regex(marked, r"[ \t]+")
     coded = split.flatten().dictionary_encode()
-    row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int32)
+    code = coded.indices.to_numpy(zero_copy_only=False)
     place = {w: k for w in ("", "\n") if (k := pc.index(coded.dictionary, pa.scalar(w)).as_py()) >= 0}
     ends = code == place.get("\n", -1)
-    piece = np.cumsum(ends) + row
+    piece = np.cumsum(ends, dtype=np.int32) + row
     keep = ~ends & (code != place.get("", -1))
     return code[keep], piece[keep], row[keep], coded.dictionary
 
@@ -94,7 +94,7 @@ def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, step: int, s
         return
     own = word_hashes(lang_text.to_pylist(), word_text.to_pylist())[word]
     h, last = own, None  # hashes of the phrases of the size before, and their numbers where they were counted
-    start = first[h & mask].astype(np.int64)
+    start = first[h & mask].astype(np.int16)
     for size in range(2, LONGEST + 1):
         m = len(word) - size + 1
         if m <= 0:
@@ -114,7 +114,7 @@ def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, step: int, s
             yield batch(word[where], phrase, size, since[where], counts)
         if size < LONGEST:
             h = _joined(h[:m], own[size - 1 :])
-            start = np.where(whole & (since <= step), first[h & mask].astype(np.int64), NEVER)
+            start = np.where(whole & (since <= step), first[h & mask].astype(np.int16), np.int16(NEVER))
 
 
 def _scan(first: np.ndarray, step: int, shards: int, slice_bytes: int):
@@ -158,7 +158,7 @@ def _slots(mask: int):
     return run
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 3, bits: int = 24, slice_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 3, bits: int = 24, slice_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f), (lang, n)): the phrases of 1 to 4 words that occur at least ``least`` times in a
     language, and the number of words of each language, over documents (text, lang).
 
@@ -211,7 +211,7 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, name: str, salts: in
     return spread.join(parts, ["lang", key, "_salt"]).drop("_salt")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, shards: int = 3, bits: int = 24, slice_bytes: int = 16 << 20) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, shards: int = 3, bits: int = 24, slice_bytes: int = 4 << 20) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): of each language the ``top`` phrases of 2 to 4 words.
 
     a is how often the phrase occurs (at least ``least``), l and r how often the parts of its weakest cut do: the cut whose
