@@ -25,7 +25,7 @@ def test_snapshot_then_differences():
     list(r.step(diff(1700000000200, 1003, 1005, 1002, (), [(500001, 1000)])))
     assert r.asks[500001] == 1000 and r.prev_u == 1005
     list(r.step(diff(1700000000300, 1006, 1008, 1005, [(500000, 0), (500010, 7)])))
-    row = dict(zip(book._COLUMNS, r.view(), strict=True))
+    row = dict(zip(book.COLUMNS, r.view(), strict=True))
     assert row["best_bid_ticks"] == 500010 and row["bids_price_delta"][:3] == [0, -11, -12] and row["asks_price_delta"][:2] == [0, 1]
     assert len(row["bids_qty_lots"]) == 10 and row["bids_qty_lots"][5:] == [0] * 5
 
@@ -130,6 +130,55 @@ def test_replay_by_epoch_equals_one_pass(spark):
     assert book.replay(events.where("symbol = 'none'"), 5).count() == 0
 
 
+def one_pass(rows, depth):
+    want = []
+    for symbol in sorted({r[0] for r in rows}):
+        one = book.Replay(symbol, depth)
+        for r in rows:
+            if r[0] == symbol:
+                want += one.step((*r[2:7], r[7] or [], r[8] or []))
+        want += one.flush()
+    return want
+
+
+def unbroken(seed, n, prices, alive):
+    """One epoch of one symbol: no break, so no whole book after the first; the depth trims all the time."""
+    rng = random.Random(seed)
+    rows = [("U", 0, "book", 0, 1, 1, 1, [(500 - k, 5) for k in range(prices)], [(501 + k, 5) for k in range(prices)])]
+    for k in range(1, n):
+        far = int(rng.random() ** 3 * prices)
+        q = rng.randrange(1, 9) if rng.random() < alive else 0
+        side = [(500 - far, q)], []
+        rows.append(("U", k, "diff", 35 * k, k, k, k - 1, side[k % 2], [(501 + far, q)] if k % 2 else []))
+    return rows
+
+
+def test_one_unbroken_epoch_is_replayed_in_slices(spark):
+    plain = lambda x: sorted(repr(tuple(r)) for r in x)
+    for seed, n, prices, alive, depth, span in ((1, 2500, 60, 0.5, 8, 50), (2, 1500, 200, 0.7, 30, 100), (3, 1200, 10, 0.5, 100, 100)):
+        rows = unbroken(seed, n, prices, alive)
+        events = spark.createDataFrame(rows, book.EVENTS)
+        got = book.replay(events, depth, span=span).collect()
+        assert plain(got) == plain(one_pass(rows, depth)) and {r.resync_epoch for r in got} == {0}
+
+
+def test_slices_that_begin_out_of_sync(spark):
+    rng, rows = random.Random(9), []
+    u = 0
+    for k in range(3000):
+        if rng.random() < 0.004:
+            rows.append(("A", k, "book", k, 0, u + rng.choice([-30, -2, 0, 1, 3]), 0, [(100 - i, 5) for i in range(6)], [(101 + i, 5) for i in range(6)]))
+        pu = u if rng.random() > 0.006 else u - 1
+        first, u = u + 1, u + rng.randrange(1, 3)
+        rows.append(("A", k, "diff", 30 * k, first, u, pu, [(rng.randrange(80, 101), rng.randrange(3))], [(rng.randrange(101, 121), rng.randrange(3))]))
+    rows += [("A", None, "diff", 1, 1, 1, 0, None, None), ("B", 7, "book", 0, 0, 5, 0, None, None)]
+    rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[5]))
+    plain = lambda x: sorted(repr(tuple(r)) for r in x)
+    want = plain(one_pass(rows, 4))
+    for span in (40, 333, 10**6):
+        assert plain(book.replay(spark.createDataFrame(rows, book.EVENTS).repartition(6), 4, span=span).collect()) == want
+
+
 def test_monitor_and_recording_streams(spark, tmp_path):
     rows = spark.createDataFrame([("S", 1000 * k * 1_000_000, k, k - 1 - (k == 7)) for k in range(1, 10)] + [("S", 60_000_000_000, 10, 9)], "symbol string, ts_ns long, u long, pu long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -638,7 +638,7 @@ def _depth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t1_replay")
 def t1_replay(spark, sf_dir):
     """Books of depth 20 and state changes of the replayed depth log."""
-    found = book.replay(_depth_events(spark, sf_dir), depth=20)
+    found = book.replay(_depth_events(spark, sf_dir), depth=20, span=20_000)
     return found.select("symbol", "row", "ts_ns", "u", "best_bid_ticks", "best_ask_ticks", "resync_epoch", "state", "reason", F.aggregate("bids_qty_lots", F.lit(0).cast("long"), lambda a, x: a + x).alias("bid_lots"))
 
 

@@ -8,121 +8,29 @@ epoch, and the book waits for the next whole book and the difference that contai
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidebook.functions.expressions import price_to_ticks, qty_to_lots, whole
-from tidebook.operators.asof import asof_backward, positions, previous
+from tidebook.operators.asof import previous
 from tidebook.schemas import Scale
 from tidebook.storage import cut
+from tidebook.streaming.machine import BUFFER, COLUMNS, EVENTS, OUTPUT, Outline, Replay
 
-BUFFER = 1000
-EVENTS = "symbol string, at long, kind string, E long, first_u long, u long, pu long, bids array<struct<p:long,q:long>>, asks array<struct<p:long,q:long>>"
-OUTPUT = (
-    "symbol string, row string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long, bids_price_delta array<int>, bids_qty_lots array<long>, "
-    "asks_price_delta array<int>, asks_qty_lots array<long>, resync_epoch int, state string, reason string"
-)
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+__all__ = ["BUFFER", "COLUMNS", "EVENTS", "OUTPUT", "Replay", "replay", "replay_stream"]
 
-
-class Replay:
-    """The book of one symbol and where it stands in its synchronisation.
-
-    ``state`` is BUFFERING until a whole book arrives, SYNCING until a difference contains that book's id
-    (U <= id <= u), then LIVE. A difference whose pu is not the u before it triggers a resync: the epoch
-    rises, the buffer empties and the state is BUFFERING again. The buffer keeps the newest BUFFER
-    differences. Every applied event refreshes the book's time.
-    """
-
-    def __init__(self, symbol: str, depth: int = 1000, tick_ns: int = 100_000_000):
-        self.symbol, self.depth, self.tick_ns = symbol, depth, tick_ns
-        self.bids: dict[int, int] = {}
-        self.asks: dict[int, int] = {}
-        self.buffer: list[tuple] = []
-        self.state, self.prev_u, self.book_id, self.epoch, self.ts_ns, self.touched = "BUFFERING", 0, 0, 0, 0, False
-
-    def _trim(self) -> None:
-        for side, high in ((self.bids, True), (self.asks, False)):
-            if len(side) > self.depth:
-                for p in sorted(side, reverse=high)[self.depth :]:
-                    del side[p]
-
-    def load(self, bids, asks) -> None:
-        self.bids = {int(p): int(q) for p, q in bids if q > 0}
-        self.asks = {int(p): int(q) for p, q in asks if q > 0}
-        self._trim()
-
-    def change(self, bids, asks) -> None:
-        for side, levels in ((self.bids, bids), (self.asks, asks)):
-            for p, q in levels:
-                if q > 0:
-                    side[int(p)] = int(q)
-                else:
-                    side.pop(int(p), None)
-        self._trim()
-
-    def _note(self, state: str, reason: str = "") -> tuple:
-        self.state = state
-        return (self.symbol, "sync", self.ts_ns, self.prev_u, 0, 0, [], [], [], [], self.epoch, state, reason)
-
-    def _resync(self, reason: str) -> Iterator[tuple]:
-        yield from self.flush()
-        self.epoch += 1
-        self.buffer = []
-        yield self._note("RESYNCING", reason)
-        yield self._note("BUFFERING")
-
-    def view(self) -> tuple:
-        """The book as a snapshot row; sides are padded to the depth with zeros."""
-        bids, asks = sorted(self.bids, reverse=True)[: self.depth], sorted(self.asks)[: self.depth]
-        best_bid, best_ask = bids[0] if bids else 0, asks[0] if asks else 0
-        pad = lambda x: x + [0] * (self.depth - len(x))
-        return (
-            self.symbol, "book", self.ts_ns, self.prev_u, best_bid, best_ask, pad([p - best_bid for p in bids]), pad([self.bids[p] for p in bids]),
-            pad([p - best_ask for p in asks]), pad([self.asks[p] for p in asks]), self.epoch, self.state, "",
-        )
-
-    def flush(self) -> Iterator[tuple]:
-        """The last book of the current tick, if any event changed it."""
-        if self.touched:
-            self.touched = False
-            yield self.view()
-
-    def _apply(self, event: tuple) -> Iterator[tuple]:
-        _, E, _, u, _, bids, asks = event
-        if E * 1_000_000 // self.tick_ns != self.ts_ns // self.tick_ns:
-            yield from self.flush()
-        self.change(bids, asks)
-        self.prev_u, self.ts_ns, self.touched = u, E * 1_000_000, True
-
-    def step(self, event: tuple) -> Iterator[tuple]:
-        """Rows that the event (kind, E, U, u, pu, bids, asks) gives: state changes, and books of ticks past."""
-        kind, _, U, u, pu, bids, asks = event
-        if kind == "book":
-            if self.state == "LIVE":
-                return
-            self.load(bids, asks)
-            self.book_id = u
-            yield self._note("SYNCING")
-            waiting, self.buffer = self.buffer, []
-            for e in waiting:
-                yield from self.step(e)
-                if self.state == "BUFFERING":
-                    break
-        elif self.state == "BUFFERING":
-            self.buffer = [*self.buffer, event][-BUFFER:]
-        elif self.state == "SYNCING":
-            if u >= self.book_id and U <= self.book_id:
-                yield from self._apply(event)
-                yield self._note("LIVE")
-        elif pu != self.prev_u:
-            yield from self._resync(f"sequence gap: pu={pu} != prev_u={self.prev_u}")
-        else:
-            yield from self._apply(event)
+_DEALT = ["symbol", "slice", "start", "kind", "E", "first_u", "u", "pu", "bids", "asks"]
+_STATES = "symbol string, slice long, state string, resyncs int"
+_SEEDS = "symbol string, slice long, start string, resyncs int, sure boolean"
+_LEVELS_AT_ONCE = 400_000
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def _levels(levels) -> list[tuple[int, int]]:
@@ -133,84 +41,184 @@ def _event(r) -> tuple:
     return (r.kind, int(r.E), int(r.first_u), int(r.u), int(r.pu), _levels(r.bids), _levels(r.asks))
 
 
-def resyncs(placed: DataFrame, span: int = 1_000_000) -> DataFrame:
-    """(symbol, pos, epoch, prev_u, ts_ns): each event (by ``pos``, its place in the symbol) with which a resync ends an
-    epoch, the epoch that begins after it, and the id and time of the last difference applied before.
+def _side(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """The (p, q) of each row's levels; none for null."""
+    inner = column.flatten()
+    pairs = list(zip(inner.field("p").to_pylist(), inner.field("q").to_pylist(), strict=True))
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [pairs[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    Only rows that can matter are stepped through: whole books and the BUFFER events before each, differences that
-    do not continue the one before, and those that contain the id of the last whole book. Places are searched in
-    buckets of ``span``.
-    """
-    lean = placed.select("symbol", "pos", (F.col("kind") == "book").alias("whole"), "E", "first_u", "u", "pu")
-    diffs = previous(lean.where(~F.col("whole")), ["u", "E"], ["pos"], ["symbol"], whole(F.col("pos"), span))
-    books = lean.where("whole").select("symbol", F.col("pos").alias("ts_ns"), "u")
-    broken = F.coalesce(F.col("pu") != F.col("prev.u"), F.lit(False))
-    seen = asof_backward(diffs.withColumn("broken", broken).withColumn("ts_ns", F.col("pos")), books, [], span)
-    holds = F.coalesce((F.col("first_u") <= F.col("snap.u")) & (F.col("snap.u") <= F.col("u")), F.lit(False))
-    before = books.select("symbol", F.explode(F.sequence(F.col("ts_ns") - BUFFER, F.col("ts_ns") - 1)).alias("pos")).distinct()
-    near = seen.join(before.withColumn("near", F.lit(True)), ["symbol", "pos"], "left").where(F.col("broken") | holds | F.col("near"))
-    rows = near.select("symbol", "pos", "whole", "first_u", "u", "broken", F.col("prev.u").alias("prev_u"), F.col("prev.E").alias("prev_E"))
-    rows = rows.unionByName(lean.where("whole").select("symbol", "pos", "whole", "first_u", "u"), allowMissingColumns=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, state, book_id, epoch, waiting = None, "BUFFERING", 0, 0, []
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.itertuples():
-                if r.symbol != symbol:
-                    symbol, state, book_id, epoch, waiting = r.symbol, "BUFFERING", 0, 0, []
-                if not r.whole and state == "BUFFERING":
-                    waiting = [*waiting, r][-BUFFER:]
-                    continue
-                if r.whole and state == "LIVE":
-                    continue
-                now = [r]
-                if r.whole:
-                    state, book_id, now, waiting = "SYNCING", r.u, waiting, []
-                for d in now:
-                    if state == "SYNCING" and d.first_u <= book_id <= d.u:
-                        state = "LIVE"
-                    elif state == "LIVE" and d.broken:
-                        state, epoch = "BUFFERING", epoch + 1
-                        out.append((symbol, r.pos, epoch, d.prev_u, d.prev_E * 1_000_000))
-                        break
-            yield pd.DataFrame(out, columns=["symbol", "pos", "epoch", "prev_u", "ts_ns"])
-
-    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "pos")
-    return ordered.mapInPandas(run, "symbol string, pos long, epoch int, prev_u long, ts_ns long")
-
-
-def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, span: int = 1_000_000) -> DataFrame:
-    """Books (row = book) and state changes (row = sync) of all symbols, from a table of EVENTS in order of
-    ``at`` then ``u``; rows without a symbol are left out.
-
-    A resync forgets the book, so what lies between two of them is replayed by itself: a task reads the events of
-    an epoch as a stream and never holds them together. ``span`` is the width, in units of ``at``, of the
-    buckets in which events are numbered."""
-    columns = ["symbol", "kind", "E", "first_u", "u", "pu", "bids", "asks"]
-    placed = cut(positions(events.where("symbol is not null"), ["at", "u"], ["symbol"], whole(F.col("at"), span)).select("pos", *columns))
-    cuts = cut(resyncs(placed, span))
-    starts = cuts.select("symbol", (F.col("pos") + 1).alias("ts_ns"), F.col("epoch").cast("long").alias("u"), "prev_u", F.col("ts_ns").alias("last_ns"))
-    dealt = asof_backward(placed.withColumn("ts_ns", F.col("pos")), starts, ["prev_u", "last_ns"], span)
-    since = lambda c: F.coalesce(F.col(f"snap.{c}"), F.lit(0))
-    dealt = dealt.select("pos", *columns, since("u").alias("epoch"), since("prev_u").alias("last_u"), since("last_ns").alias("last_ns"))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(symbol, slice, start, event) of each row in order; the row that brings the start has no event."""
+    for b in batches:
+        c = {n: b.column(n) for n in b.schema.names}
+        scalars = (c[n].to_pylist() for n in ("symbol", "slice", "start", "kind", "E", "first_u", "u", "pu"))
+        for symbol, slice_, start, *event, bids, asks in zip(*scalars, _side(c["bids"]), _side(c["asks"]), strict=True):
+            yield symbol, slice_, start, (*event, bids, asks)
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _outlines(depth: int, tick_ns: int):
+    """(symbol, slice, state): of each slice, as JSON, what it does to a live book that it continues, and to one that waits."""
+
+    def told(live: Outline, waiting: Outline, whole_books: int) -> str:
+        sides = [sorted(side.items()) for side in (live.bids, live.asks)]
+        return json.dumps([live.first_pu, live.fresh, live.save(), sides, live.epoch, whole_books, waiting.save(), waiting.epoch])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, live, waiting, books = None, None, None, 0
+        for symbol, slice_, _, event in _slices(batches):
+            if key != (symbol, slice_):
+                if key:
+                    yield _arrow([(*key, told(live, waiting, books), 0)], _STATES)
+                key, books = (symbol, slice_), 0
+                live, waiting = (Outline(symbol, depth, tick_ns, state) for state in ("LIVE", "BUFFERING"))
+            books += event[0] == "book"
+            for machine in (live, waiting):
+                for _ in machine.step(event):
+                    pass
+        if key:
+            yield _arrow([(*key, told(live, waiting, books), 0)], _STATES)
+
+    return run
+
+
+def _combined(depth: int, tick_ns: int):
+    """From the outlines of a symbol's slices in order the state in which each begins. It is sure where no trimming
+    inside the slices before, and no doubt about their sync, could have made it another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, part = None, None
+        symbol, now, sync, levels = None, None, True, True
         for batch in batches:
-            out: list[tuple] = []
+            out = []
             for r in batch.itertuples():
-                if now is None or part != (r.symbol, r.epoch):
-                    out += [] if now is None else now.flush()
-                    now, part = Replay(r.symbol, depth, tick_ns), (r.symbol, r.epoch)
-                    now.epoch, now.prev_u, now.ts_ns = int(r.epoch), int(r.last_u), int(r.last_ns)
-                out += now.step(_event(r))
-            yield pd.DataFrame(out, columns=_COLUMNS)
-        if now is not None:
-            yield pd.DataFrame(list(now.flush()), columns=_COLUMNS)
-
-    ordered = dealt.repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "pos")
-    return ordered.mapInPandas(run, OUTPUT)
+                if r.symbol != symbol:
+                    symbol, now, sync, levels = r.symbol, Replay(r.symbol, depth, tick_ns), True, True
+                pu, fresh, end, sides, live_resyncs, books, waiting_end, waiting_resyncs = json.loads(r.state)
+                begin, sure, resyncs = now.save(), sync and levels, 0
+                if now.state == "LIVE" and (pu is None or pu == now.prev_u):
+                    then = Replay(r.symbol, depth, tick_ns).restore(end)
+                    resyncs = live_resyncs
+                    if fresh or then.state != "LIVE":
+                        now, levels = then, True
+                    elif pu is not None:
+                        for own, changes in ((now.bids, sides[0]), (now.asks, sides[1])):
+                            levels = levels and len(own.keys() | {p for p, _ in changes}) <= depth
+                            own.update(changes)
+                            for p in [p for p, q in changes if not q]:
+                                del own[p]
+                        now._trim()
+                        now.prev_u, now.ts_ns, now.touched = then.prev_u, then.ts_ns, True
+                elif now.state == "BUFFERING" and not books:
+                    for e in Replay(r.symbol).restore(waiting_end).buffer:
+                        now.buffer.append(e)
+                else:
+                    sync = sync and now.state == "BUFFERING" and not now.buffer
+                    before = now
+                    now, levels, resyncs = Replay(r.symbol, depth, tick_ns).restore(waiting_end), True, waiting_resyncs + (before.state == "LIVE")
+                    if not now.prev_u and not now.ts_ns:  # nothing was applied: the notes go on telling the last event
+                        now.prev_u, now.ts_ns = before.prev_u, before.ts_ns
+                    sync = sync and not (before.prev_u or before.ts_ns)
+                out.append((symbol, r.slice, begin, resyncs, sure))
+            yield pd.DataFrame(out, columns=["symbol", "slice", "start", "resyncs", "sure"])
+
+    return run
+
+
+def _ends(depth: int, tick_ns: int):
+    """(symbol, slice, state, resyncs): the state after each slice, from the one it starts with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = None, None
+        for symbol, slice_, start, event in _slices(batches):
+            if start is not None:
+                if key:
+                    yield _arrow([(*key, now.save(), now.epoch)], _STATES)
+                key, now = (symbol, slice_), Replay(symbol, depth, tick_ns).restore(start)
+                now.view = lambda: None  # books are not asked for
+            else:
+                for _ in now.step(event):
+                    pass
+        if key:
+            yield _arrow([(*key, now.save(), now.epoch)], _STATES)
+
+    return run
+
+
+def _books(depth: int, tick_ns: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, out = None, False, []
+        for symbol, _, start, event in _slices(batches):
+            if start is not None:
+                if last:
+                    out += now.flush()
+                now = Replay(symbol, depth, tick_ns).restore(start)
+                now.epoch, last = event[1], event[2] == 1  # the start's row has the epoch in E, and whether the slice is the last in first_u
+            else:
+                out += now.step(event)
+            if len(out) * depth > _LEVELS_AT_ONCE:
+                yield _arrow(out, OUTPUT)
+                out = []
+        if last:
+            out += now.flush()
+        yield _arrow(out, OUTPUT)
+
+    return run
+
+
+def _by_slice(rows: DataFrame, *order) -> DataFrame:
+    """Each slice in one task and in order. The number of partitions is given: left to itself, Spark would merge small ones,
+    and Python's work on them with them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "symbol", "slice").sortWithinPartitions("symbol", "slice", *order).select(*_DEALT)
+
+
+def _started(dealt: DataFrame, starts: DataFrame) -> DataFrame:
+    """Events by slice and in order, each slice after the row of ``starts`` (symbol, slice, start, E, first_u) that begins it."""
+    none = [F.lit(None).cast(dealt.schema[c].dataType).alias(c) for c in ("at", "kind", "u", "pu", "bids", "asks")]
+    rows = dealt.withColumn("start", F.lit(None).cast("string")).unionByName(starts.select("symbol", "slice", "start", "E", "first_u", *none))
+    return _by_slice(rows, F.col("start").isNull(), "at", "u")
+
+
+def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, span: int = 3_600_000) -> DataFrame:
+    """Books (row = book) and state changes (row = sync) of all symbols, from a table of EVENTS in order of ``at``
+    then ``u``; rows without a symbol are left out, rows without ``at`` come first.
+
+    The log is cut into slices of ``span`` units of ``at``, which tasks replay side by side, each as a stream. What a slice
+    starts from is found beforehand: every slice tells what it does to a book it does not know (the last quantity of each
+    level, and all of the book once a whole one came), and these outlines, one row a slice, are put together in order.
+    That is exact unless the depth trims levels in between or a slice begins out of sync; such slices are run for their
+    end, without books, and where an end is not what the next slice starts from, that one is run again from it,
+    until all agree. Every round settles at least one more slice of a symbol, mostly all of them.
+    """
+    key = ["symbol", "slice"]
+    slice_ = F.coalesce(whole(F.col("at"), span), F.lit(-(1 << 62)))
+    dealt = cut(events.where("symbol is not null").select("symbol", slice_.alias("slice"), "at", "kind", "E", "first_u", "u", "pu", "bids", "asks"))
+    inside = dealt.withColumn("start", F.lit(None).cast("string"))
+    outlines = _by_slice(inside, "at", "u").mapInArrow(_outlines(depth, tick_ns), _STATES)
+    seeds = outlines.repartition("symbol").sortWithinPartitions(*key).mapInPandas(_combined(depth, tick_ns), _SEEDS)
+    following = Window.partitionBy("symbol").orderBy("slice")
+    seeds = cut(seeds.withColumn("then", F.lead("slice").over(following)).withColumn("_sure", F.lead("sure").over(following)))
+    asked = seeds.where("then is not null and not _sure").select(*key, "start", "then")
+    while not asked.isEmpty():
+        starts = asked.select(*key, "start", F.lit(0).cast("long").alias("E"), F.lit(0).cast("long").alias("first_u"))
+        ends = cut(_started(dealt.join(asked.select(*key), key, "left_semi"), starts).mapInArrow(_ends(depth, tick_ns), _STATES))
+        after = ends.join(asked.select(*key, "then"), key).select("symbol", F.col("then").alias("slice"), F.col("state").alias("_state"))
+        counts = ends.select(*key, F.col("resyncs").alias("_resyncs"))
+        both = seeds.join(after, key, "left").join(counts, key, "left")
+        moved = F.coalesce(F.col("_state") != F.col("start"), F.lit(False))
+        start = F.coalesce("_state", "start")
+        seeds = cut(both.select(*key, start.alias("start"), F.coalesce("_resyncs", "resyncs").alias("resyncs"), "then", moved.alias("moved")))
+        asked = seeds.where("moved and then is not null").select(*key, "start", "then")
+    before = F.sum("resyncs").over(following.rowsBetween(Window.unboundedPreceding, -1))
+    starts = seeds.select(*key, "start", F.coalesce(before, F.lit(0)).cast("long").alias("E"), F.when(F.col("then").isNull(), 1).otherwise(0).cast("long").alias("first_u"))
+    return _started(dealt, starts).mapInArrow(_books(depth, tick_ns), OUTPUT)
 
 
 def replay_stream(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000) -> DataFrame:
@@ -229,7 +237,7 @@ def replay_stream(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_0
             for (side, p), (q,) in self.levels.iterator():
                 (r.bids if side == "b" else r.asks)[p] = q
             before = {("b", p): q for p, q in r.bids.items()} | {("a", p): q for p, q in r.asks.items()}
-            r.buffer = [(k, E, U, u, pu, json.loads(b), json.loads(a)) for k, E, U, u, pu, b, a in self.waiting.get()]
+            r.buffer = deque(((k, E, U, u, pu, json.loads(b), json.loads(a)) for k, E, U, u, pu, b, a in self.waiting.get()), BUFFER)
             out: list[tuple] = []
             for row in pd.concat(list(rows)).sort_values(["at", "u"], kind="stable").itertuples():
                 out += r.step(_event(row))
@@ -243,7 +251,7 @@ def replay_stream(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_0
             self.waiting.clear()
             if r.buffer:
                 self.waiting.put([(k, E, U, u, pu, json.dumps(b), json.dumps(a)) for k, E, U, u, pu, b, a in r.buffer])
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            yield pd.DataFrame(out, columns=COLUMNS)
 
         def close(self) -> None:
             pass
