@@ -24,7 +24,8 @@ class Replay:
     ``state`` is BUFFERING until a whole book arrives, SYNCING until a difference contains that book's id
     (U <= id <= u), then LIVE. A difference whose pu is not the u before it triggers a resync: the epoch
     rises, the buffer empties and the state is BUFFERING again. The buffer keeps the newest BUFFER
-    differences. Every applied event refreshes the book's time.
+    differences. Every applied event refreshes the book's time, and so does a break: state
+    changes carry it.
     """
 
     def __init__(self, symbol: str, depth: int = 1000, tick_ns: int = 100_000_000):
@@ -62,9 +63,10 @@ class Replay:
         self.state = state
         return (self.symbol, "sync", self.ts_ns, self.prev_u, 0, 0, [], [], [], [], self.epoch, state, reason)
 
-    def _resync(self, reason: str) -> Iterator[tuple]:
+    def _resync(self, reason: str, ts_ns: int) -> Iterator[tuple]:
         yield from self.flush()
         self.epoch += 1
+        self.ts_ns = ts_ns
         self.buffer = deque(maxlen=BUFFER)
         yield self._note("RESYNCING", reason)
         yield self._note("BUFFERING")
@@ -113,7 +115,7 @@ class Replay:
                 yield from self._apply(event)
                 yield self._note("LIVE")
         elif pu != self.prev_u:
-            yield from self._resync(f"sequence gap: pu={pu} != prev_u={self.prev_u}")
+            yield from self._resync(f"sequence gap: pu={pu} != prev_u={self.prev_u}", event[1] * 1_000_000)
         else:
             yield from self._apply(event)
 
