@@ -193,19 +193,6 @@ def test_monitor_and_recording_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "lake")).where("date = '1970-01-01' and hour = 0").count() == 10
 
 
-def test_live_match_stream(spark, tmp_path):
-    t = spark.createDataFrame([("S", 10**9 * (1000 + k), k, 5) for k in (1, 5, 9)], "symbol string, ts_ns long, agg_trade_id long, price_ticks long")
-    s = spark.createDataFrame([("S", 10**9 * (1000 + k), k, 4, 6) for k in (0, 3, 4, 200)], "symbol string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long")
-    t.coalesce(1).write.parquet(str(tmp_path / "t"))
-    s.coalesce(1).write.parquet(str(tmp_path / "s"))
-    found = feeds.live_match(spark.readStream.schema(t.schema).parquet(str(tmp_path / "t")), spark.readStream.schema(s.schema).parquet(str(tmp_path / "s")))
-    q = found.writeStream.format("memory").queryName("matched").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {r.agg_trade_id: r.snap_u for r in feeds.latest_match(spark.table("matched")).collect()}
-    assert got == {1: 0, 5: 4, 9: 4}
-
-
 def test_live_gating(spark):
     sync = spark.createDataFrame([("S", 10, 0, "SYNCING"), ("S", 10, 0, "LIVE"), ("S", 50, 1, "RESYNCING"), ("S", 50, 1, "BUFFERING"), ("S", 90, 1, "LIVE")], "symbol string, ts_ns long, resync_epoch int, state string")
     trades = spark.createDataFrame([("S", t) for t in (5, 10, 49, 50, 89, 95)], "symbol string, ts_ns long")

@@ -1,10 +1,13 @@
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidebook import schemas
+from tidebook.operators.asof import asof_backward
+from tidebook.plans import reports
 from tidebook.streaming import book, feeds, recording
 
 MS = 1_000_000
@@ -90,11 +93,11 @@ def test_feed_to_lake_exactly_once_over_a_restart(states, tmp_path):
     def run():
         lines = stream(spark, path, schema)
         part = lambda kind: lines.where(F.col("kind") == kind)
-        events = recording.merged(
+        events = (
             feeds.book_rows(part("book").select("at", F.from_json("value", schemas.BOOK_EVENT).alias("event")), "BTCUSDT"),
             feeds.depth_rows(feeds.decode(part("diff"), schemas.DEPTH_EVENT)), feeds.trade_rows(feeds.decode(part("trade"), schemas.TRADE_EVENT)),
         )
-        for q in recording.start(events, str(tmp_path / "lake"), str(tmp_path / "checkpoint"), depth=10, late="1 second", interval="0 seconds"):
+        for q in reports.record(*events, str(tmp_path / "lake"), str(tmp_path / "checkpoint"), depth=10, late="1 second", interval="0 seconds"):
             q.processAllAvailable()
             q.stop()
 
@@ -110,3 +113,55 @@ def test_feed_to_lake_exactly_once_over_a_restart(states, tmp_path):
     assert len(snapshots) == 599 and [s for s in snapshots if s[1] < 1017] == [(d["E"] * MS, d["u"]) for d in diffs[:3]]
     assert {(str(r.date), int(r.hour)) for r in read("snapshots")} == {("2023-11-14", 22)}
     assert [r.state for r in read("notes")] in (["SYNCING", "LIVE"], ["LIVE", "SYNCING"])
+
+
+def test_live_asof_equals_the_batch(states, tmp_path):
+    spark, rng = states, random.Random(6)
+    at = lambda lo: rng.randrange(lo, lo + 40) * 100 * MS
+    trades = [[(rng.choice("ABC"), at(40 * k), rng.randrange(1000), 5) for _ in range(30)] for k in range(4)]
+    snaps = [[(rng.choice("AB"), at(40 * k), n, n, n + 1) for n in range(100 * k, 100 * k + 12)] for k in range(4)]
+    trades[0] += [("A", None, 1, 1), (None, 5, 1, 1)]
+    trades[3] += [("A", 100 * MS, 777, 5)]
+    snaps[3] += [("A", 100 * MS, 888, 1, 2)]
+    t_schema, s_schema = "symbol string, ts_ns long, agg_trade_id long, price_ticks long", "symbol string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long"
+    far = 10**6 * MS
+    for k in range(5):
+        put(spark, str(tmp_path / "t"), trades[k] if k < 4 else [("Z", far, 0, 0)], t_schema)
+        put(spark, str(tmp_path / "s"), snaps[k] if k < 4 else [("Z", far, 0, 0, 0)], s_schema)
+    for age in (None, 500 * MS):
+        found = feeds.live_asof(stream(spark, str(tmp_path / "t"), t_schema), stream(spark, str(tmp_path / "s"), s_schema), "5 seconds", age)
+        q = found.writeStream.format("memory").queryName("matched").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{age}")).start()
+        q.processAllAvailable()
+        state = [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+        q.stop()
+        rows = spark.table("matched").collect()
+        got = sorted((r.symbol, r.trade_ns, r.agg_trade_id, r.snap_ns or -1, r.snap_u or -1) for r in rows if r.kind == "match")
+        t = spark.createDataFrame([x for b in trades for x in b if None not in x and x[2] != 777], t_schema)
+        s = spark.createDataFrame([x for b in snaps for x in b if x[2] != 888], s_schema)
+        batch = asof_backward(t, s, [], max_age_ns=age).collect()
+        assert got == sorted((r.symbol, r.ts_ns, r.agg_trade_id, r.snap.ts_ns if r.snap else -1, (r.snap.u or -1) if r.snap else -1) for r in batch)
+        assert sorted((r.kind, r.agg_trade_id, r.snap_u) for r in rows if r.kind != "match") == [("late_snapshot", None, 888), ("late_trade", 777, None)]
+        assert state[-1] < 60
+
+
+def test_bad_lines_are_counted_per_trigger(states, tmp_path):
+    spark, path = states, str(tmp_path / "in")
+    good = json.dumps({"T": 5, "p": "1", "q": "2"})
+    put(spark, path, [(good,), ("{oops",), (None,)], "value string")
+    put(spark, path, [(good,), (good,)], "value string")
+    put(spark, path, [("[1]",)], "value string")
+    counts, said = feeds.FeedCounts("trades"), []
+    counts.warn = said.append
+    spark.streams.addListener(counts)
+    rows = feeds.trade_rows(feeds.decode(stream(spark, path, "value string"), schemas.TRADE_EVENT, "trades"), symbol="S")
+    q = rows.writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    per = [feeds.feed_counts(p, "trades") for p in q.recentProgress if p.numInputRows]
+    assert per == [(3, 2), (2, 0), (1, 1)] and spark.table("decoded").count() == 3
+    for _ in range(50):
+        if len(counts.triggers) >= 3:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counts)
+    assert (counts.lines, counts.bad, len(said)) == (6, 3, 2)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidebook.functions import expressions as X
 from tidebook.operators import calibration, layout, mismatch, penetration, quality, sizes
 from tidebook.sources import sinks
-from tidebook.streaming import book, feeds
+from tidebook.streaming import recording
 
 
 def _dated(rows: DataFrame) -> DataFrame:
@@ -94,10 +95,10 @@ def hour_report(snapshots: DataFrame, trades: DataFrame) -> dict[str, DataFrame]
     return {"snapshot_hours": a, "trade_hours": b, "compared": compared, "fragmentation": layout.fragmentation(compared), "missing_hours": layout.missing_hours(snapshots, ["symbol", "date"])}
 
 
-def record(depth_events: DataFrame, trade_events: DataFrame, root: str, checkpoint: str, depth: int = 1000):
-    """Start the two recording queries: replayed books and normalised trades into the lake."""
-    books = book.replay_stream(depth_events, depth).where("row = 'book'").drop("row", "state", "reason")
-    return feeds.record(books, f"{root}/snapshots", f"{checkpoint}/snapshots"), feeds.record(feeds.trade_rows(trade_events), f"{root}/trades", f"{checkpoint}/trades")
+def record(books: DataFrame, differences: DataFrame, trades: DataFrame, root: str, checkpoint: str, depth: int = 1000, late: str = "10 seconds", interval: str = "60 seconds") -> list[StreamingQuery]:
+    """Start recording three live feeds (feeds.book_rows, depth_rows and trade_rows) into the lake: a book a tick while
+    the book is LIVE, the trades that meet a LIVE book, and notes of state changes and late rows."""
+    return recording.start(recording.merged(books, differences, trades), root, checkpoint, depth, late=late, interval=interval)
 
 
 def save(tables: dict[str, DataFrame], root: str, csv: tuple[str, ...] = ()) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from tidebook import schemas
 from tidebook.functions import expressions as X
@@ -28,11 +29,47 @@ def exact_names(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def decode(lines: DataFrame, schema: str) -> DataFrame:
+def decode(lines: DataFrame, schema: str, metrics: str | None = None) -> DataFrame:
     """``event`` parsed from JSON ``value``; lines that are no JSON objects are left out (undecodable keeps them).
-    Works on batches and streams."""
+    Works on batches and streams. With ``metrics`` the query observes, under that name, how many ``lines`` came and how
+    many were ``bad``: a stream reports it with every trigger (FeedCounts, feed_counts)."""
     with exact_names(lines.sparkSession):
-        return _parsed(lines, schema).where("good").select("event")
+        parsed = _parsed(lines, schema)
+        if metrics:
+            parsed = parsed.observe(metrics, F.count("*").alias("lines"), F.count_if(~F.col("good")).alias("bad"))
+        return parsed.where("good").select("event")
+
+
+def feed_counts(progress, name: str) -> tuple[int, int] | None:
+    """(lines, bad) of one trigger's progress, or None where nothing was observed under ``name``."""
+    found = progress.observedMetrics.get(name)
+    return None if found is None else (found["lines"], found["bad"])
+
+
+class FeedCounts(StreamingQueryListener):
+    """Listener that adds up lines and bad lines of a feed over all triggers, and warns where a trigger has bad ones.
+    Register it with spark.streams.addListener."""
+
+    def __init__(self, name: str, warn=None):
+        self.name, self.warn, self.lines, self.bad = name, warn, 0, 0
+        self.triggers: list[tuple[int, int, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = feed_counts(event.progress, self.name)
+        if found:
+            self.lines, self.bad = self.lines + found[0], self.bad + found[1]
+            self.triggers.append((event.progress.batchId, *found))
+            if self.warn and found[1]:
+                self.warn(f"{self.name}: {found[1]} of {found[0]} lines could not be decoded")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
@@ -118,19 +155,83 @@ def every_tick(books: DataFrame, columns: list[str], tick_ns: int = 100_000_000)
     return asof_backward(ticks.withColumn("ts_ns", (F.col("tick") + 1) * tick_ns - 1), books, columns)
 
 
-def live_match(trades: DataFrame, snapshots: DataFrame, age: str = "1 minute", late: str = "10 seconds") -> DataFrame:
-    """Streams joined as of: every (trade, snapshot) with the snapshot at most ``age`` old; trades without one come
-    with nulls once the watermark has passed. latest_match keeps the last per trade."""
-    t = trades.withColumn("t_time", X.ns_to_timestamp(F.col("ts_ns"))).withWatermark("t_time", late).select("t_time", "symbol", F.col("ts_ns").alias("trade_ns"), "agg_trade_id", "price_ticks")
-    s = snapshots.withColumn("s_time", X.ns_to_timestamp(F.col("ts_ns"))).withWatermark("s_time", late).select("s_time", F.col("symbol").alias("s_symbol"), F.col("ts_ns").alias("snap_ns"), F.col("u").alias("snap_u"), "best_bid_ticks", "best_ask_ticks")
-    on = (F.col("symbol") == F.col("s_symbol")) & (F.col("s_time") <= F.col("t_time")) & (F.col("s_time") >= F.col("t_time") - F.expr(f"interval {age}"))
-    return t.join(s, on, "left").drop("s_symbol")
+_MATCHED = (
+    "kind string, symbol string, trade_ns long, agg_trade_id long, price_ticks long, snap_ns long, snap_u long, "
+    "best_bid_ticks long, best_ask_ticks long"
+)
+_MATCHED_COLUMNS = [c.split()[0] for c in _MATCHED.split(", ")]
+
+
+class _AsOf(StatefulProcessor):
+    """Of a symbol the snapshots that a trade can still meet, in order, and the trades that still wait."""
+
+    def __init__(self, max_age_ns: int | None):
+        self.max_age_ns = max_age_ns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.snaps = handle.getListState("snaps", "ts_ns long, u long, bid long, ask long")
+        self.trades = handle.getListState("trades", "ts_ns long, id long, price long")
+
+    def _settled(self, symbol: str, snaps: list[tuple], trades: list[tuple], water_ns: int) -> list[tuple]:
+        """Rows of the trades before the watermark; what is left goes back to the state."""
+        snaps, trades = sorted(snaps), sorted(trades)
+        out, at = [], -1
+        done = bisect_left(trades, (water_ns,))
+        for ts, number, price in trades[:done]:
+            while at + 1 < len(snaps) and snaps[at + 1][0] <= ts:
+                at += 1
+            fits = at >= 0 and (self.max_age_ns is None or ts - snaps[at][0] <= self.max_age_ns)
+            out.append(("match", symbol, ts, number, price, *(snaps[at] if fits else (None,) * 4)))
+        first = max(0, bisect_left(snaps, (water_ns,)) - 1)
+        for state, rows in ((self.snaps, snaps[first:]), (self.trades, trades[done:])):
+            state.clear()
+            if rows:
+                state.put(rows)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if done < len(trades):
+            self.handle.registerTimer(trades[done][0] // 1_000_000 + 1)
+        return out
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_MATCHED_COLUMNS, dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        water = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        snaps, trades, late = list(self.snaps.get()), list(self.trades.get()), []
+        for r in pd.concat(list(rows)).itertuples():
+            ts = int(r.ts_ns)
+            if r.is_trade:
+                one = (ts, int(r.number), int(r.price_ticks))
+                late.append(("late_trade", key[0], *one, None, None, None, None)) if ts < water else trades.append(one)
+            elif ts < water:
+                late.append(("late_snapshot", key[0], None, None, None, ts, int(r.number), int(r.best_bid_ticks), int(r.best_ask_ticks)))
+            else:
+                snaps.append((ts, int(r.number), int(r.best_bid_ticks), int(r.best_ask_ticks)))
+        yield self._frame(late + self._settled(key[0], snaps, trades, water))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(self._settled(key[0], list(self.snaps.get()), list(self.trades.get()), timerValues.getCurrentWatermarkInMs() * 1_000_000))
+
+    def close(self) -> None:
+        pass
+
 
+def live_asof(trades: DataFrame, snapshots: DataFrame, late: str = "10 seconds", max_age_ns: int | None = None) -> DataFrame:
+    """Streams joined as of: one row (kind = match) per trade once the watermark, ``late`` behind the newest row, has
+    passed it, with the last snapshot at or before it (of one time the one with the largest u), nulls if there is none or it
+    is older than ``max_age_ns``. Rows behind the watermark come out as late_trade or late_snapshot and change nothing.
 
-def latest_match(matches: DataFrame) -> DataFrame:
-    """Of live_match's rows the last snapshot of each trade."""
-    keys = ["symbol", "trade_ns", "agg_trade_id", "price_ticks"]
-    return matches.groupBy(*keys).agg(F.max_by(F.struct("snap_ns", "snap_u", "best_bid_ticks", "best_ask_ticks"), F.struct("snap_ns", "snap_u")).alias("r")).select(*keys, "r.*")
+    The state of a symbol is what arrived within ``late``, and one snapshot before it. Trades without a time or symbol,
+    and snapshots without one, are left out; absent numbers count as 0."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    t = trades.select("symbol", "ts_ns", F.lit(True).alias("is_trade"), n("agg_trade_id").alias("number"), n("price_ticks").alias("price_ticks"), zero.alias("best_bid_ticks"), zero.alias("best_ask_ticks"))
+    s = snapshots.select("symbol", "ts_ns", F.lit(False).alias("is_trade"), n("u").alias("number"), zero.alias("price_ticks"), n("best_bid_ticks").alias("best_bid_ticks"), n("best_ask_ticks").alias("best_ask_ticks"))
+    both = t.unionByName(s).where("symbol is not null and ts_ns is not null").withColumn("time", X.ns_to_timestamp(F.col("ts_ns"))).withWatermark("time", late).drop("time")
+    return both.groupBy("symbol").transformWithStateInPandas(_AsOf(max_age_ns), _MATCHED, "append", "EventTime")
 
 
 class _Monitor(StatefulProcessor):
