@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -116,7 +118,7 @@ def test_plain_lake_and_old_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, "x", 5, 6, True)], "ts_ns long, symbol string, price_ticks long, qty_lots long, is_buyer_maker boolean")
     rows.write.parquet(str(tmp_path / "trades/BTC/2024-01-02/hour=03"))
     r = lake.read_plain_lake(spark, str(tmp_path), "trades").first()
-    assert (r.symbol, r.date, r.hour, r.agg_trade_id) == ("BTC", "2024-01-02", "03", None)
+    assert (r.symbol, r.date, r.hour, r.agg_trade_id) == ("BTC", "2024-01-02", "03", 0)
     rows.write.parquet(str(tmp_path / "old/trades/symbol=BTC/date=2024-01-02/hour=03"))
     (tmp_path / "old/trades/symbol=BTC/date=2024-01-02/hour=03/part-bad.parquet").write_bytes(b"junk")
     got = lake.read_table(spark, str(tmp_path / "old"), "trades").collect()
@@ -167,3 +169,41 @@ def test_empty_tables(spark, sf):
     assert sizes.size_table(t).count() == 7
     assert quality.gap_report(s, ["symbol"]).count() == 0
     assert mismatch.match_spread(t, s).count() == 0
+
+
+def test_forward_frames_across_stretches(spark):
+    rng = random.Random(8)
+    rows = [(s, 10 * k, k, rng.randrange(50), rng.randrange(50)) for s, n in (("A", 60), ("B", 3), ("C", 1)) for k in range(n)]
+    snaps = spark.createDataFrame(rows, "symbol string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long")
+    want = {}
+    for s in "ABC":
+        own = [r for r in rows if r[0] == s]
+        for k in range(len(own)):
+            for w in (0, 2, 5):
+                frame = own[k : k + w + 1]
+                want[s, own[k][2], w] = (min(r[3] for r in frame), max(r[4] for r in frame), frame[-1][1])
+    for stretch, bucket in ((1, 70), (7, 10**9), (1000, 35)):
+        found = asof.forward_frames(snaps, [0, 2, 5], bucket_ns=bucket, stretch=stretch)
+        got = {(r.symbol, r.u, x.w): (x.ext_bid, x.ext_ask, x.last_ts_ns) for r in found.collect() for x in r.spreads}
+        assert got == want
+    plan = mismatch.match_spread(snaps.selectExpr("symbol", "ts_ns", "u as agg_trade_id", "best_bid_ticks as price_ticks", "u as qty_lots"), snaps)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "collect_list" not in plan
+
+
+def test_sample_takes_the_rows_of_least_hash(spark):
+    trades = spark.range(5000).selectExpr("concat('S', id % 3) as symbol", "id * 7 as ts_ns", "id as agg_trade_id")
+    ordered = [r.agg_trade_id for r in trades.orderBy(F.xxhash64("symbol", "ts_ns", "agg_trade_id", F.lit(42)), "ts_ns").select("agg_trade_id").collect()]
+    for n in (0, 1, 777, 4999, 5000, 9000):
+        assert sorted(r.agg_trade_id for r in mismatch.sample(trades, n).collect()) == sorted(ordered[:n])
+    assert mismatch.sample(trades.unionAll(trades), 6000).count() == 6000 and mismatch.sample(trades.limit(0), 5).count() == 0
+
+
+def test_logs_reference_trades_and_reasons(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2024-01-01 10:00:00 | x\n2024-01-02 10:00:00 | y\n")
+    assert [r.value[-1] for r in lake.read_log(spark, str(tmp_path / "a.log"), "2024-01-02").collect()] == ["y"]
+    assert lake.read_log(spark, str(tmp_path / "a.log")).count() == 2
+    (tmp_path / "ref.json").write_text("\n".join('{"ts_ns": %d, "symbol": "S", "agg_trade_id": %d}' % (k, k) for k in range(5)))
+    assert sorted(r.agg_trade_id for r in lake.read_reference_trades(spark, str(tmp_path / "ref.json"), 1, 4).collect()) == [1, 2, 3]
+    assert lake.read_reference_trades(spark, str(tmp_path / "ref.json")).count() == 5
+    found = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "reason string")
+    assert [tuple(r) for r in quality.reason_counts(found).collect()] == [("c", 2), ("a", 1), ("b", 1)]

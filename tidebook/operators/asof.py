@@ -69,19 +69,34 @@ def positions(rows: DataFrame, order: list[str], keys: list[str], bucket: Column
     return marked.withColumn("_own", own).join(bases, [*keys, "bucket"]).withColumn("pos", F.col("base") + F.col("_own")).drop("_own", "base", "bucket")
 
 
-def extended_spread(snapshots: DataFrame, windows: list[int], keys: tuple[str, ...] = ("symbol",), bucket_ns: int = NS_HOUR) -> DataFrame:
-    """(keys, ts_ns, u, w, ext_bid, ext_ask, last_ts_ns): for each snapshot and each w of ``windows`` the
-    lowest bid, the highest ask and the last time over it and the w snapshots after it."""
-    keys = list(keys)
+def forward_frames(snapshots: DataFrame, windows: list[int], keys: tuple[str, ...] = ("symbol",), bucket_ns: int = NS_HOUR, stretch: int = 65_536) -> DataFrame:
+    """(keys, ts_ns, u, spreads): for each snapshot an array of one struct (w, ext_bid, ext_ask, last_ts_ns) per w of
+    ``windows``: the lowest bid, the highest ask and the last time over it and the w snapshots after it, or as many as follow.
+
+    Numbered snapshots are dealt in stretches, and each stretch gets the first rows of the next as well, so one
+    window with leads, none of them past a stretch, gives all frames; only max(windows) rows in ``stretch`` are sent twice."""
+    keys, most = list(keys), max(windows)
+    stretch = max(stretch, most + 1)
     placed = positions(snapshots.select(*keys, "ts_ns", "u", "best_bid_ticks", "best_ask_ticks"), ["ts_ns", "u"], keys, whole(F.col("ts_ns"), bucket_ns))
-    near = placed.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(max(windows))))).withColumn("at", F.col("pos") - F.col("back")).where("at >= 0")
-    own = F.col("back") == 0
-    aggs = [F.max(F.when(own, F.col("ts_ns"))).alias("ts_ns"), F.max(F.when(own, F.col("u"))).alias("u")]
-    for w in windows:
-        inside = F.col("back") <= w
-        aggs.append(F.struct(F.lit(w).alias("w"), F.min(F.when(inside, F.col("best_bid_ticks"))).alias("ext_bid"), F.max(F.when(inside, F.col("best_ask_ticks"))).alias("ext_ask"), F.max(F.when(inside, F.col("ts_ns"))).alias("last_ts_ns")).alias(f"w{w}"))
-    grouped = near.groupBy(*keys, "at").agg(*aggs)
-    return grouped.select(*keys, "ts_ns", "u", F.inline(F.array(*(F.col(f"w{w}") for w in windows))))
+    own = placed.withColumn("stretch", whole(F.col("pos"), stretch)).withColumn("own", F.lit(True))
+    carried = own.where((F.col("pos") % stretch < most) & (F.col("stretch") > 0)).withColumn("stretch", F.col("stretch") - 1).withColumn("own", F.lit(False))
+    order = Window.partitionBy(*keys, "stretch").orderBy("pos")
+    after = {c: [F.col(c), *(F.lead(c, k).over(order) for k in range(1, most + 1))] for c in ("best_bid_ticks", "best_ask_ticks", "ts_ns")}
+
+    def over(f, column: str, w: int) -> Column:
+        return f(*after[column][: w + 1]) if w else after[column][0]
+
+    frames = [
+        F.struct(F.lit(w).alias("w"), over(F.least, "best_bid_ticks", w).alias("ext_bid"), over(F.greatest, "best_ask_ticks", w).alias("ext_ask"), over(F.greatest, "ts_ns", w).alias("last_ts_ns"))
+        for w in windows
+    ]
+    rows = own.unionByName(carried).withColumn("spreads", F.array(*frames))
+    return rows.where("own").select(*keys, "ts_ns", "u", "spreads")
+
+
+def extended_spread(snapshots: DataFrame, windows: list[int], keys: tuple[str, ...] = ("symbol",), bucket_ns: int = NS_HOUR) -> DataFrame:
+    """(keys, ts_ns, u, w, ext_bid, ext_ask, last_ts_ns): forward_frames with one row per snapshot and w."""
+    return forward_frames(snapshots, windows, keys, bucket_ns).select(*keys, "ts_ns", "u", F.inline("spreads"))
 
 
 def next_after(rows: DataFrame, events: DataFrame, key: str, at: str, found: str) -> DataFrame:

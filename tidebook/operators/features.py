@@ -13,17 +13,28 @@ from tidebook.operators.asof import asof_backward, previous
 def sliding_windows(snapshots: DataFrame, trades: DataFrame, length_ns: int, step_ns: int) -> DataFrame:
     """(symbol, start_ns, ...) of overlapping windows aligned to ``step_ns``: mean spread, top-level imbalance,
     volume per side, first and last epoch, and whether the window spans an epoch boundary. Windows need a
-    snapshot; those without trades have volume 0."""
+    snapshot; those without trades have volume 0. Rows are first summed by pane, one ``step_ns`` long; a window is
+    put together from its panes."""
 
-    def windowed(rows: DataFrame) -> DataFrame:
-        last = whole(F.col("ts_ns"), step_ns)
-        return rows.withColumn("start_ns", F.explode(F.transform(F.sequence(F.lit(0), F.lit(length_ns // step_ns - 1)), lambda k: (last - k) * step_ns)))
+    panes = length_ns // step_ns
+    pane = whole(F.col("ts_ns"), step_ns).alias("pane")
+
+    def windowed(per_pane: DataFrame) -> DataFrame:
+        """Each pane, an aggregate of its rows, with the start of every window that holds it."""
+        starts = F.transform(F.sequence(F.lit(0), F.lit(panes - 1)), lambda k: (F.col("pane") - k) * step_ns)
+        return per_pane.withColumn("start_ns", F.explode(starts)).drop("pane")
 
     bid, ask = F.get("bids_qty_lots", F.lit(0)), F.get("asks_qty_lots", F.lit(0))
-    books = snapshots.select("symbol", "ts_ns", (F.col("best_ask_ticks") - F.col("best_bid_ticks")).alias("spread"), F.try_divide(bid - ask, bid + ask).alias("imbalance"), "resync_epoch")
-    a = windowed(books).groupBy("symbol", "start_ns").agg(F.count("*").alias("snapshots"), F.avg("spread").alias("avg_spread"), F.avg("imbalance").alias("imbalance"), F.min("resync_epoch").alias("min_epoch"), F.max("resync_epoch").alias("max_epoch"))
-    side = X.consumed_side(F.col("is_buyer_maker"))
-    b = windowed(trades.select("symbol", "ts_ns", side.alias("side"), "qty_lots")).groupBy("symbol", "start_ns").agg(F.sum(F.when(F.col("side") == "bid", F.col("qty_lots"))).alias("bid_lots"), F.sum(F.when(F.col("side") == "ask", F.col("qty_lots"))).alias("ask_lots"))
+    books = snapshots.select("symbol", pane, (F.col("best_ask_ticks") - F.col("best_bid_ticks")).alias("spread"), F.try_divide(bid - ask, bid + ask).alias("imbalance"), "resync_epoch")
+    sums = [F.count("*").alias("snapshots"), F.min("resync_epoch").alias("min_epoch"), F.max("resync_epoch").alias("max_epoch")]
+    sums += [f(c).alias(f"{name}_{c}") for c in ("spread", "imbalance") for f, name in ((F.sum, "sum"), (F.count, "n"))]
+    a = windowed(books.groupBy("symbol", "pane").agg(*sums)).groupBy("symbol", "start_ns").agg(
+        F.sum("snapshots").alias("snapshots"), F.try_divide(F.sum("sum_spread"), F.sum("n_spread")).alias("avg_spread"),
+        F.try_divide(F.sum("sum_imbalance"), F.sum("n_imbalance")).alias("imbalance"), F.min("min_epoch").alias("min_epoch"), F.max("max_epoch").alias("max_epoch"),
+    )
+    side, lots = X.consumed_side(F.col("is_buyer_maker")), F.col("qty_lots")
+    volumes = trades.groupBy("symbol", pane).agg(F.sum(F.when(side == "bid", lots)).alias("bid_lots"), F.sum(F.when(side == "ask", lots)).alias("ask_lots"))
+    b = windowed(volumes).groupBy("symbol", "start_ns").agg(F.sum("bid_lots").alias("bid_lots"), F.sum("ask_lots").alias("ask_lots"))
     return a.join(b, ["symbol", "start_ns"], "left").fillna(0, ["bid_lots", "ask_lots"]).withColumn("crosses_epoch", F.col("min_epoch") != F.col("max_epoch"))
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import expressions as X
-from tidebook.operators.asof import asof_backward, extended_spread
+from tidebook.operators.asof import asof_backward, forward_frames
+
+
+def _with_frames(trades: DataFrame, snapshots: DataFrame, windows: list[int]) -> DataFrame:
+    frames = forward_frames(snapshots, windows)
+    return asof_backward(trades.select("symbol", "ts_ns", "agg_trade_id", "price_ticks", "qty_lots"), frames, ["spreads"]).where("snap is not null")
 
 
 def match_spread(trades: DataFrame, snapshots: DataFrame, windows: tuple[int, ...] = (1,)) -> DataFrame:
     """Each trade that has a snapshot at or before it, once per window w: the lowest bid and highest ask over
     the matched snapshot and the w after it, and the price's deviation from them."""
-    wide = extended_spread(snapshots, list(windows))
-    packed = wide.groupBy("symbol", "ts_ns", "u").agg(F.sort_array(F.collect_list(F.struct("w", "ext_bid", "ext_ask", "last_ts_ns"))).alias("spreads"))  # one entry per window
-    found = asof_backward(trades.select("symbol", "ts_ns", "agg_trade_id", "price_ticks", "qty_lots"), packed, ["spreads"]).where("snap is not null")
+    found = _with_frames(trades, snapshots, list(windows))
     rows = found.select("symbol", "ts_ns", "agg_trade_id", "price_ticks", "qty_lots", F.col("snap.ts_ns").alias("snap_ts_ns"), F.col("snap.u").alias("snap_u"), F.inline("snap.spreads"))
     dev = X.deviation(F.col("price_ticks"), F.col("ext_bid"), F.col("ext_ask"))
     return rows.select(
@@ -47,13 +50,34 @@ def large(matches: DataFrame, over: int = 500, top: int | None = None) -> DataFr
 def window_sweep(trades: DataFrame, snapshots: DataFrame, largest: int = 10) -> DataFrame:
     """Per window size 0 to ``largest``: shares outside the spread and beyond 100 and 500 ticks, whether it is
     the best (fewest outside, the smaller on ties), and the drift that a larger best window would imply."""
-    d = F.col("abs_deviation")
-    matches = match_spread(trades, snapshots, tuple(range(largest + 1)))
-    per = matches.groupBy("w").agg(*(X.safe_pct(F.count_if(d > over), F.count("*")).alias(name) for over, name in ((0, "outside_pct"), (100, "over_100_pct"), (500, "over_500_pct"))))
+    found = _with_frames(trades, snapshots, list(range(largest + 1)))
+    shares = {"outside_pct": 0, "over_100_pct": 100, "over_500_pct": 500}
+
+    def beyond(w: int, over: int) -> Column:
+        spread = F.col("snap.spreads")[w]
+        return F.count_if(F.abs(X.deviation(F.col("price_ticks"), spread["ext_bid"], spread["ext_ask"])) > over)
+
+    counts = found.agg(F.count("*").alias("n"), *(beyond(w, over).alias(f"{name}{w}") for w in range(largest + 1) for name, over in shares.items()))  # one row
+    rows = F.array(*(F.struct(F.lit(w).alias("w"), *(X.safe_pct(F.col(f"{name}{w}"), F.col("n")).alias(name) for name in shares)) for w in range(largest + 1)))
+    per = counts.where("n > 0").select(F.inline(rows))
     best = F.min_by("w", F.struct("outside_pct", "w")).over(Window.partitionBy())  # one row per window size
     return per.select("w", "outside_pct", "over_100_pct", "over_500_pct", (F.col("w") == best).alias("is_best"), F.when(F.col("w") > 1, F.col("w") * 50).otherwise(0).alias("drift_ms"))
 
 
 def sample(trades: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` trades by the hash of their key, the same on every run."""
-    return trades.orderBy(F.xxhash64("symbol", "ts_ns", "agg_trade_id", F.lit(seed)), "symbol", "ts_ns", "agg_trade_id").limit(n)
+    """``n`` trades by the hash of their key, the same on every run; all of them where there are no more.
+
+    A count by the upper 16 bits of the hash tells which rows are in for certain, so only those of one value, about one
+    in 65,536, are ordered: ``n`` may be as large as the table."""
+    rows = trades.withColumn("_hash", F.xxhash64("symbol", "ts_ns", "agg_trade_id", F.lit(seed)))
+    upper = F.shiftright("_hash", 48)
+    taken, edge = 0, None
+    for value, size in sorted(map(tuple, rows.groupBy(upper.alias("v")).agg(F.count("*").alias("n")).collect())):  # 65,536 rows at most
+        if taken + size > n:
+            edge = value
+            break
+        taken += size
+    if edge is None:
+        return trades
+    last = rows.where(upper == edge).orderBy("_hash", "symbol", "ts_ns", "agg_trade_id").limit(n - taken)
+    return rows.where(upper < edge).unionByName(last).drop("_hash")

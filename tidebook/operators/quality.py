@@ -157,7 +157,8 @@ def resync_report(found: DataFrame) -> DataFrame:
 
 
 def reason_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("reason").agg(F.count("*").alias("n"))
+    """(reason, n), the most frequent first, ties by reason."""
+    return found.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 def verdict(rows: DataFrame) -> DataFrame:

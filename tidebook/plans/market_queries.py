@@ -573,6 +573,16 @@ def a29_hour_profile(spark, sf_dir):
     return _rounded(_profile(spark, sf_dir).drop("missing_parts", "extra_parts").withColumn("hour", F.col("hour").cast("int")))
 
 
+@query("a29_parts", BASE + """, p AS (SELECT DISTINCT symbol, date, hour, agg_trade_id % 70 AS part FROM trades)
+SELECT symbol, date, hour, count(*) AS files, CAST(max(part) + 1 - count(*) AS INT) AS missing_parts, count(*) FILTER (part >= 60) AS extra_parts FROM p GROUP BY ALL""")
+def a29_parts(spark, sf_dir):
+    """Missing and extra parts of every hour, where a trade's id tells its part."""
+    part = (F.col("agg_trade_id") % 70).cast("int")
+    rows = feeds.with_partitions(market.trades(spark, sf_dir)).withColumn("part", part).withColumn("file_path", part.cast("string"))
+    profile = layout.hour_profile(rows.withColumn("hour", F.col("hour").cast("int")), ["symbol", "date", "hour"], gap_ms=600_000)
+    return profile.select("symbol", "date", "hour", "files", "missing_parts", "extra_parts")
+
+
 @query("a31_fragmentation", PROFILE + ", c AS (SELECT symbol, date, count(*) FILTER (hour = 0) AS a, count(*) FILTER (hour = 12) AS b FROM prof WHERE hour IN (0, 12) GROUP BY ALL) SELECT round(avg(a), 6) AS avg_files_a, round(avg(b), 6) AS avg_files_b, avg(a) > 5 * avg(b) AS fragmented FROM c")
 def a31_fragmentation(spark, sf_dir):
     return _rounded(layout.fragmentation(layout.compare_two_hours(_profile(spark, sf_dir), ["symbol", "date"], "00", "12"), a="00", b="12"))

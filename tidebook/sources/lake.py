@@ -20,19 +20,25 @@ def read_table(spark: SparkSession, root: str, kind: str, symbol: str | None = N
     schema = schemas.SNAPSHOTS if kind == "snapshots" else schemas.TRADES
     rows = spark.read.schema(T.StructType([*schema, *_PARTS])).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{root}/{kind}")
     if kind == "trades":
-        rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("agg_trade_id", "first_trade_id", "last_trade_id")})
+        rows = _with_ids(rows)
     if symbol is not None:
         rows = rows.where(F.col("symbol") == symbol)
     return rows if date is None else rows.where(F.col("date") == date)
 
 
+def _with_ids(trades: DataFrame) -> DataFrame:
+    return trades.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("agg_trade_id", "first_trade_id", "last_trade_id")})
+
+
 def read_plain_lake(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """The same table from <root>/<kind>/<symbol>/<date>/hour=HH/: symbol, date and hour come from the path."""
+    """The same table from <root>/<kind>/<symbol>/<date>/hour=HH/: symbol, date and hour come from the path. Absent ids
+    read as 0; files that cannot be read, or are gone since they were listed, are skipped."""
     schema = schemas.SNAPSHOTS if kind == "snapshots" else schemas.TRADES
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").parquet(f"{root}/{kind}")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{root}/{kind}")
     path = F.col("_metadata.file_path")
     part = lambda k: F.regexp_extract(path, rf"/{kind}/([^/]+)/([^/]+)/hour=([^/]+)/", k)
-    return rows.withColumns({"symbol": part(1), "date": part(2), "hour": part(3)})
+    rows = rows.withColumns({"symbol": part(1), "date": part(2), "hour": part(3)})
+    return _with_ids(rows) if kind == "trades" else rows
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
