@@ -24,6 +24,19 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_the_fit_is_the_same_however_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, rows in ((4, docs), (7, docs), (11, docs.repartition(13))):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(toxicity.fit(rows, labels, sample=3000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0].patterns) > 5
+
+
 def lexicon():
     patterns = {" " + toxicity.fold("idiot").strip() + " ": 8.0, " vequ": 7.0}
     return toxicity.Lexicon(patterns, tuple(toxicity.fold(e) for e in ("idiot proof",)), 1.0, -4.0)

@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, exceptions: tu
     """Learn a lexicon from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fold.
 
     The fit takes at most ``sample`` labelled documents (those with the smallest hash of their id); near copies of
-    one label count once. A term is a candidate if it would be surprising, over all terms that three toxic texts hold, for its texts to
+    one label count once, by the text of the smallest hash, so the lexicon is the same however the rows are dealt. A term is a candidate if it would be surprising, over all terms that three toxic texts hold, for its texts to
     be toxic by chance; of the candidates those stay that toxic texts vote for. Texts and counts stay in Spark: the
     driver gets the lexicon and how often each strength occurs. Labels that are null or neither 0 nor 1 are ignored;
     of contradicting labels the toxic one counts. Without labelled texts of both kinds, or with too few to show any
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, exceptions: tu
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
-    texts = cut(labelled.mapInArrow(_marks, "text string, toxic int, sig long").dropDuplicates(["sig", "toxic"]))
+    marked = labelled.mapInArrow(_marks, "text string, toxic int, sig long")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")  # of near copies always the same text
+    texts = cut(marked.groupBy("sig", "toxic").agg(one).select("t.text", "toxic", "sig"))
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = size.get(1, 0), size.get(0, 0)
     empty = Lexicon({}, (), 1.0, -20.0)
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, exceptions: tu
     if not patterns:
         return empty
     raw = Lexicon(patterns, tuple(fold(e) for e in exceptions), 1.0, 0.0)
-    scored = texts.select("text", "toxic").mapInArrow(_strengths(raw), "x double, toxic int").groupBy(F.round("x", 2).alias("x"), "toxic").agg(F.count("*").alias("n")).collect()
+    scored = texts.select("text", "toxic").mapInArrow(_strengths(raw), "x double, toxic int").groupBy(F.round("x", 2).alias("x"), "toxic").agg(F.count("*").alias("n")).orderBy("x", "toxic").collect()
     scale, shift = _calibrate(*(np.array([r[k] for r in scored], np.float64) for k in ("x", "toxic", "n")))
     return Lexicon(patterns, raw.exceptions, scale, min(shift, -1.0)) if scale > 0 else empty
 
