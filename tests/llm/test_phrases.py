@@ -67,15 +67,31 @@ def test_phrases_open_for_one_cycle():
     text, lang = pa.array(["a b c", "a b, c"]), pa.array(["en", "en"])
     first = np.full(1 << 16, phrases.NEVER, np.uint8)
 
+    pairs = np.full(1 << 10, 255, np.uint8)
+
     def counts(step):
-        return {(r["phrase"], r["since"]): r["n"] for b in phrases.count_open(text, lang, first, step, 2) for r in b.to_pylist()}
+        return {(r["phrase"], r["since"]): r["n"] for b in phrases.count_open(text, lang, first, pairs, step, 2) for r in b.to_pylist()}
 
     assert counts(0) == counts(1) == {("a", 0): 2, ("b", 0): 2, ("c", 0): 2} and counts(2) == {}
     first[phrases.word_hashes(["en"] * 2, ["a", "b"]) & np.uint64(65535)] = (0, 1)
     assert counts(2) == counts(3) == {("a b", 2): 2} and counts(4) == {}
+    pairs[:] = 0
+    assert counts(2) == {}
     assert phrases.word_hashes(["en"], ["a"]) != phrases.word_hashes(["fr"], ["a"])
 
 
+def test_pairs_too_rare_to_open(spark):
+    rows = spark.createDataFrame([("en", "a b a b. c d")] * 3 + [("en", "x y")] * 2 + [("fr", "a b"), ("en", "")], "lang string, text string").repartition(4)
+    for least in (3, 300):
+        bits = phrases.possible_pairs(rows.unionAll(rows) if least == 3 else rows.crossJoin(spark.range(100)).select("lang", "text"), least, 12, 10)
+        held = set()
+        for a, b in ("ab", "cd", "xy"):
+            own = phrases.word_hashes(["en"] * 2, [a, b])
+            if phrases._holds(bits, phrases._joined(own[:1], own[1:]) & np.uint64(4095))[0]:
+                held.add(a + b)
+        assert held == ({"ab", "cd", "xy"} if least == 3 else {"ab", "cd"})
+
+
 def test_large_counts_stay_exact(spark):
     rows = spark.sql("select cast(2 as bigint) as size, cast(3000000000000000000 as bigint) as f")
     wide = rows.select((F.col("f").cast("decimal(19,0)") * F.lit(2_000_000).cast("decimal(7,0)")).alias("product"), (F.col("f").cast("decimal(19,0)") * 2).alias("both"))

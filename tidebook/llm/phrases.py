@@ -7,7 +7,8 @@ have reached the threshold, and for exactly one cycle of the shards; so phrases
 What tells the tasks which phrases are open is a table of one byte for each of 2^bits hash slots: the first step after
 which a phrase of that slot was frequent. A phrase's start is the later byte of its two parts. As a byte never changes once it is
 set, each phrase is counted for one whole cycle, and its count is exact whatever shares its slot; a crowded table only
-lets more phrases be counted.
+lets more phrases be counted. Before, one pass counts pairs of words by hash slot, and pairs of a
+slot with fewer than the threshold in all are never opened: most pairs of frequent words are that rare.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import cut, fresh_folder
 
 LONGEST = 4
+_PART = 1 << 16
 NEVER = 255
 _COUNTS = "lang string, phrase string, size int, since int, n long, before long"
 _NAMES = ["lang", "phrase", "size", "since", "n", "before"]
@@ -54,7 +56,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arra
     of text, and its text's row. Words are what stands between spaces and tabs, in lower case; pieces end at . , ; : ! ? and
     line ends."""
     marked = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]+", " \n ")
-    split = pc.split_pattern_regex(marked, r"[ \t]+")
+    split = pc.split_pattern(pc.replace_substring(marked, "\t", " "), " ")
     coded = split.flatten().dictionary_encode()
     row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int32)
     code = coded.indices.to_numpy(zero_copy_only=False)
@@ -71,16 +73,30 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, inverse, counts
 
 
-def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, step: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row (lang, phrase, size, since, n, 0) for each distinct phrase of the texts that is open at ``step``."""
+def _words(texts: pa.Array, langs: pa.Array) -> tuple:
+    """(word, piece, counts, lang, text): of every word in order its number and its piece, and of every number how often
+    it stands, its language and its text; a word is another one in each language. Empty without words."""
     code, piece, row, words = tokens(texts)
     if not len(code):
-        return
+        return ()
     coded = langs.dictionary_encode()
     lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
     at, word, counts = _distinct(lang * len(words) + code)
-    lang_of, code_of = pa.array(lang[at]), pa.array(code[at])
-    lang_text, word_text = coded.dictionary.take(lang_of), words.take(code_of)
+    return word, piece, counts, coded.dictionary.take(pa.array(lang[at])), words.take(pa.array(code[at]))
+
+
+def _holds(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, pairs: np.ndarray, step: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row (lang, phrase, size, since, n, 0) for each distinct phrase of the texts that is open at ``step``. Pairs whose
+    slot has no bit in ``pairs`` are too rare to open."""
+    found = _words(texts, langs)
+    if not found:
+        return
+    word, piece, counts, lang_text, word_text = found
+    total = len(counts)
     mask = np.uint64(len(first) - 1)
 
     def batch(of: np.ndarray, phrase: pa.Array, size: int, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -89,11 +105,11 @@ def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, step: int, s
         return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     if step < shards:
-        yield batch(np.arange(len(at)), word_text, 1, np.zeros(len(at)), counts)
+        yield batch(np.arange(total), word_text, 1, np.zeros(total), counts)
     if step == 0:
         return
     own = word_hashes(lang_text.to_pylist(), word_text.to_pylist())[word]
-    h, last = own, None  # hashes of the phrases of the size before, and their numbers where they were counted
+    h = own  # hashes of the phrases of the size before
     start = first[h & mask].astype(np.int16)
     for size in range(2, LONGEST + 1):
         m = len(word) - size + 1
@@ -101,46 +117,101 @@ def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, step: int, s
             return
         since = np.maximum(start[:m], start[1 : m + 1]) + 1
         whole = piece[:m] == piece[size - 1 :]
+        longer = _joined(h[:m], own[size - 1 :]) if size < LONGEST else None
+        if size == 2:
+            whole &= _holds(pairs, longer & np.uint64(8 * len(pairs) - 1))
         open_at = np.flatnonzero(whole & (since <= step) & (step < since + shards))
         if len(open_at):
             keys = word[open_at]
             for k in range(1, size):
                 if k > 1:
                     keys = _distinct(keys)[1]
-                keys = keys * len(at) + word[open_at + k]
+                keys = keys * total + word[open_at + k]
             one, _, counts = _distinct(keys)
             where = open_at[one]
             phrase = pc.binary_join_element_wise(*(word_text.take(pa.array(word[where + k])) for k in range(size)), " ")
             yield batch(word[where], phrase, size, since[where], counts)
         if size < LONGEST:
-            h = _joined(h[:m], own[size - 1 :])
+            h = longer
             start = np.where(whole & (since <= step), first[h & mask].astype(np.int16), np.int16(NEVER))
 
 
-def _scan(first: np.ndarray, step: int, shards: int, slice_bytes: int):
+def _texts(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(texts, langs) of as many batches as have ``slice_bytes`` together."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        rows = pa.Table.from_batches(held)
+        return pa.concat_arrays(rows.column("text").chunks), pa.concat_arrays(rows.column("lang").chunks)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= slice_bytes:
+            yield joined()
+            held = []
+    if held:
+        yield joined()
+
+
+def _scan(tables, step: int, shards: int, slice_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, pairs = tables.value
+        for texts, langs in _texts(batches, slice_bytes):
+            yield from count_open(texts, langs, first, pairs, step, shards)
+
+    return run
+
+
+def _pair_counts(bits: int, least: int, slice_bytes: int):
+    """(part, counts): how many pairs of words fall on each hash slot, up to ``least``, in parts of _PART slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = first.value
-        held: list[pa.RecordBatch] = []
-        size = 0
+        table = np.zeros(1 << bits, np.uint32)
+        for texts, langs in _texts(batches, slice_bytes):
+            if found := _words(texts, langs):
+                word, piece, _, lang_text, word_text = found
+                own = word_hashes(lang_text.to_pylist(), word_text.to_pylist())[word]
+                slot = _joined(own[:-1], own[1:])[piece[:-1] == piece[1:]] & np.uint64(len(table) - 1)
+                np.add.at(table, slot.astype(np.int64), 1)
+        np.minimum(table, least, out=table)
+        table = table.astype(np.uint8 if least < 256 else np.uint32)
+        for k in range(0, len(table), _PART):
+            if table[k : k + _PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // _PART]), pa.array([table[k : k + _PART].tobytes()])], names=["part", "counts"])
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            chunk = lambda name: pa.concat_arrays(rows.column(name).chunks)
-            yield from count_open(chunk("text"), chunk("lang"), table, step, shards)
+    return run
 
+
+def _pair_bits(bits: int, least: int):
+    """(part, counts): the parts of all tasks added up, as one bit for each slot that reaches ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.nbytes
-            if size >= slice_bytes:
-                yield from counted()
-                held, size = [], 0
-        if held:
-            yield from counted()
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(counts, np.uint8 if least < 256 else np.uint32)
+                sums[part] = np.minimum(sums.get(part, 0) + new.astype(np.int64), least).astype(np.uint32)
+        for part, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], names=["part", "counts"])
 
     return run
 
 
+def possible_pairs(rows: DataFrame, least: int, bits: int, slice_bytes: int) -> np.ndarray:
+    """A bit for each of 2^bits hash slots: whether all pairs of words of the slot together occur ``least`` times. A pair
+    that does has its bit; the driver gets 2^bits bits, and each task sends 2^bits small counts at most."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.select("lang", "text").mapInArrow(_pair_counts(bits, least, slice_bytes), "part long, counts binary")
+    parts = counted.repartition(n, "part").mapInArrow(_pair_bits(bits, least), "part long, counts binary")
+    found = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        new = np.frombuffer(r["counts"], np.uint8)
+        at = r["part"] * _PART // 8
+        found[at : at + len(new)] = new
+    return found
+
+
 def _slots(mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +242,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 3, bits: in
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     source = spark.read.schema("lang string, text string, shard int").parquet(folder)
     first = np.full(1 << bits, NEVER, np.uint8)
+    pairs = possible_pairs(source, least, max(3, bits - 1), slice_bytes)
     running, done, totals, step, last = None, [], None, 0, 0
     while step <= last + shards or step < shards:
-        table = spark.sparkContext.broadcast(first)  # 2^bits bytes
+        table = spark.sparkContext.broadcast((first, pairs))  # 2^bits bytes, and a sixteenth of that
         counted = source.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(table, step, shards, slice_bytes), _COUNTS)
         if running is not None:
             still = running.where(F.col("since") > step - shards)
