@@ -57,12 +57,6 @@ def threshold_summary(found: DataFrame, by: list[str] | None = None, max_level:
     return flat.select(*by, "threshold", "trades_exceeding", X.safe_pct(F.col("trades_exceeding"), F.col("n")).alias("trades_exceeding_pct"), "notional_exceeding", X.safe_pct(F.col("notional_exceeding"), F.col("q")).alias("notional_exceeding_pct"))
 
 
-def percentiles(rows: DataFrame, column: str, points: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999), by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation, and the maximum, as columns p50, p90, ... and max."""
-    names = [f"p{100 * p:g}".replace(".", "_") for p in points]
-    return rows.groupBy(*(by or [])).agg(*(F.percentile(F.col(column), F.lit(p)).alias(n) for p, n in zip(points, names, strict=True)), F.max(column).alias("max"))
-
-
 def level_table(found: DataFrame) -> DataFrame:
     """Trades and volume per level group, with running shares and sides; empty middle groups stay with 0.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.functions import expressions as X
-from tidebook.operators import asof, calibration, features, layout, mismatch, penetration, quality, sizes
+from tidebook.operators import asof, calibration, features, layout, mismatch, penetration, quality, selection, sizes
 from tidebook.plans import reports
 from tidebook.sources import lake, market
 from tidebook.storage import fresh_folder
@@ -248,7 +248,7 @@ def a2_threshold_by_side(spark, sf_dir):
 
 @query("a3_percentiles", DEEP + "SELECT side, round(quantile_cont(penetration_level, 0.5), 6) AS p50, round(quantile_cont(penetration_level, 0.9), 6) AS p90, round(quantile_cont(penetration_level, 0.99), 6) AS p99, round(quantile_cont(penetration_level, 0.999), 6) AS p99_9, max(penetration_level) AS max FROM deep GROUP BY side")
 def a3_percentiles(spark, sf_dir):
-    return _rounded(penetration.percentiles(_deep(spark, sf_dir), "penetration_level", by=["side"]))
+    return _rounded(selection.percentiles(_deep(spark, sf_dir), "penetration_level", by=["side"]))
 
 
 @query("a4_level_table", DEEP + """, dim AS (SELECT * FROM (VALUES (1,1),(2,2),(3,3),(4,4),(5,9),(10,19),(20,49),(50,99),(100,199),(200,499),(500,999),(1000,NULL)) d(low, high)),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidebook.functions import expressions as X
-from tidebook.operators import calibration, layout, mismatch, penetration, quality, sizes
+from tidebook.operators import calibration, layout, mismatch, penetration, quality, selection, sizes
 from tidebook.sources import sinks
+from tidebook.storage import cut
 from tidebook.streaming import recording
 
 
@@ -16,27 +17,33 @@ def _dated(rows: DataFrame) -> DataFrame:
     return rows if "date" in rows.columns else rows.withColumn("date", X.date_of(F.col("ts_ns")))
 
 
-def penetration_report(trades: DataFrame, snapshots: DataFrame, max_level: int = 1000) -> dict[str, DataFrame]:
-    """Matched trades with their levels, exceedance in all and per side, and percentiles."""
-    found = penetration.penetrations(trades, snapshots, max_level)
+def penetration_report(trades: DataFrame, snapshots: DataFrame, max_level: int = 1000, accuracy: int | None = None) -> dict[str, DataFrame]:
+    """Matched trades with their levels, written once for all tables, exceedance in all and per side, and percentiles
+    (exact, or approximate with ``accuracy``)."""
+    found = cut(penetration.penetrations(trades, snapshots, max_level))
     return {
         "penetrations": found,
         "summary": penetration.threshold_summary(found, None, max_level),
         "by_side": penetration.threshold_summary(found, ["side"], max_level),
-        "percentiles": penetration.percentiles(found, "penetration_level"),
+        "percentiles": selection.percentiles(found, "penetration_level", accuracy=accuracy),
         "unmatched": trades.agg(F.count("*").alias("trades")).crossJoin(F.broadcast(found.agg(F.count("*").alias("matched")))).withColumn("skipped", F.col("trades") - F.col("matched")),
     }
 
 
-def level_report(trades: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
+def level_report(trades: DataFrame, snapshots: DataFrame, accuracy: int | None = None) -> dict[str, DataFrame]:
     """The level table and level percentiles, overflow one beyond the stored levels."""
-    found = penetration.penetrations(trades, snapshots, None)
-    return {"level_table": penetration.level_table(found), "percentiles": penetration.percentiles(found, "penetration_level")}
+    found = cut(penetration.penetrations(trades, snapshots, None))
+    return {"level_table": penetration.level_table(found), "percentiles": selection.percentiles(found, "penetration_level", accuracy=accuracy)}
 
 
-def size_report(trades: DataFrame) -> dict[str, DataFrame]:
+def size_report(trades: DataFrame, accuracy: int | None = None) -> dict[str, DataFrame]:
     """The size table, heat maps and size percentiles."""
-    return {"size_table": sizes.size_table(trades), "heatmap": sizes.hourly_heatmap(trades), "volume_heatmap": sizes.hourly_heatmap(trades, volume=True), "percentiles": penetration.percentiles(trades, "qty_lots")}
+    return {
+        "size_table": sizes.size_table(trades),
+        "heatmap": sizes.hourly_heatmap(trades),
+        "volume_heatmap": sizes.hourly_heatmap(trades, volume=True),
+        "percentiles": selection.percentiles(trades, "qty_lots", accuracy=accuracy),
+    }
 
 
 def calibration_report(trades: DataFrame, snapshots: DataFrame, by: tuple[str, ...] = ("symbol", "date"), **options) -> dict[str, DataFrame]:
@@ -65,7 +72,7 @@ def validation_report(trades: DataFrame, snapshots: DataFrame, reference: DataFr
     keys, trades, snapshots = ["symbol", "date"], _dated(trades), _dated(snapshots)
     out = {
         "gaps": quality.gap_report(snapshots, keys, interval_ms, tolerance_ms), "largest_gaps": quality.largest_gaps(snapshots, keys, interval_ms, tolerance_ms), "ids": quality.id_report(trades, keys),
-        "first_id_gaps": quality.id_gaps(trades, keys).orderBy("start").limit(10), "spreads": quality.spread_report(snapshots, keys), "crossed": quality.crossed_books(snapshots, keys),
+        "first_id_gaps": quality.id_gaps(trades, keys).orderBy("start", *keys).limit(10), "spreads": quality.spread_report(snapshots, keys), "crossed": quality.crossed_books(snapshots, keys),
     }
     if reference is not None:
         out["reference"] = quality.compare_ids(trades, _dated(reference), keys)
