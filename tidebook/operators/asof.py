@@ -23,15 +23,17 @@ def carry_in(rows: DataFrame, buckets: DataFrame, value: str, order: list[str],
 
 
 def asof_backward(
-    trades: DataFrame, snapshots: DataFrame, columns: list[str], bucket_ns: int = NS_HOUR, offset_ns: int | Column = 0, max_age_ns: int | None = None, keys: tuple[str, ...] = ("symbol",)
+    trades: DataFrame, snapshots: DataFrame, columns: list[str], bucket_ns: int = NS_HOUR, offset_ns: int | Column = 0, max_age_ns: int | None = None, keys: tuple[str, ...] = ("symbol",),
+    same_epoch: str | None = None,
 ) -> DataFrame:
     """``trades`` with a struct ``snap`` (ts_ns, u, columns) of the last snapshot at or before each trade, null
     if there is none. Among snapshots of one time the largest u is last.
 
     ``offset_ns`` is added to the snapshots' clock; ``max_age_ns`` makes older matches null. Repeated
-    trades stay repeated. Rows with a null key or time match nothing.
+    trades stay repeated. Rows with a null key or time match nothing. ``same_epoch`` names the column of both tables
+    that counts resyncs: a trade then matches only snapshots of its own epoch, and none if that is null.
     """
-    keys = list(keys)
+    keys = [*keys, same_epoch] if same_epoch else list(keys)
     shifted = snapshots.select(*keys, (F.col("ts_ns") + offset_ns).alias("ts_ns"), "u", F.struct((F.col("ts_ns") + offset_ns).alias("ts_ns"), "u", *columns).alias("snap"))
     shifted = shifted.withColumn("bucket", whole(F.col("ts_ns"), bucket_ns))
     asked = trades.select(*keys, "ts_ns", whole(F.col("ts_ns"), bucket_ns).alias("bucket"), F.struct(*trades.columns).alias("trade"))

@@ -37,24 +37,58 @@ def largest_gaps(snapshots: DataFrame, keys: list[str], interval_ms: float = 100
     return rows.orderBy(F.desc("delta_ms"), *keys, "ts_ns").limit(top).select(*keys, F.col("prev_ts_ns").alias("start_ns"), F.col("ts_ns").alias("end_ns"), "delta_ms")
 
 
+def id_bitmaps(rows: DataFrame, keys: list[str], id_col: str = "agg_trade_id") -> DataFrame:
+    """(keys, bucket, n, first_id, last_id, bits): the ids of each range of 32,768 as a bitmap, n counting repeats. Tasks
+    combine their rows before the shuffle, so what is sent is bitmaps. Ids of 0 and null are no ids: they give a row
+    with a null bucket and n = 0."""
+    some = F.when(F.col(id_col) > 0, F.col(id_col))
+    marked = rows.select(*keys, some.alias("_id"))
+    return marked.groupBy(*keys, F.bitmap_bucket_number("_id").alias("bucket")).agg(
+        F.count("_id").alias("n"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"), F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("bits")
+    )
+
+
 def id_gaps(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, missing): ranges of absent ids, start included, end not. Ids of 0 and null are no ids."""
-    ids = trades.where("agg_trade_id > 0").select(*keys, F.col("agg_trade_id").alias("id")).distinct()
-    found = previous(ids, ["id"], ["id"], keys, whole(F.col("id"), ID_BUCKET))
-    return found.where(F.col("id") - F.col("prev.id") > 1).select(*keys, (F.col("prev.id") + 1).alias("start"), F.col("id").alias("end"), (F.col("id") - F.col("prev.id") - 1).alias("missing"))
+    """(keys, start, end, missing): ranges of absent ids, start included, end not. Ids of 0 and null are no ids.
+
+    Ids are read back from bitmaps where these stand: one row for a range without holes, else one for each byte of
+    eight ids and for each id of the others."""
+    maps = id_bitmaps(trades, keys).where("bucket is not null")
+    base = (F.col("bucket") - 1) * 32768 + 1
+    holes = F.bitmap_count("bits") < F.col("last_id") - F.col("first_id") + 1
+    octets = F.expr("transform(sequence(1, 4096), k -> named_struct('at', 8 * (k - 1), 'set', cast(conv(hex(substring(bits, k, 1)), 16, 10) as int)))")
+    octets = F.when(holes, F.filter(octets, lambda x: x["set"] > 0)).otherwise(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("set"))))
+    spread = maps.select(*keys, "bucket", "first_id", "last_id", base.alias("base"), F.explode(octets).alias("o"))
+    low, high = F.col("base") + F.col("o.at"), F.col("base") + F.col("o.at") + 7
+    whole_run = F.array(F.struct(F.col("first_id").alias("low"), F.col("last_id").alias("high")))
+    full = F.array(F.struct(low.alias("low"), high.alias("high")))
+    single = F.expr("transform(filter(sequence(0, 7), b -> shiftright(o.set, b) & 1 = 1), b -> named_struct('low', base + o.at + b, 'high', base + o.at + b))")
+    runs = F.when(F.col("o.at") < 0, whole_run).when(F.col("o.set") == 255, full).otherwise(single)
+    found = previous(spread.select(*keys, "bucket", F.inline(runs)), ["high"], ["low"], keys, F.col("bucket"))
+    missing = F.col("low") - F.col("prev.high") - 1
+    return found.where(missing > 0).select(*keys, (F.col("prev.high") + 1).alias("start"), F.col("low").alias("end"), missing.alias("missing"))
 
 
 def id_report(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: ids, distinct ids, duplicates, first, last, expected, missing ids, gap ranges, and completeness from
     all ids (beyond 100 with duplicates). Without ids: -1 for the counts of gaps, null for the rest."""
-    valid = F.col("agg_trade_id") > 0
-    own = trades.groupBy(*keys).agg(F.count_if(valid).alias("ids"), F.count_distinct(F.when(valid, F.col("agg_trade_id"))).alias("unique_ids"), F.min(F.when(valid, F.col("agg_trade_id"))).alias("first_id"), F.max(F.when(valid, F.col("agg_trade_id"))).alias("last_id"))
+    own = id_bitmaps(trades, keys).groupBy(*keys).agg(
+        F.sum("n").alias("ids"), F.sum(F.bitmap_count("bits")).alias("unique_ids"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
+    )
     ranges = id_gaps(trades, keys).groupBy(*keys).agg(F.count("*").alias("gap_ranges"))
     some, expected = F.col("ids") > 0, F.col("last_id") - F.col("first_id") + 1
     return own.join(ranges, keys, "left").select(
-        *keys, "ids", "unique_ids", (F.col("ids") - F.col("unique_ids")).alias("duplicates"), "first_id", "last_id", expected.alias("expected"), F.when(some, expected - F.col("unique_ids")).otherwise(-1).alias("missing_ids"),
-        F.when(some, F.coalesce("gap_ranges", F.lit(0))).otherwise(-1).alias("gap_ranges"), F.when(F.col("ids") < 2, 100.0).otherwise(100.0 * F.col("ids") / expected).alias("completeness"),
-    )
+        *keys,
+        "ids",
+        "unique_ids",
+        (F.col("ids") - F.col("unique_ids")).alias("duplicates"),
+        "first_id",
+        "last_id",
+        expected.alias("expected"),
+        F.when(some, expected - F.col("unique_ids")).otherwise(-1).alias("missing_ids"),
+        F.when(some, F.coalesce("gap_ranges", F.lit(0))).otherwise(-1).alias("gap_ranges"),
+        F.when(F.col("ids") < 2, 100.0).otherwise(100.0 * F.col("ids") / expected).alias("completeness"),
+    )
 
 
 def file_id_gaps(trades: DataFrame, file: Column, keys: list[str]) -> DataFrame:
@@ -85,11 +119,17 @@ def span(snapshots: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_ids(local: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: distinct ids of a local and a reference table, how many each lacks of the other, completeness."""
-    a = local.where("agg_trade_id > 0").select(*keys, "agg_trade_id").distinct().withColumn("here", F.lit(1))
-    b = reference.where("agg_trade_id > 0").select(*keys, "agg_trade_id").distinct().withColumn("there", F.lit(1))
-    both = a.join(b, [*keys, "agg_trade_id"], "full")
-    rows = both.groupBy(*keys).agg(F.count("here").alias("local_ids"), F.count("there").alias("reference_ids"), F.count_if(F.col("here").isNull()).alias("missing_here"), F.count_if(F.col("there").isNull()).alias("extra_here"))
+    """Per key: distinct ids of a local and a reference table, how many each lacks of the other, completeness. Both
+    come as bitmaps; what they share is the bits that both maps of a range have."""
+    sides = [id_bitmaps(rows, keys).where("bucket is not null").select(*keys, "bucket", "bits", F.lit(k).alias("side")) for k, rows in enumerate((local, reference))]
+    size = F.bitmap_count("bits")
+    ranges = sides[0].unionByName(sides[1]).groupBy(*keys, "bucket").agg(
+        F.coalesce(F.sum(F.when(F.col("side") == 0, size)), F.lit(0)).alias("here"),
+        F.coalesce(F.sum(F.when(F.col("side") == 1, size)), F.lit(0)).alias("there"),
+        F.when(F.count("*") == 2, F.bitmap_count(F.bitmap_and_agg("bits"))).otherwise(0).alias("both"),
+    )
+    rows = ranges.groupBy(*keys).agg(F.sum("here").alias("local_ids"), F.sum("there").alias("reference_ids"), F.sum("both").alias("both"))
+    rows = rows.select(*keys, "local_ids", "reference_ids", (F.col("reference_ids") - F.col("both")).alias("missing_here"), (F.col("local_ids") - F.col("both")).alias("extra_here"))
     return rows.withColumn("completeness", F.when(F.col("reference_ids") == 0, 100.0).otherwise(100 * (1 - F.col("missing_here") / F.col("reference_ids"))))
 
 

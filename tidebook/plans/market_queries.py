@@ -212,6 +212,15 @@ def j1_asof(spark, sf_dir):
     return found.select("symbol", "ts_ns", "agg_trade_id", F.col("snap.ts_ns").alias("snap_ts_ns"), F.col("snap.u").alias("snap_u"), "snap.best_bid_ticks")
 
 
+@query("j1_asof_same_epoch", BASE + """, t AS (SELECT symbol, ts_ns, agg_trade_id, CAST(agg_trade_id // 1000 AS INT) AS resync_epoch FROM trades)
+SELECT t.symbol, t.ts_ns, t.agg_trade_id, t.resync_epoch, s.ts_ns AS snap_ts_ns, s.u AS snap_u FROM t ASOF LEFT JOIN snapshots s ON t.symbol = s.symbol AND t.resync_epoch = s.resync_epoch AND t.ts_ns >= s.ts_ns""")
+def j1_asof_same_epoch(spark, sf_dir):
+    """Trades get the epoch of their id's thousand, as the snapshots do."""
+    trades = market.trades(spark, sf_dir).withColumn("resync_epoch", X.whole(F.col("agg_trade_id"), 1000).cast("int"))
+    found = asof.asof_backward(trades, market.snapshots(spark, sf_dir), [], same_epoch="resync_epoch")
+    return found.select("symbol", "ts_ns", "agg_trade_id", "resync_epoch", F.col("snap.ts_ns").alias("snap_ts_ns"), F.col("snap.u").alias("snap_u"))
+
+
 @query("j2_extended_spread", SPREADS + "SELECT symbol, w, ts_ns, agg_trade_id, price_ticks, qty_lots, snap_ts_ns, snap_u, ext_bid, ext_ask, spread, deviation, abs(deviation) AS abs_deviation, time_diff_ms, window_ms FROM spread WHERE w = 1")
 def j2_extended_spread(spark, sf_dir):
     return mismatch.match_spread(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), (1,))
@@ -753,6 +762,49 @@ def c7_validation(spark, sf_dir):
     return reports.validation_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir))["spreads"].select("symbol", "date", "crossed", "zero")
 
 
+def _validation(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One table of the job; ids that leave 5 modulo 17 are absent from its reference trades."""
+    trades = market.trades(spark, sf_dir)
+    return reports.validation_report(trades, market.snapshots(spark, sf_dir), trades.where("agg_trade_id % 17 <> 5"), 3_600_000.0, GAP_MS - 3_600_000.0)[table]
+
+
+DAY_STEPS = BASE + """,
+steps AS (SELECT symbol, date, ts_ns, u, lag(ts_ns) OVER (PARTITION BY symbol, date ORDER BY ts_ns, u) AS prev_ts_ns FROM snapshots),
+timed AS (SELECT *, (ts_ns - prev_ts_ns) / 1e6 AS delta_ms FROM steps)
+"""
+
+
+@query("c7_gaps", DAY_STEPS + f"""SELECT symbol, date, count(*) AS snapshots, count(*) FILTER (delta_ms > {GAP_MS}) AS gaps, round(coalesce(max(delta_ms) FILTER (delta_ms > {GAP_MS}), 0), 4) AS max_gap_ms,
+  round(coalesce(sum(delta_ms) FILTER (delta_ms > {GAP_MS}), 0) / 1000, 4) AS total_gap_s FROM timed GROUP BY symbol, date""")
+def c7_gaps(spark, sf_dir):
+    return _rounded(_validation(spark, sf_dir, "gaps").select("symbol", "date", "snapshots", "gaps", "max_gap_ms", "total_gap_s"), 4)
+
+
+@query("c7_largest_gaps", DAY_STEPS + f"SELECT symbol, date, prev_ts_ns AS start_ns, ts_ns AS end_ns, delta_ms FROM timed WHERE delta_ms > {GAP_MS} ORDER BY delta_ms DESC, symbol, date, ts_ns LIMIT 10")
+def c7_largest_gaps(spark, sf_dir):
+    return _validation(spark, sf_dir, "largest_gaps")
+
+
+@query("c7_ids", BASE + """, d AS (SELECT symbol, date, agg_trade_id AS id, lag(agg_trade_id) OVER (PARTITION BY symbol, date ORDER BY agg_trade_id) AS prev FROM trades WHERE agg_trade_id > 0)
+SELECT symbol, date, count(*) AS ids, count(DISTINCT id) AS unique_ids, count(*) - count(DISTINCT id) AS duplicates, min(id) AS first_id, max(id) AS last_id, max(id) - min(id) + 1 - count(DISTINCT id) AS missing_ids,
+  count(*) FILTER (id - prev > 1) AS gap_ranges FROM d GROUP BY symbol, date""")
+def c7_ids(spark, sf_dir):
+    found = _validation(spark, sf_dir, "ids").where("ids > 0")
+    return found.select("symbol", "date", "ids", "unique_ids", "duplicates", "first_id", "last_id", "missing_ids", "gap_ranges")
+
+
+@query("c7_crossed", BASE + "SELECT symbol, date, ts_ns, u, best_bid_ticks, best_ask_ticks FROM snapshots WHERE best_ask_ticks < best_bid_ticks ORDER BY ts_ns, u LIMIT 10")
+def c7_crossed(spark, sf_dir):
+    return _validation(spark, sf_dir, "crossed")
+
+
+@query("c7_reference", BASE + """, b AS (SELECT symbol, date, agg_trade_id FROM trades WHERE agg_trade_id > 0 AND agg_trade_id % 17 <> 5), a AS (SELECT symbol, date, agg_trade_id FROM trades WHERE agg_trade_id > 0)
+SELECT symbol, date, count(DISTINCT a.agg_trade_id) AS local_ids, count(DISTINCT b.agg_trade_id) AS reference_ids, 0::BIGINT AS missing_here, count(DISTINCT a.agg_trade_id) - count(DISTINCT b.agg_trade_id) AS extra_here, 100.0::DOUBLE AS completeness
+FROM a LEFT JOIN b USING (symbol, date, agg_trade_id) GROUP BY symbol, date""")
+def c7_reference(spark, sf_dir):
+    return _rounded(_validation(spark, sf_dir, "reference"))
+
+
 @query("c1_skipped", MATCHED + "SELECT count(*) AS trades, count(snap_u) AS matched, count(*) - count(snap_u) AS skipped FROM matched")
 def c1_skipped(spark, sf_dir):
     return reports.penetration_report(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir), MAX_LEVEL)["unmatched"]
