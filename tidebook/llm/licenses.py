@@ -41,6 +41,65 @@ TEMPLATES = (
 )
 
 
+_FSF = "as published by the free software foundation"
+
+# Notices and names of licences; each is mandatory as a whole.
+NOTICES = {
+    "academic-3": ("academic free license version 3 0",),
+    "agpl-3": (f"gnu affero general public license {_FSF} either version 3",),
+    "apache-2": ("apache license 2 0", "apache 2 0 license"),
+    "artistic-2": ("the artistic license 2 0", "artistic license version 2 0"),
+    "boost-1": ("boost software license version 1 0",),
+    "bsd": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
+    "bsd-3": ("be used to endorse or promote products derived from this software without specific prior written permission",),
+    "bsd-4": ("all advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "business-1.1": ("business source license 1 1",),
+    "cc-by": ("creative commons attribution 4 0", "creative commons attribution 3 0", "cc by 4 0", "cc by 3 0"),
+    "cc-by-nc": ("creative commons attribution noncommercial 4 0", "creative commons attribution noncommercial 3 0"),
+    "cc-by-nc-nd": ("creative commons attribution noncommercial noderivatives 4 0", "cc by nc nd 4 0"),
+    "cc-by-nc-sa": ("creative commons attribution noncommercial sharealike 4 0", "cc by nc sa 4 0"),
+    "cc-by-nd": ("creative commons attribution noderivatives 4 0", "cc by nd 4 0"),
+    "cc-by-sa": ("creative commons attribution share alike", "cc by sa 4 0", "cc by sa 3 0"),
+    "cc0": ("creative commons zero", "creative commons cc0"),
+    "cddl-1": ("common development and distribution license",),
+    "ecl-2": ("educational community license version 2 0",),
+    "elastic-2": ("elastic license 2 0",),
+    "epl-1": ("eclipse public license v1 0", "eclipse public license version 1 0"),
+    "epl-2": ("eclipse public license v 2 0", "eclipse public license v2 0", "eclipse public license version 2 0"),
+    "eupl": ("european union public licence",),
+    "gfdl": ("gnu free documentation license",),
+    "gpl-2": (f"gnu general public license {_FSF} either version 2", f"gnu general public license version 2 {_FSF}", f"gnu general public license {_FSF} version 2"),
+    "gpl-3": (f"gnu general public license {_FSF} either version 3", f"gnu general public license version 3 {_FSF}", f"gnu general public license {_FSF} version 3"),
+    "lgpl-2": (f"gnu library general public license {_FSF} either version 2",),
+    "lgpl-2.1": (f"gnu lesser general public license {_FSF} either version 2 1",),
+    "lgpl-3": (f"gnu lesser general public license {_FSF} either version 3",),
+    "mit": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "mpl-1.1": ("subject to the mozilla public license version 1 1",),
+    "mpl-2": ("subject to the terms of the mozilla public license v 2 0",),
+    "ms-pl": ("microsoft public license",),
+    "ms-rl": ("microsoft reciprocal license",),
+    "ncsa": ("university of illinois ncsa open source license",),
+    "odbl": ("open database license",),
+    "ofl-1.1": ("sil open font license version 1 1",),
+    "openssl": ("this product includes software developed by the openssl project",),
+    "osl-3": ("open software license version 3 0",),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",),
+    "psf-2": ("python software foundation license version 2",),
+    "sspl-1": ("server side public license",),
+    "upl-1": ("universal permissive license",),
+    "wtfpl": ("do what the fuck you want to public license",),
+    "zlib": ("in no event will the authors be held liable for any damages arising from the use of this software",),
+}
+
+# Identifiers that follow "SPDX-License-Identifier:", with their labels.
+IDENTIFIERS = {
+    "0BSD": "0bsd", "AFL-3.0": "academic-3", "AGPL-3.0": "agpl-3", "Apache-2.0": "apache-2", "Artistic-2.0": "artistic-2", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd-3",
+    "BSD-4-Clause": "bsd-4", "BSL-1.0": "boost-1", "BUSL-1.1": "business-1.1", "CC-BY-4.0": "cc-by", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-NC-ND-4.0": "cc-by-nc-nd",
+    "CC-BY-NC-SA-4.0": "cc-by-nc-sa", "CC-BY-ND-4.0": "cc-by-nd", "CC-BY-SA-4.0": "cc-by-sa", "CC0-1.0": "cc0", "CDDL-1.0": "cddl-1", "ECL-2.0": "ecl-2", "EPL-1.0": "epl-1",
+    "EPL-2.0": "epl-2", "EUPL-1.2": "eupl", "GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "ISC": "isc", "LGPL-2.1": "lgpl-2.1", "LGPL-3.0": "lgpl-3", "MIT": "mit", "MPL-1.1": "mpl-1.1",
+    "MPL-2.0": "mpl-2", "NCSA": "ncsa", "ODbL-1.0": "odbl", "OFL-1.1": "ofl-1.1", "OSL-3.0": "osl-3", "PostgreSQL": "postgresql", "Unlicense": "unlicense", "UPL-1.0": "upl-1", "Zlib": "zlib",
+}
+
 @dataclass
 class Template:
     """anchors: the positions of its rarest words; keys: where the key phrase starts, and its words."""
@@ -59,8 +118,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 def _texts() -> list[tuple[str, bool, list[bytes], list[bytes]]]:
-    base = [(label, True, words(p), words(p)) for p, label in BASE.items()]
-    return base + [(label, False, words(text), words(key)) for label, text, key in TEMPLATES]
+    """(label, whether a base phrase, words, words of the key phrase) of every template."""
+    out = [(label, True, words(p), words(p)) for p, label in BASE.items()]
+    out += [(label, False, words(text), words(key)) for label, text, key in TEMPLATES]
+    out += [(label, False, words(p), words(p)) for label, phrases in NOTICES.items() for p in phrases]
+    return out + [(label, False, of, of) for name, label in IDENTIFIERS.items() for of in (words(f"SPDX-License-Identifier: {name}"),)]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +177,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of
     (doc_id, text).
 
-    Null and empty texts have no words, no labels and score 0. Repeated rows and null ids stay; an
-    empty table gives no rows; other columns are ignored.
+    A template is found where its key phrase stands, at least two of its anchors with it, and 0.6 of its weight by
+    IDF; score is the largest such share of any template whose key and anchors are found. Null and empty texts have no
+    words, no labels and score 0. Repeated rows and null ids stay; an empty table gives no rows; other columns are
+    ignored.
     """
     templates = index(docs)
 
