@@ -65,12 +65,14 @@ def window_sweep(trades: DataFrame, snapshots: DataFrame, largest: int = 10) ->
 
 
 def sample(trades: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` trades by the hash of their key, the same on every run; all of them where there are no more.
+    """``n`` trades by the hash of their key, the same on every run; all of them where there are no more. The hash is the first
+    15 hex digits of the MD5 of symbol|ts_ns|agg_trade_id|seed, so other engines draw the same sample.
 
     A count by the upper 16 bits of the hash tells which rows are in for certain, so only those of one value, about one
     in 65,536, are ordered: ``n`` may be as large as the table."""
-    rows = trades.withColumn("_hash", F.xxhash64("symbol", "ts_ns", "agg_trade_id", F.lit(seed)))
-    upper = F.shiftright("_hash", 48)
+    digest = F.md5(F.concat_ws("|", F.col("symbol"), F.col("ts_ns").cast("string"), F.col("agg_trade_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    rows = trades.withColumn("_hash", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    upper = F.shiftright("_hash", 44)
     taken, edge = 0, None
     for value, size in sorted(map(tuple, rows.groupBy(upper.alias("v")).agg(F.count("*").alias("n")).collect())):  # 65,536 rows at most
         if taken + size > n:

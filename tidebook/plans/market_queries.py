@@ -729,7 +729,7 @@ def f6_large_deviations(spark, sf_dir):
     return mismatch.large(mismatch.match_spread(market.trades(spark, sf_dir), market.snapshots(spark, sf_dir)), 2).select("symbol", "agg_trade_id", "deviation")
 
 
-@query("f10_sample")
+@query("f10_sample", BASE + "SELECT ts_ns, symbol, price_ticks, qty_lots, is_buyer_maker, agg_trade_id, agg_trade_id AS first_trade_id, agg_trade_id AS last_trade_id FROM trades ORDER BY substring(md5(concat_ws('|', symbol, ts_ns::VARCHAR, agg_trade_id::VARCHAR, '42')), 1, 15), symbol, ts_ns, agg_trade_id LIMIT 500")
 def f10_sample(spark, sf_dir):
     return mismatch.sample(market.trades(spark, sf_dir), 500)
 
