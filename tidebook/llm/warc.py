@@ -27,6 +27,7 @@ ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 LEAST_REVISIT = 100
+SALTS = 32
 _CHUNK = 64 << 10
 
 
@@ -111,14 +112,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     A null html is an empty payload. Rows with equal payloads of LEAST_REVISIT bytes or more are
     revisits of the row with the smallest page_id; rows that repeat that page_id are responses too, and
-    so are rows with a null page_id. No rows give no archives.
+    so are rows with a null page_id. No rows give no archives. Copies of one payload are dealt over SALTS
+    tasks, payloads too small for revisits over all of them.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
-    ready = rows.join(firsts, "digest", "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    mark = F.xxhash64("page_id")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = rows.withColumn("salt", F.when(F.col("size") >= LEAST_REVISIT, F.pmod(mark, F.lit(SALTS))).otherwise(mark).cast("long"))
+    ready = salted.join(firsts, ["digest", "salt"], "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, path = _place(folder)
