@@ -9,11 +9,15 @@ which a phrase of that slot was frequent. A phrase's start is the later byte of
 set, each phrase is counted for one whole cycle, and its count is exact whatever shares its slot; a crowded table only
 lets more phrases be counted. Before, one pass counts pairs of words by hash slot, and pairs of a
 slot with fewer than the threshold in all are never opened: most pairs of frequent words are that rare.
+
+Texts are split into words once. What the scans read are slices of the shards: the words of some megabytes of text as
+numbers, with each different word's text and hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +50,40 @@ def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
     """Of each word in its language."""
-    of = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    return _in_language(langs, np.arange(len(langs)), _hashes(words))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _in_language(langs: list[str], lang_of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     seeds = {x: xxhash.xxh64_intdigest(x, 1) for x in set(langs)}
-    return _joined(np.fromiter((seeds[x] for x in langs), np.uint64, len(langs)), of)
+    return _joined(np.fromiter((seeds[x] for x in langs), np.uint64, len(langs))[lang_of], hashes)
+
+
+class Slice(NamedTuple):
+    """Some texts as numbers. ``codes`` has the words of all texts in order, with -1 where a piece ends; word k is the text
+    words[k] in the language langs[lang_of[k]], with the hash hashes[k]. A text is another word in each language."""
+
+    langs: pa.Array
+    lang_of: np.ndarray
+    words: pa.Array
+    hashes: np.ndarray
+    codes: np.ndarray
+
+    def row(self) -> list:
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(self.words)], self.words), " ")[0].as_py()
+        return [self.langs.to_pylist(), self.lang_of.tobytes(), words, self.hashes.tobytes(), self.codes.tobytes()]
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(code, piece, row, words): of every word in order its place in ``words``, a number that changes with each piece
-    of text, and its text's row. Words are what stands between spaces and tabs, in lower case; pieces end at . , ; : ! ? and
-    line ends."""
+_SLICE = pa.schema([("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("words", pa.string()), ("hashes", pa.binary()), ("codes", pa.binary())])
+_SHARDED = "langs array<string>, lang_of binary, words string, hashes binary, codes binary, shard int"
+
+
+def encode(texts: pa.Array, langs: pa.Array) -> Slice | None:
+    """The words of texts in lower case, or None without any. Words are what stands between spaces and tabs; pieces end at
+    . , ; : ! ? and line ends, and with their text."""
     marked = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]+", " \n ")
     split = pc.split_pattern(pc.replace_substring(marked, "\t", " "), " ")
     coded = split.flatten().dictionary_encode()
@@ -64,7 +93,55 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arra
     ends = code == place.get("\n", -1)
     piece = np.cumsum(ends, dtype=np.int32) + row
     keep = ~ends & (code != place.get("", -1))
-    return code[keep], piece[keep], row[keep], coded.dictionary
+    code, piece, row = code[keep], piece[keep], row[keep]
+    if not len(code):
+        return None
+    tongues = langs.dictionary_encode()
+    lang = tongues.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    keys, word = np.unique(lang * len(coded.dictionary) + code, return_inverse=True)
+    lang_of, text_of = np.divmod(keys, len(coded.dictionary))
+    words = coded.dictionary.take(pa.array(text_of))
+    hashes = _in_language(tongues.dictionary.to_pylist(), lang_of, _hashes(coded.dictionary.to_pylist())[text_of])
+    codes = np.insert(word.astype(np.int32), np.flatnonzero(piece[1:] != piece[:-1]) + 1, np.int32(-1))
+    return Slice(tongues.dictionary, lang_of.astype(np.int32), words, hashes, codes)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for b in batches:
+        for k in range(b.num_rows):
+            langs, words = b.column("langs")[k].values, pc.split_pattern(b.column("words").slice(k, 1), " ").flatten()
+            numbers = (np.frombuffer(b.column(name)[k].as_buffer(), kind) for name, kind in (("lang_of", np.int32), ("hashes", np.uint64), ("codes", np.int32)))
+            lang_of, hashes, codes = numbers
+            yield Slice(langs, lang_of, words, hashes, codes)
+
+
+def _encoded(slice_bytes: int):
+    """Slices of about ``slice_bytes`` of text, each of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def made(shard: int) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held.pop(shard))
+            found = encode(pa.concat_arrays(rows.column("text").chunks), pa.concat_arrays(rows.column("lang").chunks))
+            if found:
+                values = [pa.array([v], f.type) for v, f in zip(found.row(), _SLICE, strict=True)]
+                yield pa.RecordBatch.from_arrays([*values, pa.array([shard], pa.int32())], names=[*_SLICE.names, "shard"])
+
+        for b in batches:
+            for shard in pc.unique(b.column("shard")).to_pylist():
+                held.setdefault(shard, []).append(b.filter(pc.equal(b.column("shard"), shard)))
+                if sum(x.nbytes for x in held[shard]) >= slice_bytes:
+                    yield from made(shard)
+        for shard in list(held):
+            yield from made(shard)
+
+    return run
+
+
+def encoded(rows: DataFrame, slice_bytes: int) -> DataFrame:
+    """(lang, text, shard) as rows of slices; any number of documents make a row, but a long one is never parted."""
+    return rows.select("lang", "text", "shard").mapInArrow(_encoded(slice_bytes), _SHARDED)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,107 +150,76 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, inverse, counts
 
 
-def _words(texts: pa.Array, langs: pa.Array) -> tuple:
-    """(word, piece, counts, lang, text): of every word in order its number and its piece, and of every number how often
-    it stands, its language and its text; a word is another one in each language. Empty without words."""
-    code, piece, row, words = tokens(texts)
-    if not len(code):
-        return ()
-    coded = langs.dictionary_encode()
-    lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-    at, word, counts = _distinct(lang * len(words) + code)
-    return word, piece, counts, coded.dictionary.take(pa.array(lang[at])), words.take(pa.array(code[at]))
-
-
 def _holds(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, pairs: np.ndarray, step: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row (lang, phrase, size, since, n, 0) for each distinct phrase of the texts that is open at ``step``. Pairs whose
+def count_slice(s: Slice, first: np.ndarray, pairs: np.ndarray, step: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row (lang, phrase, size, since, n, 0) for each distinct phrase of the slice that is open at ``step``. Pairs whose
     slot has no bit in ``pairs`` are too rare to open."""
-    found = _words(texts, langs)
-    if not found:
-        return
-    word, piece, counts, lang_text, word_text = found
-    total = len(counts)
-    mask = np.uint64(len(first) - 1)
+    codes, total, mask = s.codes, len(s.words), np.uint64(len(first) - 1)
 
-    def batch(of: np.ndarray, phrase: pa.Array, size: int, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        k = len(of)
-        columns = [lang_text.take(pa.array(of)), phrase, pa.array(np.full(k, size), pa.int32()), pa.array(since, pa.int32()), pa.array(n, pa.int64()), pa.array(np.zeros(k), pa.int64())]
+    def batch(word: np.ndarray, phrase: pa.Array, size: int, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        k = len(word)
+        columns = [s.langs.take(pa.array(s.lang_of[word])), phrase, pa.array(np.full(k, size), pa.int32()), pa.array(since, pa.int32()), pa.array(n, pa.int64()), pa.array(np.zeros(k), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     if step < shards:
-        yield batch(np.arange(total), word_text, 1, np.zeros(total), counts)
+        yield batch(np.arange(total), s.words, 1, np.zeros(total), np.bincount(codes[codes >= 0], minlength=total))
     if step == 0:
         return
-    own = word_hashes(lang_text.to_pylist(), word_text.to_pylist())[word]
-    h = own  # hashes of the phrases of the size before
-    start = first[h & mask].astype(np.int16)
+    start = np.append(first[s.hashes & mask], np.uint8(NEVER)).astype(np.int16)[codes]  # the last one stands for -1
+    known = start < step
+    at = np.flatnonzero(known[:-1] & known[1:])
+    h = _joined(s.hashes[codes[at]], s.hashes[codes[at + 1]])
+    held = _holds(pairs, h & np.uint64(8 * len(pairs) - 1))
+    at, h = at[held], h[held]
+    since = np.maximum(start[at], start[at + 1]) + 1
     for size in range(2, LONGEST + 1):
-        m = len(word) - size + 1
-        if m <= 0:
-            return
-        since = np.maximum(start[:m], start[1 : m + 1]) + 1
-        whole = piece[:m] == piece[size - 1 :]
-        longer = _joined(h[:m], own[size - 1 :]) if size < LONGEST else None
-        if size == 2:
-            whole &= _holds(pairs, longer & np.uint64(8 * len(pairs) - 1))
-        open_at = np.flatnonzero(whole & (since <= step) & (step < since + shards))
-        if len(open_at):
-            keys = word[open_at]
+        now = since + shards > step
+        where = at[now]
+        if len(where):
+            keys = codes[where].astype(np.int64)
             for k in range(1, size):
                 if k > 1:
                     keys = _distinct(keys)[1]
-                keys = keys * total + word[open_at + k]
+                keys = keys * total + codes[where + k]
             one, _, counts = _distinct(keys)
-            where = open_at[one]
-            phrase = pc.binary_join_element_wise(*(word_text.take(pa.array(word[where + k])) for k in range(size)), " ")
-            yield batch(word[where], phrase, size, since[where], counts)
-        if size < LONGEST:
-            h = longer
-            start = np.where(whole & (since <= step), first[h & mask].astype(np.int16), np.int16(NEVER))
-
-
-def _texts(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(texts, langs) of as many batches as have ``slice_bytes`` together."""
-    held: list[pa.RecordBatch] = []
+            phrase = pc.binary_join_element_wise(*(s.words.take(pa.array(codes[where[one] + k])) for k in range(size)), " ")
+            yield batch(codes[where[one]], phrase, size, since[now][one], counts)
+        if size < LONGEST:  # a longer phrase needs both of its parts, which start at neighbouring places
+            start = first[h & mask].astype(np.int16)
+            known = start < step
+            at, h, start = at[known], h[known], start[known]
+            both = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at, since = at[both], np.maximum(start[both], start[both + 1]) + 1
+            h = _joined(h[both], s.hashes[codes[at + size]])
 
-    def joined() -> tuple[pa.Array, pa.Array]:
-        rows = pa.Table.from_batches(held)
-        return pa.concat_arrays(rows.column("text").chunks), pa.concat_arrays(rows.column("lang").chunks)
 
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-        if sum(x.nbytes for x in held) >= slice_bytes:
-            yield joined()
-            held = []
-    if held:
-        yield joined()
+def count_open(texts: pa.Array, langs: pa.Array, first: np.ndarray, pairs: np.ndarray, step: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """``count_slice`` of texts."""
+    found = encode(texts, langs)
+    return count_slice(found, first, pairs, step, shards) if found else iter(())
 
 
-def _scan(tables, step: int, shards: int, slice_bytes: int):
+def _scan(tables, step: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, pairs = tables.value
-        for texts, langs in _texts(batches, slice_bytes):
-            yield from count_open(texts, langs, first, pairs, step, shards)
+        for s in _slices(batches):
+            yield from count_slice(s, first, pairs, step, shards)
 
     return run
 
 
-def _pair_counts(bits: int, least: int, slice_bytes: int):
+def _pair_counts(bits: int, least: int):
     """(part, counts): how many pairs of words fall on each hash slot, up to ``least``, in parts of _PART slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint32)
-        for texts, langs in _texts(batches, slice_bytes):
-            if found := _words(texts, langs):
-                word, piece, _, lang_text, word_text = found
-                own = word_hashes(lang_text.to_pylist(), word_text.to_pylist())[word]
-                slot = _joined(own[:-1], own[1:])[piece[:-1] == piece[1:]] & np.uint64(len(table) - 1)
-                np.add.at(table, slot.astype(np.int64), 1)
+        for s in _slices(batches):
+            at = np.flatnonzero((s.codes[:-1] >= 0) & (s.codes[1:] >= 0))
+            slot = _joined(s.hashes[s.codes[at]], s.hashes[s.codes[at + 1]]) & np.uint64(len(table) - 1)
+            np.add.at(table, slot.astype(np.int64), np.uint32(1))
         np.minimum(table, least, out=table)
         table = table.astype(np.uint8 if least < 256 else np.uint32)
         for k in range(0, len(table), _PART):
@@ -199,10 +245,15 @@ def _pair_bits(bits: int, least: int):
 
 
 def possible_pairs(rows: DataFrame, least: int, bits: int, slice_bytes: int) -> np.ndarray:
+    """``pairs_of_slices`` of (lang, text)."""
+    return pairs_of_slices(encoded(rows.withColumn("shard", F.lit(0)), slice_bytes), least, bits)
+
+
+def pairs_of_slices(slices: DataFrame, least: int, bits: int) -> np.ndarray:
     """A bit for each of 2^bits hash slots: whether all pairs of words of the slot together occur ``least`` times. A pair
     that does has its bit; the driver gets 2^bits bits, and each task sends 2^bits small counts at most."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.select("lang", "text").mapInArrow(_pair_counts(bits, least, slice_bytes), "part long, counts binary")
+    n = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = slices.select("hashes", "codes", "langs", "lang_of", "words").mapInArrow(_pair_counts(bits, least), "part long, counts binary")
     parts = counted.repartition(n, "part").mapInArrow(_pair_bits(bits, least), "part long, counts binary")
     found = np.zeros((1 << bits) // 8, np.uint8)
     for r in parts.toLocalIterator():
@@ -239,14 +290,15 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 3, bits: in
     spark = docs.sparkSession
     folder = fresh_folder(spark, "phrases")
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
-    source = spark.read.schema("lang string, text string, shard int").parquet(folder)
+    sharded = encoded(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))), slice_bytes)
+    sharded.write.partitionBy("shard").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(folder)
+    source = spark.read.schema(_SHARDED).parquet(folder)
     first = np.full(1 << bits, NEVER, np.uint8)
-    pairs = possible_pairs(source, least, max(3, bits - 1), slice_bytes)
+    pairs = pairs_of_slices(source, least, max(3, bits - 1))
     running, done, totals, step, last = None, [], None, 0, 0
     while step <= last + shards or step < shards:
         table = spark.sparkContext.broadcast((first, pairs))  # 2^bits bytes, and a sixteenth of that
-        counted = source.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(table, step, shards, slice_bytes), _COUNTS)
+        counted = source.where(F.col("shard") == step % shards).drop("shard").mapInArrow(_scan(table, step, shards), _COUNTS)
         if running is not None:
             still = running.where(F.col("since") > step - shards)
             counted = counted.unionByName(still.select("lang", "phrase", "size", "since", "n", F.col("n").alias("before")))
