@@ -41,3 +41,27 @@ def test_odd_rows(spark):
     got = gather(forest.search(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")))
     assert got == {0: [(0.0, k) for k in range(11, 21)], 100: [(0.0, 0)] + [(0.0, k) for k in range(11, 20)]}
     assert forest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lengths_and_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=3 if k % 4 else 5).tolist()) for k in range(600)]
+    rows += [(200, [1.0, 2.0, 3.0]), (200, [1.0, 2.0, 3.0]), (7, rows[1][1]), (7, rows[1][1]), (901, [1.0, 2.0, 3.0]), (902, [4.0])]
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 100 == 0 and (q, v) not in rows[:at]:
+            found = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), i) for k, (i, w) in enumerate(rows) if k != at and len(w) == len(v))
+            want += [(q, r + 1, i, x) for r, (x, i) in enumerate(found[:10])]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, d string").repartition(3)
+    got = forest.search(table, share=1.0, block=100, chunk=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(w[:3] for w in want)
+    assert np.allclose(sorted(r.score for r in got), sorted(w[3] for w in want), rtol=1e-12, atol=0)
+
+
+def test_recall_with_registered_parameters(spark):
+    for sf in ("0.001", "0.01", "0.1"):
+        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").collect()]
+        want = plain(np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64))
+        got = gather(forest.search(spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")))
+        hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+        assert hits >= 0.93 * sum(map(len, want.values())), (sf, hits)
