@@ -100,3 +100,14 @@ def test_large_counts_stay_exact(spark):
 
 def test_no_words(spark):
     assert mined(spark, []) == [] and mined(spark, [(1, None, None), (2, " . ", "en")]) == [] and mined(spark, [(1, "a b", "en")]) == []
+
+
+def test_parts_that_share_an_earlier_slot():
+    """The pairs' slots are taken at step 0 by others, but their words come to the threshold a step later."""
+    text, lang = pa.array(["a b c"]), pa.array(["en"])
+    first, pairs = np.full(1 << 16, phrases.NEVER, np.uint8), np.full(1 << 10, 255, np.uint8)
+    a, b, c = (phrases.word_hashes(["en"], [w]) for w in "abc")
+    for h, step in ((a, 1), (b, 1), (c, 0), (phrases._joined(a, b), 0), (phrases._joined(b, c), 0)):
+        first[h & np.uint64(65535)] = step
+    found = [r for step in range(8) for x in phrases.count_open(text, lang, first, pairs, step, 3) for r in x.to_pylist() if r["phrase"] == "a b c"]
+    assert [r["since"] for r in found] == [2, 2, 2]  # one cycle of three shards

@@ -190,9 +190,9 @@ def count_slice(s: Slice, first: np.ndarray, pairs: np.ndarray, step: int, shard
         if size < LONGEST:  # a longer phrase needs both of its parts, which start at neighbouring places
             start = first[h & mask].astype(np.int16)
             known = start < step
-            at, h, start = at[known], h[known], start[known]
+            at, h, since = at[known], h[known], np.maximum(since, start + 1)[known]
             both = np.flatnonzero(at[1:] == at[:-1] + 1)
-            at, since = at[both], np.maximum(start[both], start[both + 1]) + 1
+            at, since = at[both], np.maximum(since[both], since[both + 1])  # a part may share an earlier slot than its words
             h = _joined(h[both], s.hashes[codes[at + size]])
 
 
