@@ -219,3 +219,14 @@ def test_reports_read_only_the_columns_they_need(spark, sf, tmp_path):
     for df in (quality.gap_report(snaps, ["symbol"]), quality.spread_report(snaps, ["symbol"]), quality.id_report(trades, ["symbol"]), asof.asof_backward(trades, snaps, [])):
         assert read(df) and not any("qty_lots:array" in x or "price_delta" in x for x in read(df))
     assert all(x == "struct<symbol:string,agg_trade_id:bigint>" for x in read(quality.id_report(trades, ["symbol"])))
+
+
+def test_next_live_is_ordered_once(spark):
+    """In buckets, without a frame to the end of the day for every row; ties, other dates and nulls match nothing."""
+    a = [("d", 5), ("d", 5), ("d", 599), ("d", 600), ("d", 3000), ("d", 9000), ("e", 5), (None, 5), ("d", None)]
+    b = [("d", 5), ("d", 600), ("d", 601), ("d", 8999), ("d", 9000), (None, 7), ("d", None)]
+    rows, events = (spark.createDataFrame(x, "date string, at_s long") for x in (a, b))
+    found = asof.next_after(rows, events, "date", "at_s", "live_s")
+    want = [(d, s, min((t for e, t in b if d is not None and e == d and None not in (s, t) and t > s), default=None)) for d, s in a]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()

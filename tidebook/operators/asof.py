@@ -101,11 +101,14 @@ def extended_spread(snapshots: DataFrame, windows: list[int], keys: tuple[str, .
     return forward_frames(snapshots, windows, keys, bucket_ns).select(*keys, "ts_ns", "u", F.inline("spreads"))
 
 
-def next_after(rows: DataFrame, events: DataFrame, key: str, at: str, found: str) -> DataFrame:
+def next_after(rows: DataFrame, events: DataFrame, key: str, at: str, found: str, bucket: int = 600) -> DataFrame:
     """``rows`` with ``found``: the first ``at`` of ``events`` strictly after the row's own, within ``key``. Both
-    have columns key and at. For tables of some thousand rows per key, as from logs."""
-    one = rows.select(key, at, F.lit(1).alias("kind"), F.struct(*rows.columns).alias("row"))
-    two = events.select(key, at, F.lit(0).alias("kind"), F.lit(None).cast(one.schema["row"].dataType).alias("row"))
-    window = Window.partitionBy(key).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
-    seen = F.min(F.when(F.col("kind") == 0, F.col(at))).over(window)
-    return one.unionByName(two).withColumn(found, seen).where("kind = 1").select("row.*", found)
+    have columns key and at; nulls in them match nothing. Ordered from the last to the first in buckets of
+    ``bucket`` units of ``at``, each with the first event of the later ones as a seed."""
+    marked = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, F.col(at).alias("_at"), whole(F.col(at), bucket).alias("bucket"))
+    asked = rows.select(key, at, whole(F.col(at), bucket).alias("bucket"), F.lit(1).alias("kind"), F.struct(*rows.columns).alias("row"))
+    seeds = carry_in(marked, asked, "_at", [at], [key], latest=False)
+    two = marked.select(key, "bucket", at).unionByName(seeds.select(key, "bucket", F.col("_at").alias(at))).select(key, at, "bucket", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    window = Window.partitionBy(key, "bucket").orderBy(F.desc(at), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.when(F.col(at).isNotNull(), F.last(F.when(F.col("kind") == 0, F.col(at)), ignorenulls=True).over(window))
+    return asked.unionByName(two).withColumn(found, seen).where("kind = 1").select("row.*", found)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import expressions as X
 from tidebook.functions.expressions import NS_HOUR, whole
 from tidebook.operators.asof import next_after, previous
+from tidebook.storage import cut
 
 ID_BUCKET = 1_000_000
 
@@ -185,7 +186,9 @@ def overall(summary: DataFrame) -> DataFrame:
 
 def resyncs(lines: DataFrame) -> DataFrame:
     """(date, at_s, reason, live_s) of each resync line of a log (value), with the first later LIVE line that day."""
-    rows = lines.select(X.log_time(F.col("value")).alias("at_s"), X.resync_reason(F.col("value")).alias("reason"), X.is_live_line(F.col("value")).alias("live"), F.substring("value", 1, 10).alias("date")).where("at_s is not null")
+    told = lines.select("value", X.resync_reason(F.col("value")).alias("reason"), X.is_live_line(F.col("value")).alias("live")).where("reason is not null or live")
+    # read several times below, and parsing is most of the work
+    rows = cut(told.select(X.log_time(F.col("value")).alias("at_s"), "reason", "live", F.substring("value", 1, 10).alias("date"))).where("at_s is not null")
     return next_after(rows.where("reason is not null").select("date", "at_s", "reason"), rows.where("live").select("date", "at_s"), "date", "at_s", "live_s")
 
 
