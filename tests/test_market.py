@@ -230,3 +230,18 @@ def test_next_live_is_ordered_once(spark):
     want = [(d, s, min((t for e, t in b if d is not None and e == d and None not in (s, t) and t > s), default=None)) for d, s in a]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_offset_rates_of_dense_bins(spark):
+    """Trades meet the snapshots of a bin by search, not each with each; 30,000 of both within six hours."""
+    hour, n = 3_600_000, 30_000
+    s = spark.range(n).selectExpr("'A' as symbol", "id * 720000000 + 1 as ts_ns", "id as u", "id % 7 as best_bid_ticks", "id % 7 + id % 3 as best_ask_ticks")
+    t = spark.range(n).selectExpr("'A' as symbol", "id * 720000000 + 5 as ts_ns", "id % 11 as price_ticks")
+    rates = calibration.outside_rates(t, s, ["symbol"], hour, hour // 2, 6 * X.NS_HOUR)
+    want = {}
+    for o in range(-hour, hour + 1, hour // 2):
+        back = o * 1_000_000 // 720_000_000
+        want[o] = sum(1 for k in range(n) if (j := min(k - back, n - 1)) >= 0 and not j % 7 <= k % 11 <= j % 7 + j % 3)
+    assert {r.offset_ms: r.outside for r in rates.collect()} == want
+    plan = rates._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "bin#" in line for line in plan.splitlines())

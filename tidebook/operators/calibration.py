@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.functions import expressions as X
 from tidebook.functions.expressions import whole
-from tidebook.operators.asof import asof_backward
+from tidebook.operators.asof import asof_backward, carry_in
 from tidebook.storage import cut
 
 NS_MS = 1_000_000
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def windows(trades: DataFrame, snapshots: DataFrame, window_ns: int, margin_ns: int, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,30 +32,58 @@ def windows(trades: DataFrame, snapshots: DataFrame, window_ns: int, margin_ns:
     return own, near, spans
 
 
+def _truncated(ns: np.ndarray, bin_ns: int) -> np.ndarray:
+    """As ``whole``."""
+    return np.abs(ns) // bin_ns * np.sign(ns)
+
+
+def _outside_counts(keys: list[str], offsets: np.ndarray, bin_ns: int):
+    """Of one bin the rows (keys, o, outside): how many of its trades, moved by each offset into the bin, are outside."""
+
+    def run(table: pa.Table) -> pa.Table:
+        book = pc.is_null(table.column("t"))
+        books = table.filter(book).sort_by([("ts_ns", "ascending"), ("u", "ascending")])
+        asked = table.filter(pc.invert(book))
+        t, price = asked.column("t").to_numpy(), asked.column("price_ticks").to_numpy()
+        starts = books.column("ts_ns").to_numpy()
+        bid, ask = (pc.fill_null(books.column(c), edge).to_numpy() for c, edge in (("best_bid_ticks", _LEAST), ("best_ask_ticks", _MOST)))
+        bin_ = table.column("bucket")[0].as_py()
+        counts = np.zeros(len(offsets), np.int64)
+        for k, o in enumerate(offsets if len(starts) else ()):
+            moved = t - o
+            here = _truncated(moved, bin_ns) == bin_
+            at = np.searchsorted(starts, moved[here], "right") - 1
+            p = price[here][at >= 0]
+            at = at[at >= 0]
+            counts[k] = np.count_nonzero((p < bid[at]) | (p > ask[at]))
+        some = np.flatnonzero(counts)
+        own = table.select(keys).take(np.zeros(len(some), np.int64))
+        return own.append_column("o", pa.array(offsets[some])).append_column("hits", pa.array(counts[some]))
+
+    return run
+
+
 def outside_rates(trades: DataFrame, snapshots: DataFrame, keys: list[str], range_ms: int = 500, step_ms: int = 10, bin_ns: int = 1_000_000_000) -> DataFrame:
     """(keys, offset_ms, outside, trades): for each offset of the snapshots' clock on a grid, how many trades lie
     outside the spread of their match; trades without a match count as inside.
 
-    Trade t matches snapshot i, with successor j, under the offsets t - ts_j < o <= t - ts_i. Each
-    trade is joined to the snapshots whose span can hold it, in bins of time; a pair outside the spread
-    adds one at its first grid offset and takes one after its last, and a running sum gives the counts.
+    Under offset o trade t matches the last snapshot at or before t - o. Snapshots are dealt in bins of time of a minute at
+    least, each with the last of the earlier ones as a seed; a trade goes to each bin that an offset can move it to,
+    and a bin looks its trades up once an offset. The work is trades times offsets, however many snapshots are near.
     """
-    reach, step = range_ms * NS_MS, step_ms * NS_MS
-    order = Window.partitionBy(*keys).orderBy("ts_ns", "u")
-    spans = snapshots.select(*keys, "ts_ns", "u", "best_bid_ticks", "best_ask_ticks").withColumn("next_ns", F.lead("ts_ns").over(order))
-    spans = spans.where("next_ns is null or next_ns > ts_ns")
-    ends = trades.groupBy(*keys).agg(F.max("ts_ns").alias("t1"))
-    spans = spans.join(ends, keys).where(F.col("ts_ns") <= F.col("t1") + reach).withColumn("until", F.least(F.coalesce("next_ns", F.col("t1") + reach + 1), F.col("t1") + reach + 1))
-    binned = spans.withColumn("bin", F.explode(F.sequence(whole(F.col("ts_ns") - reach, bin_ns), whole(F.col("until") + reach, bin_ns))))
-    pairs = trades.select(*keys, F.col("ts_ns").alias("t"), "price_ticks", whole(F.col("ts_ns"), bin_ns).alias("bin")).join(binned, [*keys, "bin"])
-    low = F.when(F.col("next_ns").isNull(), F.lit(-reach)).otherwise(F.greatest(F.lit(-reach), F.floor((F.col("t") - F.col("next_ns")) / step).cast("long") * step + step))
-    high = F.least(F.lit(reach), F.floor((F.col("t") - F.col("ts_ns")) / step).cast("long") * step)
-    hits = pairs.where(X.outside(F.col("price_ticks"), F.col("best_bid_ticks"), F.col("best_ask_ticks"))).select(*keys, low.alias("low"), high.alias("high")).where("low <= high")
-    steps = hits.select(*keys, F.inline(F.array(F.struct(F.col("low").alias("o"), F.lit(1).alias("d")), F.struct((F.col("high") + step).alias("o"), F.lit(-1).alias("d")))))
-    changes = steps.groupBy(*keys, "o").agg(F.sum("d").alias("d"))
+    reach, step, bin_ns = range_ms * NS_MS, step_ms * NS_MS, max(bin_ns, 60 * 10**9)
+    asked = trades.where("ts_ns is not null and price_ticks is not null").select(*keys, F.col("ts_ns").alias("t"), F.col("price_ticks").cast("long").alias("price_ticks"))
+    asked = asked.withColumn("bucket", F.explode(F.sequence(whole(F.col("t") - reach, bin_ns), whole(F.col("t") + reach, bin_ns))))
+    fields = ["ts_ns", "u", "best_bid_ticks", "best_ask_ticks"]
+    books = snapshots.where("ts_ns is not null").select(*keys, *(F.col(c).cast("long").alias(c) for c in fields)).withColumn("u", F.coalesce("u", F.lit(_LEAST)))
+    books = books.select(*keys, whole(F.col("ts_ns"), bin_ns).alias("bucket"), "ts_ns", "u", F.struct(*fields).alias("book"))
+    seeds = carry_in(books, asked, "book", ["ts_ns", "u"], keys)
+    both = books.select(*keys, "bucket", "book.*").unionByName(seeds.select(*keys, "bucket", "book.*")).unionByName(asked, allowMissingColumns=True)
+    counted = T.StructType([*(both.schema[k] for k in keys), T.StructField("o", T.LongType()), T.StructField("hits", T.LongType())])
+    hits = both.groupBy(*keys, "bucket").applyInArrow(_outside_counts(keys, np.arange(-reach, reach + 1, step), bin_ns), counted)
+    sums = hits.groupBy(*keys, "o").agg(F.sum("hits").alias("hits"))
     grid = trades.groupBy(*keys).agg(F.count("*").alias("trades")).withColumn("o", F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))))
-    running = Window.partitionBy(*keys).orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(changes, [*keys, "o"], "left").select(*keys, (F.col("o") / NS_MS).cast("long").alias("offset_ms"), F.sum(F.coalesce("d", F.lit(0))).over(running).alias("outside"), "trades")
+    return grid.join(sums, [*keys, "o"], "left").select(*keys, (F.col("o") / NS_MS).cast("long").alias("offset_ms"), F.coalesce("hits", F.lit(0)).alias("outside"), "trades")
 
 
 def best_offset(rates: DataFrame, keys: list[str]) -> DataFrame:
