@@ -198,3 +198,30 @@ def test_live_gating(spark):
     trades = spark.createDataFrame([("S", t) for t in (5, 10, 49, 50, 89, 95)], "symbol string, ts_ns long")
     assert sorted(r.ts_ns for r in feeds.only_live(trades, feeds.live_intervals(sync)).collect()) == [10, 49, 95]
 
+
+
+def test_outlines_make_no_changes_that_a_whole_book_replaces():
+    """After a whole book the levels are only noted, and both machines of a slice are soon one; ends are as of plain steps."""
+    rows, pu = [("book", 0, 0, 0, 0, BIDS, ASKS)], 0
+    for n in range(1, 400):
+        rows.append(diff(40 * n, n, n, pu, [(499990 + n % 17, n % 3)], [(500001 + n % 5, n % 4)]))
+        pu = n - 7 if n % 150 == 0 else n
+        if n % 150 == 1 and n > 1:
+            rows.append(("book", 40 * n, 0, n + 1, 0, BIDS, ASKS))
+    plain, lazy, waiting = book.Replay("S", 4), book.Outline("S", 4, 100_000_000, "BUFFERING"), book.Outline("S", 4, 100_000_000, "LIVE")
+    for e in rows:
+        list(plain.step(e))
+        for machine in (lazy, waiting):
+            if not machine.follow(e):
+                list(machine.step(e))
+    assert lazy.later and lazy.epoch == plain.epoch > 0 and lazy.joined(waiting) and not lazy.later
+    assert lazy.save() == plain.save()
+
+
+def test_replay_gives_the_wanted_columns(spark):
+    events = spark.createDataFrame([("S", k, "book" if k % 50 == 0 else "diff", 40 * k, k, k + (k % 50 == 0), k - 1 - (k % 50 == 49), [(100 + k % 7, k % 3)], [(110 + k % 5, k % 4)]) for k in range(300)], book.EVENTS)
+    some = ["symbol", "ts_ns", "u", "bids_qty_lots", "state"]
+    every = book.replay(events, depth=3, span=90)
+    assert every.columns == book.COLUMNS and book.replay(events, depth=3, span=90, columns=some).columns == some
+    got = sorted(map(tuple, book.replay(events, depth=3, span=90, columns=some).collect()))
+    assert got == sorted(map(tuple, every.select(some).collect())) and len(got) > 50

@@ -649,16 +649,18 @@ def _depth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<struct<p:bigint,q:bigint>>")
     placed = asof.positions(d, ["u"], ["symbol"], X.whole(F.col("u"), 10_000))
     n = F.col("pos") + 1
-    diff = placed.select("symbol", (n * 2).alias("at"), F.lit("diff").alias("kind"), (n * 40).alias("E"), n.alias("first_u"), n.alias("u"), F.when(n % 997 == 0, n - 2).otherwise(n - 1).alias("pu"), F.when(F.col("side") == "bid", level).otherwise(none).alias("bids"), F.when(F.col("side") == "ask", level).otherwise(none).alias("asks"))
-    whole_book = placed.where((n % 997 == 1) | (n == 1)).select("symbol", (n * 2 - 1).alias("at"), F.lit("book").alias("kind"), (n * 40).alias("E"), n.alias("first_u"), n.alias("u"), n.alias("pu"), none.alias("bids"), none.alias("asks"))
-    return diff.unionByName(whole_book)
+    diff = F.struct((n * 2).alias("at"), F.lit("diff").alias("kind"), (n * 40).alias("E"), n.alias("first_u"), n.alias("u"), F.when(n % 997 == 0, n - 2).otherwise(n - 1).alias("pu"), F.when(F.col("side") == "bid", level).otherwise(none).alias("bids"), F.when(F.col("side") == "ask", level).otherwise(none).alias("asks"))
+    whole_book = F.struct((n * 2 - 1).alias("at"), F.lit("book").alias("kind"), (n * 40).alias("E"), n.alias("first_u"), n.alias("u"), n.alias("pu"), none.alias("bids"), none.alias("asks"))
+    # one pass over the numbered rows gives both
+    return placed.select("symbol", F.inline(F.when((n % 997 == 1) | (n == 1), F.array(whole_book, diff)).otherwise(F.array(diff))))
 
 
 @query("t1_replay")
 def t1_replay(spark, sf_dir):
     """Books of depth 20 and state changes of the replayed depth log."""
-    found = book.replay(_depth_events(spark, sf_dir), depth=20, span=20_000)
-    return found.select("symbol", "row", "ts_ns", "u", "best_bid_ticks", "best_ask_ticks", "resync_epoch", "state", "reason", F.aggregate("bids_qty_lots", F.lit(0).cast("long"), lambda a, x: a + x).alias("bid_lots"))
+    plain = ["symbol", "row", "ts_ns", "u", "best_bid_ticks", "best_ask_ticks", "resync_epoch", "state", "reason"]
+    found = book.replay(_depth_events(spark, sf_dir), depth=20, span=20_000, columns=[*plain, "bids_qty_lots"])
+    return found.select(*plain, F.aggregate("bids_qty_lots", F.lit(0).cast("long"), lambda a, x: a + x).alias("bid_lots"))
 
 
 @query("t4_every_tick", BASE + """, g AS (SELECT symbol, unnest(range(min(ts_ns) // 3600000000000, max(ts_ns) // 3600000000000 + 1)) AS tick FROM snapshots GROUP BY symbol)

@@ -22,7 +22,7 @@ from tidebook.functions.expressions import price_to_ticks, qty_to_lots, whole
 from tidebook.operators.asof import previous
 from tidebook.schemas import Scale
 from tidebook.storage import cut
-from tidebook.streaming.machine import BUFFER, COLUMNS, EVENTS, OUTPUT, Outline, Replay
+from tidebook.streaming.machine import BUFFER, COLUMNS, EVENTS, OUTPUT, Compact, Outline, Replay
 
 __all__ = ["BUFFER", "COLUMNS", "EVENTS", "OUTPUT", "Replay", "replay", "replay_stream"]
 
@@ -41,10 +41,26 @@ def _event(r) -> tuple:
     return (r.kind, int(r.E), int(r.first_u), int(r.u), int(r.pu), _levels(r.bids), _levels(r.asks))
 
 
+def _list(column: pa.Array) -> list:
+    """The longs of a column, None for null; by NumPy, which is many times faster than to_pylist."""
+    values = column.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    if column.null_count:
+        for k in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            values[k] = None
+    return values
+
+
+def _texts(column: pa.Array) -> list:
+    """The texts of a column of few different ones."""
+    coded = column.dictionary_encode()
+    names = [*coded.dictionary.to_pylist(), None]
+    return [names[k] for k in coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+
+
 def _side(column: pa.Array) -> list[list[tuple[int, int]]]:
     """The (p, q) of each row's levels; none for null."""
     inner = column.flatten()
-    pairs = list(zip(inner.field("p").to_pylist(), inner.field("q").to_pylist(), strict=True))
+    pairs = list(zip(_list(inner.field("p")), _list(inner.field("q")), strict=True))
     ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
     return [pairs[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -53,9 +69,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(symbol, slice, start, event) of each row in order; the row that brings the start has no event."""
     for b in batches:
         c = {n: b.column(n) for n in b.schema.names}
-        scalars = (c[n].to_pylist() for n in ("symbol", "slice", "start", "kind", "E", "first_u", "u", "pu"))
-        for symbol, slice_, start, *event, bids, asks in zip(*scalars, _side(c["bids"]), _side(c["asks"]), strict=True):
-            yield symbol, slice_, start, (*event, bids, asks)
+        events = zip(_texts(c["kind"]), *(_list(c[n]) for n in ("E", "first_u", "u", "pu")), _side(c["bids"]), _side(c["asks"]), strict=True)
+        yield from zip(_texts(c["symbol"]), _list(c["slice"]), _texts(c["start"]), events, strict=True)
 
 
 def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -64,27 +79,65 @@ def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _padded(levels: list[int], sizes: list[int], books: np.ndarray, base: np.ndarray, depth: int, kind: pa.DataType) -> pa.Array:
+    """One list a row: of the rows marked as ``books`` their levels less their base, filled up with zeros to the depth; else none."""
+    size = np.array(sizes, np.int64)[books]
+    flat = np.zeros((len(size), depth), np.int64)
+    flat[np.arange(depth) < size[:, None]] = np.array(levels, np.int64) - np.repeat(base[books], size)
+    ends = np.cumsum(np.r_[0, books * depth])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.ravel()).cast(kind))
+
+
+def _rows(rows: list[tuple], levels: tuple[list[int], ...], depth: int, columns: list[str]) -> pa.RecordBatch:
+    """A batch of ``columns`` of OUTPUT from the notes and books of ``Compact``."""
+    if not rows:
+        return _arrow([], OUTPUT).select(columns)
+    symbol, row, ts_ns, u, bid, ask, *sizes, epoch, state, reason = zip(*rows, strict=True)
+    books = np.array([r == "book" for r in row])
+    bid, ask, none = np.array(bid, np.int64), np.array(ask, np.int64), np.zeros(len(rows), np.int64)
+    sizes = [[n or 0 for n in size] for size in sizes]  # a note's sides are empty lists
+    names = ("bids_price_delta", "bids_qty_lots", "asks_price_delta", "asks_qty_lots")
+    found = {c: _padded(*x, books, base, depth, kind) for c, *x, base, kind in zip(names, levels, sizes, (bid, none, ask, none), (pa.int32(), pa.int64()) * 2, strict=True) if c in columns}
+    found |= {c: pa.array(x, pa.string()) for c, x in (("symbol", symbol), ("row", row), ("state", state), ("reason", reason))}
+    found |= {c: pa.array(x, pa.int64()) for c, x in (("ts_ns", ts_ns), ("u", u), ("best_bid_ticks", bid), ("best_ask_ticks", ask))}
+    found["resync_epoch"] = pa.array(epoch, pa.int32())
+    return pa.RecordBatch.from_arrays([found[c] for c in columns], names=columns)
+
+
 def _outlines(depth: int, tick_ns: int):
     """(symbol, slice, state): of each slice, as JSON, what it does to a live book that it continues, and to one that waits."""
 
     def told(live: Outline, waiting: Outline, whole_books: int) -> str:
+        live.settle()
         sides = [sorted(side.items()) for side in (live.bids, live.asks)]
         return json.dumps([live.first_pu, live.fresh, live.save(), sides, live.epoch, whole_books, waiting.save(), waiting.epoch])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, live, waiting, books = None, None, None, 0
+        key, live, waiting, books, joined, more = None, None, None, 0, False, 0
+
+        def end() -> pa.RecordBatch:
+            if joined:  # one machine went on for both
+                waiting.restore(live.save())
+                waiting.epoch = live.epoch + more
+            return _arrow([(*key, told(live, waiting, books), 0)], _STATES)
+
         for symbol, slice_, _, event in _slices(batches):
             if key != (symbol, slice_):
                 if key:
-                    yield _arrow([(*key, told(live, waiting, books), 0)], _STATES)
-                key, books = (symbol, slice_), 0
+                    yield end()
+                key, books, joined = (symbol, slice_), 0, False
                 live, waiting = (Outline(symbol, depth, tick_ns, state) for state in ("LIVE", "BUFFERING"))
-            books += event[0] == "book"
-            for machine in (live, waiting):
-                for _ in machine.step(event):
+            if not live.follow(event):
+                books += event[0] == "book"
+                for _ in live.step(event):
+                    pass
+            if not joined and not waiting.follow(event):
+                for _ in waiting.step(event):
                     pass
+                if waiting.state == "LIVE" and live.joined(waiting):
+                    joined, more = True, waiting.epoch - live.epoch
         if key:
-            yield _arrow([(*key, told(live, waiting, books), 0)], _STATES)
+            yield end()
 
     return run
 
@@ -142,7 +195,7 @@ def _ends(depth: int, tick_ns: int):
                     yield _arrow([(*key, now.save(), now.epoch)], _STATES)
                 key, now = (symbol, slice_), Replay(symbol, depth, tick_ns).restore(start)
                 now.view = lambda: None  # books are not asked for
-            else:
+            elif not now.follow(event):
                 for _ in now.step(event):
                     pass
         if key:
@@ -151,23 +204,25 @@ def _ends(depth: int, tick_ns: int):
     return run
 
 
-def _books(depth: int, tick_ns: int):
+def _books(depth: int, tick_ns: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last, out = None, False, []
+        now, last, out, sides = None, False, [], tuple([] for _ in range(4))
         for symbol, _, start, event in _slices(batches):
             if start is not None:
                 if last:
                     out += now.flush()
-                now = Replay(symbol, depth, tick_ns).restore(start)
+                now = Compact(symbol, depth, tick_ns).restore(start)
+                now.sides = sides
                 now.epoch, last = event[1], event[2] == 1  # the start's row has the epoch in E, and whether the slice is the last in first_u
-            else:
+            elif not now.follow(event):
                 out += now.step(event)
-            if len(out) * depth > _LEVELS_AT_ONCE:
-                yield _arrow(out, OUTPUT)
-                out = []
+                if len(out) * depth > _LEVELS_AT_ONCE:
+                    yield _rows(out, sides, depth, columns)
+                    out, sides = [], tuple([] for _ in range(4))
+                    now.sides = sides
         if last:
             out += now.flush()
-        yield _arrow(out, OUTPUT)
+        yield _rows(out, sides, depth, columns)
 
     return run
 
@@ -186,7 +241,7 @@ def _started(dealt: DataFrame, starts: DataFrame) -> DataFrame:
     return _by_slice(rows, F.col("start").isNull(), "at", "u")
 
 
-def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, span: int = 3_600_000) -> DataFrame:
+def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, span: int = 3_600_000, columns: list[str] | None = None) -> DataFrame:
     """Books (row = book) and state changes (row = sync) of all symbols, from a table of EVENTS in order of ``at``
     then ``u``; rows without a symbol are left out, rows without ``at`` come first.
 
@@ -196,6 +251,8 @@ def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, spa
     That is exact unless the depth trims levels in between or a slice begins out of sync; such slices are run for their
     end, without books, and where an end is not what the next slice starts from, that one is run again from it,
     until all agree. Every round settles at least one more slice of a symbol, mostly all of them.
+
+    ``columns`` names those of OUTPUT that are wanted (all): Spark can't leave out what Python makes.
     """
     key = ["symbol", "slice"]
     slice_ = F.coalesce(whole(F.col("at"), span), F.lit(-(1 << 62)))
@@ -218,7 +275,9 @@ def replay(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000, spa
         asked = seeds.where("moved and then is not null").select(*key, "start", "then")
     before = F.sum("resyncs").over(following.rowsBetween(Window.unboundedPreceding, -1))
     starts = seeds.select(*key, "start", F.coalesce(before, F.lit(0)).cast("long").alias("E"), F.when(F.col("then").isNull(), 1).otherwise(0).cast("long").alias("first_u"))
-    return _started(dealt, starts).mapInArrow(_books(depth, tick_ns), OUTPUT)
+    columns = [c for c in COLUMNS if columns is None or c in columns]
+    kept = ", ".join(f for f in OUTPUT.split(", ") if f.split()[0] in columns)
+    return _started(dealt, starts).mapInArrow(_books(depth, tick_ns, columns), kept)
 
 
 def replay_stream(events: DataFrame, depth: int = 1000, tick_ns: int = 100_000_000) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
 BUFFER = 1000
+LATER = 20_000
 EVENTS = (
     "symbol string, at long, kind string, E long, first_u long, u long, pu long, bids array<struct<p:long,q:long>>, "
     "asks array<struct<p:long,q:long>>"
@@ -87,13 +89,28 @@ class Replay:
             self.touched = False
             yield self.view()
 
+    def _past(self, E: int) -> bool:
+        """Whether the event's time is in another tick than the book's."""
+        return E * 1_000_000 // self.tick_ns != self.ts_ns // self.tick_ns
+
     def _apply(self, event: tuple) -> Iterator[tuple]:
         _, E, _, u, _, bids, asks = event
-        if E * 1_000_000 // self.tick_ns != self.ts_ns // self.tick_ns:
+        if self._past(E):
             yield from self.flush()
         self.change(bids, asks)
         self.prev_u, self.ts_ns, self.touched = u, E * 1_000_000, True
 
+    def follow(self, event: tuple) -> bool:
+        """Take a difference that continues a live book and gives no row, which most do; false, and nothing done, for any other event."""
+        kind, E, _, u, pu, bids, asks = event
+        if self.state != "LIVE" or pu != self.prev_u or kind == "book":
+            return False
+        if self.touched and self._past(E):
+            return False
+        self.change(bids, asks)
+        self.prev_u, self.ts_ns, self.touched = u, E * 1_000_000, True
+        return True
+
     def step(self, event: tuple) -> Iterator[tuple]:
         """Rows that the event (kind, E, U, u, pu, bids, asks) gives: state changes, and books of ticks past."""
         kind, _, U, u, pu, bids, asks = event
@@ -134,25 +151,76 @@ class Replay:
         return self
 
 
+class Compact(Replay):
+    """A replay that keeps its prices in order (``high``: the bids', negated) instead of sorting them for every book. Its book
+    rows have numbers of levels for sides; the levels' prices and quantities go to ``sides``, end to end and without padding."""
+
+    sides: tuple[list[int], ...]
+
+    def _order(self) -> None:
+        self.high, self.low = sorted(-p for p in self.bids), sorted(self.asks)
+
+    def load(self, bids, asks) -> None:
+        super().load(bids, asks)
+        self._order()
+
+    def restore(self, text: str) -> Compact:
+        super().restore(text)
+        self._order()
+        return self
+
+    def _turn(self, side: dict[int, int], prices: list[int], levels, sign: int) -> None:
+        for p, q in levels:
+            p = int(p)
+            if q > 0:
+                if p not in side:
+                    insort(prices, sign * p)
+                side[p] = int(q)
+            elif p in side:
+                del side[p], prices[bisect_left(prices, sign * p)]
+        while len(prices) > self.depth:
+            del side[sign * prices.pop()]
+
+    def change(self, bids, asks) -> None:
+        if bids:
+            self._turn(self.bids, self.high, bids, -1)
+        if asks:
+            self._turn(self.asks, self.low, asks, 1)
+
+    def view(self) -> tuple:
+        bids, asks = [-p for p in self.high], self.low
+        for side, levels in zip(self.sides, (bids, map(self.bids.__getitem__, bids), asks, map(self.asks.__getitem__, asks)), strict=True):
+            side += levels
+        n, m = len(bids), len(asks)
+        return (self.symbol, "book", self.ts_ns, self.prev_u, bids[0] if n else 0, asks[0] if m else 0, n, n, m, m, self.epoch, self.state, "")
+
+
 class Outline(Replay):
     """What a slice of a log does to a book that is not known: levels keep their last quantity, 0 where they were
-    deleted, and are not trimmed until a whole book makes all of them known (``fresh``)."""
+    deleted, and are not trimmed until a whole book makes all of them known (``fresh``). From then on changes are only
+    noted, at most LATER of them, and made when the levels are asked for: the next whole book makes them needless."""
 
     def __init__(self, symbol: str, depth: int, tick_ns: int, state: str):
         super().__init__(symbol, depth, tick_ns)
         self.state, self.fresh, self.first_pu = state, False, None
+        self.later: list[tuple] = []
 
-    def _trim(self) -> None:
-        if self.fresh:
-            super()._trim()
+    def settle(self) -> None:
+        """Make the changes noted."""
+        later, self.later = self.later, []
+        for bids, asks in later:
+            super().change(bids, asks)
 
     def load(self, bids, asks) -> None:
-        self.fresh = True
+        self.fresh, self.later = True, []
         super().load(bids, asks)
 
     def change(self, bids, asks) -> None:
         if self.fresh:
-            return super().change(bids, asks)
+            self.later.append((bids, asks))
+            if len(self.later) >= LATER:
+                self.settle()
+            return
         for side, levels in ((self.bids, bids), (self.asks, asks)):
             for p, q in levels:
                 side[int(p)] = max(0, int(q))
@@ -161,9 +229,29 @@ class Outline(Replay):
         self.touched = False
         return iter(())
 
+    def _past(self, E: int) -> bool:
+        return False  # no books come out
+
+    def save(self) -> str:
+        self.settle()
+        return super().save()
+
+    def follow(self, event: tuple) -> bool:
+        if self.first_pu is None:
+            return False
+        return super().follow(event)
+
     def step(self, event: tuple) -> Iterator[tuple]:
         if self.first_pu is None and event[0] != "book":
             self.first_pu = event[4]
             if self.state == "LIVE":
                 self.prev_u = event[4]
         return super().step(event)
+
+    def joined(self, other: Outline) -> bool:
+        """Whether both go on alike, but for their epochs: live, on the same known book."""
+        if not (self.fresh and other.fresh and self.state == other.state == "LIVE" and (self.prev_u, self.ts_ns) == (other.prev_u, other.ts_ns)):
+            return False
+        self.settle()
+        other.settle()
+        return self.touched == other.touched and self.bids == other.bids and self.asks == other.asks
