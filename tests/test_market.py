@@ -245,3 +245,10 @@ def test_offset_rates_of_dense_bins(spark):
     assert {r.offset_ms: r.outside for r in rates.collect()} == want
     plan = rates._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and "bin#" in line for line in plan.splitlines())
+
+
+def test_offset_search_keeps_its_tasks(spark, capsys):
+    """Adaptive merging of small partitions would leave the search to a few tasks."""
+    rows = spark.createDataFrame([("A", k * 10**9, k, 5, 6, 5) for k in range(50)], "symbol string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long, price_ticks long")
+    calibration.outside_rates(rows.select("symbol", "ts_ns", "price_ticks"), rows.drop("price_ticks"), ["symbol"]).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out

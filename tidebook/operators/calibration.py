@@ -80,7 +80,9 @@ def outside_rates(trades: DataFrame, snapshots: DataFrame, keys: list[str], rang
     seeds = carry_in(books, asked, "book", ["ts_ns", "u"], keys)
     both = books.select(*keys, "bucket", "book.*").unionByName(seeds.select(*keys, "bucket", "book.*")).unionByName(asked, allowMissingColumns=True)
     counted = T.StructType([*(both.schema[k] for k in keys), T.StructField("o", T.LongType()), T.StructField("hits", T.LongType())])
-    hits = both.groupBy(*keys, "bucket").applyInArrow(_outside_counts(keys, np.arange(-reach, reach + 1, step), bin_ns), counted)
+    # few bytes are much work here, so the number of tasks is given: Spark would merge small partitions
+    dealt = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "bucket")
+    hits = dealt.groupBy(*keys, "bucket").applyInArrow(_outside_counts(keys, np.arange(-reach, reach + 1, step), bin_ns), counted)
     sums = hits.groupBy(*keys, "o").agg(F.sum("hits").alias("hits"))
     grid = trades.groupBy(*keys).agg(F.count("*").alias("trades")).withColumn("o", F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))))
     return grid.join(sums, [*keys, "o"], "left").select(*keys, (F.col("o") / NS_MS).cast("long").alias("offset_ms"), F.coalesce("hits", F.lit(0)).alias("outside"), "trades")
