@@ -9,18 +9,16 @@ files of lost or repeated attempts are never read.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import cut, fresh_folder
+from tidebook.llm.common import cut, fresh_folder, place_of
 
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
@@ -102,10 +100,6 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))  # the same store under Spark's names
-
-
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write every row of (page_id, url, html) as a record below ``folder``; the manifest (file, records,
     raw_bytes, archive_bytes) of the archives written, itself kept in the shared folder.
@@ -126,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     ready = salted.join(firsts, ["digest", "salt"], "left").select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, path = _place(folder)
+        disk, path = place_of(folder)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -146,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    _place(folder)[0].create_dir(_place(folder)[1], recursive=True)
+    place_of(folder)[0].create_dir(place_of(folder)[1], recursive=True)
     return cut(ready.mapInArrow(run, "file string, records long, raw_bytes long, archive_bytes long"))
 
 
@@ -158,7 +152,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, path = _place(folder)
+        disk, path = place_of(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
