@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,24 @@ def test_offset_search_keeps_its_tasks(spark, capsys):
     rows = spark.createDataFrame([("A", k * 10**9, k, 5, 6, 5) for k in range(50)], "symbol string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long, price_ticks long")
     calibration.outside_rates(rows.select("symbol", "ts_ns", "price_ticks"), rows.drop("price_ticks"), ["symbol"]).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_offset_search_counts_repeated_trades_but_sends_them_once(spark, monkeypatch):
+    """60 trades of one time and price, and 60 snapshots of one time, are one row each of the search."""
+    minute = 60 * 10**9
+    seconds = range(-150, 151, 30)  # bins before, around and after time 0
+    t = spark.createDataFrame([("A", s * 10**9, 10 + s // 30 % 2) for s in seconds for _ in range(60)], "symbol string, ts_ns long, price_ticks long")
+    s = spark.createDataFrame([("A", (s + 7) * 10**9, u, 9 + (u == 59) * (s % 4 > 1), 10) for s in seconds for u in range(60)], "symbol string, ts_ns long, u long, best_bid_ticks long, best_ask_ticks long")
+    last = [((s + 7), 9 + (s % 4 > 1)) for s in seconds]
+    want = {}
+    for o in range(-90, 91, 30):
+        before = [(10 + k // 30 % 2, [b for at, b in last if at <= k - o]) for k in seconds]
+        want[o * 1000] = 60 * sum(bool(b) and not b[-1] <= p <= 10 for p, b in before)
+    rates = lambda: {r.offset_ms: r.outside for r in calibration.outside_rates(t, s, ["symbol"], 90_000, 30_000, minute).collect()}
+    assert rates() == want
+
+    def rows(keys, offsets, bin_ns):
+        return lambda table: table.select(keys).slice(0, 1).append_column("o", pa.array(offsets[:1])).append_column("hits", pa.array([table.num_rows]))
+
+    monkeypatch.setattr(calibration, "_outside_counts", rows)
+    assert rates()[-90_000] < 8 * len(seconds)

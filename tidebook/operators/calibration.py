@@ -32,30 +32,26 @@ def windows(trades: DataFrame, snapshots: DataFrame, window_ns: int, margin_ns:
     return own, near, spans
 
 
-def _truncated(ns: np.ndarray, bin_ns: int) -> np.ndarray:
-    """As ``whole``."""
-    return np.abs(ns) // bin_ns * np.sign(ns)
-
-
 def _outside_counts(keys: list[str], offsets: np.ndarray, bin_ns: int):
-    """Of one bin the rows (keys, o, outside): how many of its trades, moved by each offset into the bin, are outside."""
+    """Of one bin the rows (keys, o, hits): how many of its trades, moved by each offset into the bin, are outside."""
 
     def run(table: pa.Table) -> pa.Table:
         book = pc.is_null(table.column("t"))
         books = table.filter(book).sort_by([("ts_ns", "ascending"), ("u", "ascending")])
-        asked = table.filter(pc.invert(book))
-        t, price = asked.column("t").to_numpy(), asked.column("price_ticks").to_numpy()
+        asked = table.filter(pc.invert(book)).sort_by("t")
+        t, price, n = (asked.column(c).to_numpy() for c in ("t", "price_ticks", "n"))
         starts = books.column("ts_ns").to_numpy()
         bid, ask = (pc.fill_null(books.column(c), edge).to_numpy() for c, edge in (("best_bid_ticks", _LEAST), ("best_ask_ticks", _MOST)))
         bin_ = table.column("bucket")[0].as_py()
+        # the times of a bin as ``whole`` deals them: bin 0 reaches a bin to either side of 0
+        first, end = bin_ * bin_ns if bin_ > 0 else (bin_ - 1) * bin_ns + 1, (bin_ + 1) * bin_ns if bin_ >= 0 else bin_ * bin_ns + 1
+        first = max(first, int(starts[0])) if len(starts) else end
         counts = np.zeros(len(offsets), np.int64)
-        for k, o in enumerate(offsets if len(starts) else ()):
-            moved = t - o
-            here = _truncated(moved, bin_ns) == bin_
-            at = np.searchsorted(starts, moved[here], "right") - 1
-            p = price[here][at >= 0]
-            at = at[at >= 0]
-            counts[k] = np.count_nonzero((p < bid[at]) | (p > ask[at]))
+        for k, (lo, hi) in enumerate(zip(np.searchsorted(t, first + offsets), np.searchsorted(t, end + offsets), strict=True)):
+            # both sides are in order, so the search runs through the books once
+            at = np.searchsorted(starts, t[lo:hi] - offsets[k], "right") - 1
+            p = price[lo:hi]
+            counts[k] = n[lo:hi][(p < bid[at]) | (p > ask[at])].sum()
         some = np.flatnonzero(counts)
         own = table.select(keys).take(np.zeros(len(some), np.int64))
         return own.append_column("o", pa.array(offsets[some])).append_column("hits", pa.array(counts[some]))
@@ -70,13 +66,16 @@ def outside_rates(trades: DataFrame, snapshots: DataFrame, keys: list[str], rang
     Under offset o trade t matches the last snapshot at or before t - o. Snapshots are dealt in bins of time of a minute at
     least, each with the last of the earlier ones as a seed; a trade goes to each bin that an offset can move it to,
     and a bin looks its trades up once an offset. The work is trades times offsets, however many snapshots are near.
+    Trades of one time and price are looked up together, and of the snapshots of one time only the last is sent.
     """
     reach, step, bin_ns = range_ms * NS_MS, step_ms * NS_MS, max(bin_ns, 60 * 10**9)
     asked = trades.where("ts_ns is not null and price_ticks is not null").select(*keys, F.col("ts_ns").alias("t"), F.col("price_ticks").cast("long").alias("price_ticks"))
+    asked = asked.groupBy(*keys, "t", "price_ticks").agg(F.count("*").alias("n"))
     asked = asked.withColumn("bucket", F.explode(F.sequence(whole(F.col("t") - reach, bin_ns), whole(F.col("t") + reach, bin_ns))))
     fields = ["ts_ns", "u", "best_bid_ticks", "best_ask_ticks"]
     books = snapshots.where("ts_ns is not null").select(*keys, *(F.col(c).cast("long").alias(c) for c in fields)).withColumn("u", F.coalesce("u", F.lit(_LEAST)))
-    books = books.select(*keys, whole(F.col("ts_ns"), bin_ns).alias("bucket"), "ts_ns", "u", F.struct(*fields).alias("book"))
+    books = books.groupBy(*keys, "ts_ns").agg(F.max_by(F.struct(*fields), "u").alias("book"))
+    books = books.select(*keys, whole(F.col("ts_ns"), bin_ns).alias("bucket"), "ts_ns", "book.u", "book")
     seeds = carry_in(books, asked, "book", ["ts_ns", "u"], keys)
     both = books.select(*keys, "bucket", "book.*").unionByName(seeds.select(*keys, "bucket", "book.*")).unionByName(asked, allowMissingColumns=True)
     counted = T.StructType([*(both.schema[k] for k in keys), T.StructField("o", T.LongType()), T.StructField("hits", T.LongType())])
