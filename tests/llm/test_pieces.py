@@ -48,3 +48,19 @@ def test_unigram_weights_take_the_cheapest_path():
                     best[i + n] = min(best[i + n], best[i] + t.weights[names[part[i : i + n]]])
         path = pieces.shortest_paths(t, [part])[0]
         assert abs(sum(t.weights[s] for s in path) - best[-1]) < 1e-9
+
+
+def test_paths_are_read_back_together():
+    """Parts of different lengths, with and without byte fallback, in one batch: each path spells its own part."""
+    coder = pieces.coder(PATH)
+    parts = ["▁hello", "x", "▁", "日本", "▁thereon" * 9, "😀a😀", "aaaa"]
+    symbols, ends = pieces.flat_paths(coder.t, parts)
+    assert len(ends) == len(parts) and ends[-1] == len(symbols)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for part, path, start, end in zip(parts, pieces.shortest_paths(coder.t, parts), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        assert symbols[start:end].tolist() == path
+        if all(0 <= s < coder.t.pieces for s in path):
+            assert b"".join(coder.t.texts[s] for s in path).decode() == part.replace(pieces.MARK, " ")
+    fresh = pieces.Coder(coder.t)
+    assert [np.frombuffer(x, "<u4").tolist() for x in fresh.encode(ODD)] == [library.encode(t or "") for t in ODD]
+    assert pieces.shortest_paths(coder.t, []) == []

@@ -209,8 +209,15 @@ def _apart(t: Transducer, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shortest_paths(t: Transducer, parts: list[str]) -> list[list[int]]:
-    """Symbols on the shortest path of each part, all parts composed at once: positions are relaxed in
-    order, and from each the trie is walked for all parts together."""
+    """Symbols on the shortest path of each part."""
+    symbols, ends = flat_paths(t, parts)
+    return [path.tolist() for path in np.split(symbols, ends[:-1])[: len(parts)]]
+
+
+def flat_paths(t: Transducer, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols on the shortest paths of all parts, one after another, and where each ends. All parts are composed at
+    once: positions are relaxed in order, and from each the trie is walked for all parts together. The paths
+    are read back from their ends together too, a symbol of each at a time."""
     size = np.array([len(p) for p in parts])
     width = int(size.max(initial=0))
     code = np.full((len(parts), width + t.longest), -1, np.int64)
@@ -250,15 +257,14 @@ def shortest_paths(t: Transducer, parts: list[str]) -> list[list[int]]:
             symbol = t.accepts[node]
             if n > 1 and (symbol >= 0).any():
                 relax(rows[symbol >= 0], i, n, symbol[symbol >= 0])
-    out = []
-    for end, symbols, starts in zip(size.tolist(), last.tolist(), back.tolist(), strict=True):
-        path = []
-        while end:
-            path.append(symbols[end])
-            end = starts[end]
-        path.reverse()
-        out.append(path)
-    return out
+    path, count = np.zeros((len(parts), width), np.int64), np.zeros(len(parts), np.int64)
+    rows, end = np.flatnonzero(size), size[size > 0]
+    while len(rows):
+        count[rows] += 1
+        path[rows, width - count[rows]] = last[rows, end]
+        end = back[rows, end]
+        rows, end = rows[end > 0], end[end > 0]
+    return path[np.arange(width) >= width - count[:, None]], np.cumsum(count)
 
 
 class Coder:
@@ -276,13 +282,17 @@ class Coder:
             n = max(1, min(20_000, 400_000 // max(1, len(parts[at]))))
             some = [p for p in parts[at : at + n] if len(p) <= 2 * len(parts[at]) + 8]
             at += len(some)
-            for part, path in zip(some, shortest_paths(self.t, some), strict=True):
-                if min(path) >= 0 and max(path) < count:
-                    self.cache[part] = array("I", path).tobytes()
+            symbols, ends = flat_paths(self.t, some)
+            strange = np.r_[0, np.cumsum((symbols < 0) | (symbols >= count))]
+            starts = np.r_[0, ends[:-1]]
+            data, odd = symbols.astype("<u4").tobytes(), (strange[ends] > strange[starts]).tolist()
+            for part, start, end, fall_back in zip(some, starts.tolist(), ends.tolist(), odd, strict=True):
+                if not fall_back:
+                    self.cache[part] = data[4 * start : 4 * end]
                     continue
                 ids: list[int] = []
                 place = 0
-                for symbol in path:
+                for symbol in symbols[start:end].tolist():
                     if 0 <= symbol < count:
                         ids.append(symbol)
                         place += len(self.t.texts[symbol].decode())
