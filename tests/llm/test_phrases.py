@@ -111,3 +111,27 @@ def test_parts_that_share_an_earlier_slot():
         first[h & np.uint64(65535)] = step
     found = [r for step in range(8) for x in phrases.count_open(text, lang, first, pairs, step, 3) for r in x.to_pylist() if r["phrase"] == "a b c"]
     assert [r["since"] for r in found] == [2, 2, 2]  # one cycle of three shards
+
+
+def test_phrases_are_not_broadcast(spark):
+    """Spark sizes exploded rows by the small file they come from: at 0.5 GB of texts it broadcast 1 GB."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    plan = phrases.collocations(docs, least=6)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "HashedRelationBroadcastMode(List(input[0, string, true], input[1, string" not in plan
+
+
+def test_few_jobs_for_many_partitions(spark):
+    """What the driver gets comes in one job a step, not in one for each partition."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    docs = spark.createDataFrame(corpus(n=40), SCHEMA).repartition(2)
+    spark.sparkContext.setJobGroup("phrases", "")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        phrases.frequent_phrases(docs, 6, shards=1, bits=16)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("phrases")) < 80, len(spark.sparkContext.statusTracker().getJobIdsForGroup("phrases"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -256,7 +256,7 @@ def pairs_of_slices(slices: DataFrame, least: int, bits: int) -> np.ndarray:
     counted = slices.select("hashes", "codes", "langs", "lang_of", "words").mapInArrow(_pair_counts(bits, least), "part long, counts binary")
     parts = counted.repartition(n, "part").mapInArrow(_pair_bits(bits, least), "part long, counts binary")
     found = np.zeros((1 << bits) // 8, np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # one job; row by row it would be one for each partition
         new = np.frombuffer(r["counts"], np.uint8)
         at = r["part"] * _PART // 8
         found[at : at + len(new)] = new
@@ -311,12 +311,12 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 3, bits: in
         slots = fresh.select("lang", "phrase").mapInArrow(_slots(len(first) - 1), "slot long")
         one = F.col("slot") + 1  # the functions count buckets and values from 1
         maps = slots.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
-        for r in maps.toLocalIterator():  # at most 2^bits bits in all
+        for r in maps.collect():  # at most 2^bits bits in all, in one job
             found = (r["bucket"] - 1) * 32768 + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
             found = found[first[found] == NEVER]
             if len(found):
                 first[found], last = step, step
-        table.unpersist()
+        table.destroy()  # the driver's copy goes too
         step += 1
     every = done[0]
     for d in done[1:]:
@@ -329,10 +329,11 @@ def _part(words: Column, start: Column, size: Column) -> Column:
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str, name: str, salts: int = 8) -> DataFrame:
-    """``rows`` with ``name``, the f of (lang, key); the rows of a frequent part are dealt over ``salts`` tasks."""
+    """``rows`` with ``name``, the f of (lang, key); the rows of a frequent part are dealt over ``salts`` tasks. Spark sizes
+    the repeated rows by the file before the explode, so it is told not to broadcast them."""
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
     parts = table.select("lang", F.col("phrase").alias(key), F.col("f").alias(name)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return spread.join(parts, ["lang", key, "_salt"]).drop("_salt")
+    return spread.join(parts.hint("merge"), ["lang", key, "_salt"]).drop("_salt")
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, shards: int = 3, bits: int = 24, slice_bytes: int = 4 << 20) -> DataFrame:
@@ -358,7 +359,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
     sizes = F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("part_size")
     parts = longer.where("size >= 3").select("*", sizes).select("*", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("part_size") + 1)).alias("at"))
     covers = parts.groupBy("lang", _part(words, F.col("at"), F.col("part_size")).alias("phrase")).agg(F.max("a").alias("cover"))
-    kept = scored.join(covers, ["lang", "phrase"], "left").where(F.coalesce(wide("cover") * 100 < wide("a") * inside, F.lit(True)))
+    kept = scored.join(covers.hint("merge"), ["lang", "phrase"], "left").where(F.coalesce(wide("cover") * 100 < wide("a") * inside, F.lit(True)))
     order = [F.desc("score"), F.desc("a"), "phrase"]
     some = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     some = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_n") <= top).drop("_n", "_part")
